@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import cut
+
 BOUND_EVERY = 1 << 20   # expected distinct values per bucket
 
 
@@ -82,3 +84,21 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int |
     hot group reaches its reducer as k rows per map task."""
     return (df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
             .where(F.col(out) <= k))
+
+
+def global_positions(df: DataFrame, keys: list[str], order: list[Column], out: str = "pos",
+                     partitions: int | None = None) -> DataFrame:
+    """1-based position of every row in the order, per group, for groups that do not fit one task.
+
+    Rows are range-partitioned by (keys, order) and written to the checkpoint folder, so the partition numbers are
+    fixed; each partition is numbered by its own window and the counts of the earlier partitions are added."""
+    cols = [F.asc(k) for k in keys] + order
+    ranged = df.repartitionByRange(partitions, *cols) if partitions else df.repartitionByRange(*cols)
+    fixed = cut(ranged.withColumn("__part", F.spark_partition_id()))
+    inside = W.partitionBy("__part", *keys).orderBy(*order)
+    counts = fixed.groupBy(*keys, "__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)),
+                        F.lit(0))
+    counts = counts.select(*keys, "__part", before.alias("__before"))
+    return (fixed.withColumn("__i", F.row_number().over(inside)).join(counts, [*keys, "__part"])
+            .withColumn(out, F.col("__i") + F.col("__before")).drop("__i", "__before", "__part"))

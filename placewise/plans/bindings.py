@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..config import BY_KEY, CITIES, INDICATORS, Indicator
+from ..config import BY_KEY, CITIES, INDICATORS, PERSONAS, Indicator
 from ..operators.scoring import REQUEST
 from ..session import configure
 
@@ -139,6 +139,11 @@ REQUESTS = [
     dict(request_id=12, city="praha", persona="working", aggregate="district", budget=25000.0),
 ]
 
+# Persona defaults without anchors: the static export, default criteria and twins read these.
+REQUESTS += [dict(request_id=101 + 10 * i + k, city=c, persona=p.id, weights=dict(p.levels))
+             for i, p in enumerate(PERSONAS) for k, c in enumerate(CITIES)]
+CUSTOM_ID = {c: 101 + 10 * (len(PERSONAS) - 1) + k for k, c in enumerate(CITIES)}
+
 
 def requests(spark: SparkSession, sf_dir: str, rows: list[dict] | None = None) -> DataFrame:
     """The request table; an anchor's position is the position of a destination, read from the data."""

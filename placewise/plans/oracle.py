@@ -177,13 +177,13 @@ cte("pass", """SELECT m.*, m.habitable AND coalesce(k.ok, TRUE) AS passing, roun
  c.population_est, c.lat, c.lon, coalesce(nullif(c.neighborhood, ''), c.district_name) AS place
  FROM mf m JOIN cells c USING (city, cell_id) LEFT JOIN (SELECT request_id, cell_id, bool_and(ok) AS ok FROM mask
  GROUP BY 1, 2) k ON k.request_id = m.request_id AND k.cell_id = m.cell_id""")
-cte("lensed", f"""SELECT p.*, round(CASE WHEN c.sc IS NOT NULL THEN c.sc WHEN a.aid IS NOT NULL THEN
- -coalesce(a.minutes, {UNREACHABLE}) ELSE p.mf END, 9) AS lens FROM pass p JOIN req r USING (request_id)
+cte("lensed", f"""SELECT *, round(lens, 9) AS l9 FROM (SELECT p.*, CASE WHEN c.sc IS NOT NULL THEN c.sc WHEN a.aid IS NOT NULL THEN
+ -coalesce(a.minutes, {UNREACHABLE}) ELSE p.mf END AS lens FROM pass p JOIN req r USING (request_id)
  LEFT JOIN crit c ON c.request_id = p.request_id AND c.cell_id = p.cell_id AND c.criterion = r.rank_by
- LEFT JOIN cell_anchor a ON a.request_id = p.request_id AND a.cell_id = p.cell_id AND 'anchor:' || a.aid = r.rank_by""")
+ LEFT JOIN cell_anchor a ON a.request_id = p.request_id AND a.cell_id = p.cell_id AND 'anchor:' || a.aid = r.rank_by)""")
 cte("top_cells", """SELECT request_id, city, cell_id, rank, lens, mf FROM (SELECT t.*, row_number() OVER (PARTITION BY t.request_id
- ORDER BY t.lens DESC, t.m9 DESC, t.cell_id) AS rank, r.lim FROM (SELECT *, row_number() OVER (PARTITION BY request_id, place
- ORDER BY lens DESC, m9 DESC, cell_id) AS one FROM lensed l WHERE passing AND EXISTS (SELECT 1 FROM req x WHERE
+ ORDER BY t.l9 DESC, t.m9 DESC, t.cell_id) AS rank, r.lim FROM (SELECT *, row_number() OVER (PARTITION BY request_id, place
+ ORDER BY l9 DESC, m9 DESC, cell_id) AS one FROM lensed l WHERE passing AND EXISTS (SELECT 1 FROM req x WHERE
  x.request_id = l.request_id AND (x.district IS NULL OR x.district = l.district_id))) t JOIN req r USING (request_id)
  WHERE one = 1) WHERE rank <= lim""")
 cte("crit_median", """SELECT request_id, criterion, median(sc) AS med FROM crit WHERE habitable GROUP BY 1, 2""")
