@@ -25,3 +25,9 @@ def half_even(x: Column, digits: int = 0) -> Column:
 
 def log_heavy(v: Column) -> Column:
     return F.log1p(F.greatest(v, F.lit(0.0)))
+
+
+def band_value(lo: Column, hi: Column) -> Column:
+    """Level of a noise band: its middle; open below -> hi - 5; open above -> lo + 2.5."""
+    return (F.when(hi.isNull() | (hi >= 99), lo + 2.5).when(lo.isNull() | (hi - lo > 10), hi - 5.0)
+            .otherwise((lo + hi) / 2.0))

@@ -5,7 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..config import INDICATORS, PLAUSIBLE, Indicator
+from ..config import AUX_COLUMNS, CELL_ID_COLUMNS, INDICATORS, PLAUSIBLE, Indicator
 from .ranking import medians, midrank
 
 IDENTITY = ("city", "cell_id", "lat", "lon", "habitable", "district_id", "district_name", "neighborhood",
@@ -78,3 +78,24 @@ def prepare(cells: DataFrame, specs: Sequence[Indicator] | None = None) -> DataF
                .agg(F.map_from_entries(F.collect_list(F.struct("j", score.alias("s")))).alias("__p")))
     return (base.join(by_cell, ["city", "cell_id"], "left")
             .withColumn("pct", F.expr(f"transform(sequence(0, {k - 1}), j -> __p[j])")).drop("__p"))
+
+
+def with_overrides(specs: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Per-city label and decimals replace the general ones where given."""
+    return (specs.join(overrides, ["city", "indicator"], "left")
+            .withColumn("label", F.coalesce("o_label", "label")).withColumn("decimals", F.coalesce("o_decimals", "decimals"))
+            .drop("o_label", "o_decimals"))
+
+
+def align(cells: DataFrame, expected: Sequence[str]) -> DataFrame:
+    """Contract columns in order: missing ones are added as NULL, others become ``aux.*`` and are kept only if they
+    hold a value (one aggregate decides for all of them)."""
+    ident = [c for c in ("city", *CELL_ID_COLUMNS) if c in cells.columns]
+    have = set(cells.columns)
+    named = {c: c if c in AUX_COLUMNS or c.startswith("aux.") else "aux." + c.replace(".", "_")
+             for c in cells.columns if c not in ident and c not in expected}
+    known = cells.agg(*[F.count(f"`{c}`").alias(f"c{i}") for i, c in enumerate(named)]).first() if named else []
+    extra = sorted((new, c) for (c, new), n in zip(named.items(), known) if n)
+    return cells.select(
+        *ident, *[(F.col(f"`{c}`").cast("double") if c in have else F.lit(None).cast("double")).alias(c) for c in expected],
+        *[F.expr(f"try_cast(`{c}` AS double)").alias(new) for new, c in extra])

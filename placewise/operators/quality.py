@@ -22,3 +22,9 @@ def weighted_coverage(stats: DataFrame, specs: Sequence[Indicator]) -> DataFrame
          .groupBy("city", "criterion").agg((F.sum(F.col("weight") * F.col("coverage")) / F.sum("weight")).alias("c")))
     return c.select("city", "criterion", half_even(F.col("c"), 3).alias("coverage"),
                     (half_even(F.col("c"), 3) < 0.5).alias("beta"))
+
+
+def plausible_table(spark, specs: Sequence[Indicator]) -> DataFrame:
+    from ..config import PLAUSIBLE
+    rows = [(j, *PLAUSIBLE[s.unit]) for j, s in enumerate(specs) if s.unit in PLAUSIBLE and not s.is_alias]
+    return spark.createDataFrame(rows, "j int, lo double, hi double")

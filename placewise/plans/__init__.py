@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scoring_queries",)
+MODULES = ("scoring_queries", "relational_queries")
 
 
 def load():

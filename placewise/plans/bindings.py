@@ -39,6 +39,8 @@ BOUND = {
     "leisure.nightlife_10min": "CASE WHEN cnt < 0 THEN 1.0D END",
     "accessibility.slope_pct": "st * 2.0D / cnt",
 }
+POI_CATEGORIES = ("bus_stop", "tram_stop", "metro_station", "rail_station", "supermarket", "pharmacy", "park",
+                  "playground", "nursery", "gp_clinic", "shop", "hospital")
 SPECS: tuple[Indicator, ...] = tuple(i for i in INDICATORS if i.column in BOUND)
 
 
@@ -47,6 +49,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pick(values, index: str) -> str:
+    """SQL: the value at ``index`` modulo their number (same text runs in both engines)."""
+    arms = " ".join(f"WHEN {i} THEN {_v(x)}" for i, x in enumerate(values))
+    return f"CASE {index} % {len(values)} {arms} END"
+
+
 def _position(df: DataFrame, q: str, r: str, x: str = "0.0D", y: str = "0.0D") -> DataFrame:
     df = df.withColumn("q", F.expr(q)).withColumn("r", F.expr(r))
     df = df.withColumn("x", F.expr(f"{DX}D * (q + r / 2.0D) + {x}")).withColumn("y", F.expr(f"{DY}D * r + {y}"))
@@ -92,7 +100,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").withColumn("city", _city("c_custkey"))
     c = _position(c, "(c_custkey div 2) % 64", "((c_custkey div 2) div 64) * 4 div 3", "(c_custkey * 37) % 300 - 150.0D",
                   "(c_custkey * 53) % 260 * 1.0D")
-    return c.select("city", F.col("c_custkey").alias("poi_id"), F.lower("c_mktsegment").alias("category"),
+    return c.select("city", F.col("c_custkey").alias("poi_id"), F.expr(pick(POI_CATEGORIES, "c_nationkey")).alias("category"),
                     F.col("c_name").alias("name"), "x", "y", "lat", "lon", F.col("c_acctbal").alias("value"),
                     F.col("c_nationkey").alias("nation"))
 
@@ -194,4 +202,4 @@ def values_cte(name: str, cols: str, rows: list[tuple]) -> str:
 
 
 __all__ = ["BOUND", "BY_KEY", "REQUESTS", "SPECS", "cells", "dests", "grid_cells", "part_aggregates", "points",
-           "requests", "table", "travel", "values_cte"]
+           "pick", "requests", "table", "travel", "values_cte"]

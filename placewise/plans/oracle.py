@@ -8,7 +8,7 @@ import re
 
 from ..config import (COMMUTE_BAD, COMMUTE_GOOD, CRITERIA, LEVEL_WEIGHT, MUST_HAVE, PERSONAS, PLAUSIBLE, PRICE,
                       UNREACHABLE)
-from .bindings import BOUND, DX, DY, LAT0, LON0, M_LAT, M_LON, REQUESTS, SPECS, _v
+from .bindings import BOUND, DX, DY, LAT0, LON0, M_LAT, M_LON, POI_CATEGORIES, REQUESTS, SPECS, _v, pick
 
 CTES: dict[str, str] = {}
 
@@ -119,7 +119,7 @@ cte("dests0", "SELECT city, s_suppkey AS dest, s_name AS name, s_acctbal AS valu
     + pos("(s_suppkey * 13) % 64", "s_suppkey // 6") +
     " FROM supplier CROSS JOIN (VALUES ('krakow'), ('praha')) AS t(city)")
 cte("dests", f"SELECT *, {LATLON} FROM dests0")
-cte("pois0", f"SELECT {CITY.format('c_custkey')} AS city, c_custkey AS poi_id, lower(c_mktsegment) AS category, "
+cte("pois0", f"SELECT {CITY.format('c_custkey')} AS city, c_custkey AS poi_id, " + pick(POI_CATEGORIES, "c_nationkey") + " AS category, "
     "c_name AS name, c_acctbal AS value, c_nationkey AS nation, " +
     pos("(c_custkey // 2) % 64", "((c_custkey // 2) // 64) * 4 // 3", "(c_custkey * 37) % 300 - CAST(150.0 AS DOUBLE)",
         "(c_custkey * 53) % 260 * CAST(1.0 AS DOUBLE)") + " FROM customer")
