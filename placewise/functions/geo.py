@@ -57,3 +57,11 @@ def ring_offsets(k: int) -> list[tuple[int, int, int]]:
     """(dq, dr, ring) of all hexagons within k rings, centre included."""
     return [(dq, dr, max(abs(dq), abs(dr), abs(dq + dr))) for dq in range(-k, k + 1) for dr in range(-k, k + 1)
             if abs(dq + dr) <= k]
+
+
+def axis_flip(df, x: str, y: str, known: Column | None = None):
+    """Southing/westing register coordinates: x = -y, y = -x; ``known`` must hold on every row or the job fails."""
+    out = df.withColumn("__x", -F.col(y)).withColumn("__y", -F.col(x))
+    if known is not None:
+        out = out.where(F.assert_true(known, F.lit("axis flip failed on a known point")).isNull())
+    return out.drop(x, y).withColumnsRenamed({"__x": x, "__y": y})

@@ -69,3 +69,19 @@ def render(template: Column, **values: Column) -> Column:
     for k, v in values.items():
         template = F.replace(template, F.lit("{{" + k + "}}"), F.coalesce(v.cast("string"), F.lit("None")))
     return template
+
+
+def address_parts(street: Column, place: Column, cp: Column, co: Column, mark: Column, kind: Column,
+                  zip_code: Column) -> tuple[Column, Column, Column]:
+    """Street (else the place name), house number (cp/co, 'ev. n' for recreation numbers), postcode as 'NNN NN'."""
+    orient = F.concat(F.coalesce(co, F.lit("")), F.coalesce(mark, F.lit("")))
+    number = F.when(orient != "", F.concat(cp, F.lit("/"), orient)).when(kind == "č.ev.", F.concat(F.lit("ev. "), cp)).otherwise(cp)
+    z = F.regexp_replace(F.coalesce(zip_code, F.lit("")), " ", "")
+    base = F.when(F.coalesce(street, F.lit("")) != "", street).otherwise(F.coalesce(place, F.lit("")))
+    return base, number, F.when(F.length(z) == 5, F.concat_ws(" ", F.substring(z, 1, 3), F.substring(z, 4, 2)))
+
+
+def wkt_point(s: Column) -> tuple[Column, Column]:
+    """'POINT(a b)' -> two numbers, NULL if it does not match."""
+    pat = r"POINT\(\s*([\d.]+)\s+([\d.]+)\s*\)"
+    return tuple(F.when(s.rlike(pat), F.regexp_extract(s, pat, i)).try_cast("double") for i in (1, 2))

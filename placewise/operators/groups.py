@@ -79,3 +79,13 @@ def pool_rows(cells_long: DataFrame, level_col: str) -> DataFrame:
     w = F.col("population_est") + F.lit(1.0)
     return (cells_long.where("habitable").groupBy("city", level_col, "indicator")
             .agg(weighted(F.col("v"), w).alias("value"), (F.count("v") == 0).alias("imputed")))
+
+
+def pooled_features(per_city: Sequence[DataFrame], columns: Sequence[str]) -> DataFrame:
+    """Cities' tables stacked on the shared columns, NULL where a city lacks one."""
+    keep = ["city", "cell_id", "habitable"]
+    parts = [p.select(*keep, *[F.col(f"`{c}`") for c in columns if c in p.columns]) for p in per_city]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out

@@ -221,3 +221,10 @@ def latest_months(df: DataFrame, month: str, n: int) -> DataFrame:
     return df.join(newest, month, "left_semi")
 
 
+
+
+def finalize_points(points: DataFrame) -> DataFrame:
+    """Points of interest as stored: coordinates known and rounded to six places, empty name and extra filled in."""
+    six = lambda c: F.bround(F.round(c, 9), 6)
+    return (points.where("lat IS NOT NULL AND lon IS NOT NULL").withColumn("name", F.coalesce("name", F.lit("")))
+            .withColumn("extra_json", F.coalesce("extra_json", F.lit("{}"))).withColumn("lat", six("lat")).withColumn("lon", six("lon")))

@@ -84,7 +84,7 @@ def _bin_summary(targets: DataFrame, keys: Sequence[str], size: float) -> DataFr
 
 def nearest(points: DataFrame, targets: DataFrame, ids: Sequence[str], target_id: str, size: float,
             keys: Sequence[str] = (), max_dist: float | None = None, hot: int = HOT) -> DataFrame:
-    """Nearest target of each point (ties: smallest id) with its distance; exact at any distance.
+    """Nearest target of each point (ties within a micrometre: smallest id) with its distance; exact at any distance.
 
     Step one works on one row per occupied bin: from the bounding boxes of the bins around a point follow an upper
     bound of the nearest distance and the few bins that can hold it.  Points whose neighbourhood is too empty go to
@@ -111,7 +111,7 @@ def nearest(points: DataFrame, targets: DataFrame, ids: Sequence[str], target_id
         j = p.join(coarse, [*keys, "__cx", "__cy"], "left").withColumn("__near", near).withColumn("__far", far)
         j = j.withColumn("__up", F.min("__far").over(W.partitionBy(*ids)))
         j = cut(j.select(*todo.columns, "__bx", "__by", "__near", "__up"))
-        hit = j.where((F.col("__up") <= step) & (F.col("__near") <= F.col("__up"))).select(*todo.columns, "__bx", "__by")
+        hit = j.where((F.col("__up") <= step) & (F.col("__near") <= F.col("__up") + 1e-6)).select(*todo.columns, "__bx", "__by")
         found = hit if found is None else found.unionByName(hit)
         todo = j.where(F.col("__up").isNull() | (F.col("__up") > step)).select(*todo.columns).distinct()
         if step > extent or (max_dist is not None and step > max_dist) or todo.isEmpty():
@@ -122,8 +122,8 @@ def nearest(points: DataFrame, targets: DataFrame, ids: Sequence[str], target_id
     c, t = shard(found, t, on, ["t_x", "t_y"], hot)
     d = F.sqrt((px - F.col("t_x")) * (px - F.col("t_x")) + (py - F.col("t_y")) * (py - F.col("t_y")))
     best = (c.join(t, [*on, "__shard"]).withColumn("dist", d)
-            .groupBy(*ids).agg(F.min(F.struct("dist", target_id, *tcols, "t_x", "t_y")).alias("__b"))
-            .select(*ids, "__b.*"))
+            .groupBy(*ids).agg(F.min(F.struct(F.round("dist", 6).alias("__d"), target_id, *tcols, "dist", "t_x", "t_y")).alias("__b"))
+            .select(*ids, "__b.*").drop("__d"))
     return best if max_dist is None else best.where(F.col("dist") <= max_dist)
 
 
@@ -188,9 +188,13 @@ def point_in_polygon(points: DataFrame, edge_table: DataFrame, ids: Sequence[str
     return containing(points, edge_table, ids, [poly], size, keys).groupBy(*ids).agg(F.min(poly).alias(poly))
 
 
+def edge_length() -> Column:
+    return F.expr("sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))")
+
+
 def densify(edge_table: DataFrame, keys: Sequence[str], step: float) -> DataFrame:
     """Points along each edge at most ``step`` apart, start included, end excluded (rings close themselves)."""
-    ln = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    ln = edge_length()
     n = F.greatest(F.ceil(ln / F.lit(float(step))).cast("int"), F.lit(1))
     return (edge_table.withColumn("__n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
             .select(*keys, "i", "k", (F.col("x1") + (F.col("x2") - F.col("x1")) * F.col("k") / F.col("__n")).alias("x"),
@@ -199,7 +203,7 @@ def densify(edge_table: DataFrame, keys: Sequence[str], step: float) -> DataFram
 
 def segments(lines: DataFrame, keys: Sequence[str], max_len: float = 50.0) -> DataFrame:
     """Pieces of at most ``max_len`` of consecutive vertex pairs (x1, y1, x2, y2): midpoint and length."""
-    ln = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    ln = edge_length()
     n = F.greatest(F.ceil(ln / F.lit(float(max_len))).cast("int"), F.lit(1))
     mid = (F.col("k") + 0.5) / F.col("__n")
     return (lines.withColumn("__n", n).withColumn("length", ln / F.col("__n"))
@@ -208,9 +212,181 @@ def segments(lines: DataFrame, keys: Sequence[str], max_len: float = 50.0) -> Da
                     (F.col("y1") + (F.col("y2") - F.col("y1")) * mid).alias("y"), "length"))
 
 
-def inverse_distance(points: DataFrame, stations: DataFrame, ids: Sequence[str], keys: Sequence[str], reach: float = 25_000.0,
+def path_edges(lines: DataFrame, keys: Sequence[str], path: str = "path") -> DataFrame:
+    """Consecutive vertex pairs of each line (array of structs x, y); no shuffle."""
+    return (lines.where(F.size(path) > 1).selectExpr(*keys, f"posexplode(slice({path}, 1, size({path}) - 1)) AS (i, p)", path)
+            .selectExpr(*keys, "i", "p.x AS x1", "p.y AS y1", f"{path}[i + 1].x AS x2", f"{path}[i + 1].y AS y2"))
+
+
+def inverse_distance(cells: DataFrame, stations: DataFrame, ids: Sequence[str], key: str, reach: float = 25_000.0,
                      floor: float = 200.0) -> DataFrame:
-    """Inverse-square-distance mean of the stations within reach (distances floored), as a bin join."""
-    d2 = F.greatest(F.col("dist2"), F.lit(floor * floor))
-    return within_radius(points, stations, reach, ids, [(F.sum(F.col("t_value") / d2) / F.sum(F.lit(1.0) / d2)).alias("value"),
-                                                        F.count("t_x").alias("stations")], keys)
+    """Inverse-square-distance mean of the stations within reach of the centre of the cells (distances floored at
+    200 m); NULL with fewer than two stations.
+
+    The stations near one centre are few and Spark broadcasts them by size, so cells stream past them and are
+    summed up map-side; the join key is the region, never a cross join."""
+    centre = cells.groupBy(key).agg(F.avg("x").alias("__cx"), F.avg("y").alias("__cy"))
+    near = (stations.join(centre, key).where(F.hypot(F.col("x") - F.col("__cx"), F.col("y") - F.col("__cy")) < reach)
+            .select(key, F.col("x").alias("__sx"), F.col("y").alias("__sy"), F.col("value").alias("__v")))
+    d2 = F.greatest((F.col("x") - F.col("__sx")) * (F.col("x") - F.col("__sx"))
+                    + (F.col("y") - F.col("__sy")) * (F.col("y") - F.col("__sy")), F.lit(floor * floor))
+    return (cells.join(near, key, "left").groupBy(*ids)
+            .agg(F.when(F.count("__v") >= 2, F.sum(F.col("__v") / d2) / F.sum(F.lit(1.0) / d2)).alias("value")))
+
+
+def expanding_ring_median(cells: DataFrame, observations: DataFrame, value: str, ids: Sequence[str], key: str = "city",
+                          rings: int = 3, enough: int = 5) -> DataFrame:
+    """Median over the smallest ring neighbourhood (k = 0..rings) with enough observations, and their number; NULL
+    (with the number of the widest one) if none has.
+
+    Ring sizes come from counts per cell, so observations are only repeated for the rings a cell really uses."""
+    from .ranking import medians
+    ids = list(ids)
+    n = observations.groupBy(key, "q", "r").agg(F.count("*").alias("__n"))
+    per_ring = ring_join(cells.select(*ids, *[c for c in (key, "q", "r") if c not in ids]), n, rings, [key]) \
+        .groupBy(*ids, *[c for c in (key, "q", "r") if c not in ids]) \
+        .agg(*[F.sum(F.when(F.col("ring") <= k, F.col("__n")).otherwise(0)).alias(f"n{k}") for k in range(rings + 1)])
+    k = F.coalesce(*[F.when(F.col(f"n{k}") >= enough, k) for k in range(rings + 1)], F.lit(rings))
+    used = per_ring.withColumn("__k", k)
+    chosen = used.withColumn("n", F.array(*[f"n{i}" for i in range(rings + 1)])[F.col("__k")])
+    rows = ring_join(chosen.where(F.col("n") >= enough), observations.select(key, "q", "r", value), rings, [key]) \
+        .where(F.col("ring") <= F.col("__k"))
+    med = medians(rows, ids, value, "median")
+    return (cells.select(*ids).join(chosen.select(*ids, "n"), ids, "left").join(med, ids, "left")
+            .select(*ids, F.coalesce("n", F.lit(0)).alias("n"), "median"))
+
+
+def majority_label(cells: DataFrame, edge_table: DataFrame, ids: Sequence[str], poly: str, size: float, hex_size: float,
+                   centres: DataFrame, keys: Sequence[str] = (), grid: int = 5) -> DataFrame:
+    """Polygon that covers most of a cell, estimated on a fixed lattice of points inside the hexagon; cells no
+    polygon touches take the nearest polygon centre."""
+    step = hex_size / grid
+    offs = [(i * step, j * step) for i in range(-grid, grid + 1) for j in range(-grid, grid + 1)
+            if abs(j * step) <= hex_size - abs(i * step) / 1.7320508075688772 and abs(i * step) <= hex_size * 0.8660254037844386]
+    ids = list(ids)
+    arr = ", ".join(f"struct({i} AS __s, {dx}D AS __dx, {dy}D AS __dy)" for i, (dx, dy) in enumerate(offs))
+    cols = list(dict.fromkeys([*ids, *keys]))
+    pts = cells.selectExpr(*cols, "x", "y", f"inline(array({arr}))").selectExpr(*cols, "__s", "x + __dx AS x", "y + __dy AS y")
+    hit = containing(pts, edge_table, [*ids, "__s"], [poly], size, keys).groupBy(*ids, poly).agg(F.count("*").alias("__n"))
+    best = hit.groupBy(*ids).agg(F.min_by(poly, F.struct(-F.col("__n"), F.col(poly))).alias(poly))
+    rest = cells.join(best.select(*ids), ids, "left_anti")
+    near = nearest(rest, centres, ids, poly, size, keys).select(*ids, poly)
+    return best.withColumn("how", F.lit("area")).unionByName(near.withColumn("how", F.lit("nearest")))
+
+
+def apportion(edge_table: DataFrame, values: DataFrame, districts: DataFrame, source: str, district: str, value: str,
+              size: float, res: float, keys: Sequence[str] = ()) -> DataFrame:
+    """Split a polygon's value over districts by area share, measured on a lattice of ``res`` metres."""
+    pix = pixels_inside(edge_table, [source], res, keys)
+    pts = pix.withColumn("x", (F.col("ix") + 0.5) * res).withColumn("y", (F.col("iy") + 0.5) * res)
+    total = pts.groupBy(*keys, source).agg(F.count("*").alias("__all"))
+    hit = containing(pts, districts, [source, "ix", "iy"], [district], size, keys)
+    part = hit.groupBy(*keys, source, district).agg(F.count("*").alias("__n"))
+    return (part.join(total, [*keys, source]).join(values.select(*keys, source, value), [*keys, source])
+            .groupBy(*keys, district).agg(F.sum(F.col(value) * F.col("__n") / F.col("__all")).alias(value)))
+
+
+def pixels_inside(edge_table: DataFrame, poly: Sequence[str], res: float, keys: Sequence[str] = ()) -> DataFrame:
+    """(polygon, ix, iy) of the pixels whose centre lies inside: crossing parity per pixel row."""
+    keys, poly = list(keys), list(poly)
+    s = F.lit(float(res))
+    lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
+    e = edge_table.withColumn("iy", F.explode(F.sequence(F.floor(lo / s), F.floor(hi / s))))
+    cy = (F.col("iy") + 0.5) * s
+    e = e.where((F.col("y1") > cy) != (F.col("y2") > cy)).withColumn(
+        "__c", (F.col("x2") - F.col("x1")) * (cy - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
+    # crossings of one polygon with one pixel row: their order alternates entering and leaving
+    runs = e.groupBy(*keys, *poly, "iy").agg(F.array_sort(F.collect_list("__c")).alias("__cs"))
+    runs = runs.selectExpr(*keys, *poly, "iy", "explode(filter(transform(__cs, (c, i) -> struct(i AS i, c AS a, get(__cs, i + 1) AS b)), "
+                           "t -> t.i % 2 = 0)) AS t")
+    first, last = f"cast(ceil(t.a / {res}D - 0.5D) AS long)", f"cast(ceil(t.b / {res}D - 0.5D) AS long) - 1"
+    return (runs.where(F.expr(f"{last} >= {first}")).selectExpr(*keys, *poly, "iy", f"explode(sequence({first}, {last})) AS ix"))
+
+
+def hexagons_inside(edge_table: DataFrame, poly: Sequence[str], size: float, bin_size: float, keys: Sequence[str] = ()) -> DataFrame:
+    """(polygon, q, r, x, y) of all hexagons whose centre lies inside."""
+    keys, poly = list(keys), list(poly)
+    w, h = size * 1.7320508075688772, size * 1.5
+    cols = [*keys, *poly]
+    c = (bounds(edge_table, cols)
+         .selectExpr(*cols, "x0", "xmax", f"explode(sequence(cast(ceil(y0 / {h}D) AS long), cast(floor(ymax / {h}D) AS long))) AS r")
+         .selectExpr(*cols, "r", f"explode(sequence(cast(ceil(x0 / {w}D - r / 2D) AS long), cast(floor(xmax / {w}D - r / 2D) AS long))) AS q")
+         .selectExpr(*cols, "q", "r", f"{w}D * (q + r / 2D) AS x", f"{h}D * r AS y"))
+    mine = c.withColumnsRenamed({p: f"__{p}" for p in poly})
+    hit = containing(mine, edge_table, [*[f"__{p}" for p in poly], "q", "r", "x", "y"], poly, bin_size, keys)
+    same = F.lit(True)
+    for p in poly:
+        same = same & (F.col(p) == F.col(f"__{p}"))
+    return hit.where(same).select(*cols, "q", "r", "x", "y")
+
+
+def cell_edges(cells: DataFrame, keys: Sequence[str], size: float) -> DataFrame:
+    """Six border segments per hexagon, end points rounded to millimetres and in a fixed order."""
+    from ..functions.geo import hex_corners
+    cs = [F.struct(F.round(x, 3).alias("x"), F.round(y, 3).alias("y")) for x, y in hex_corners(F.col("x"), F.col("y"), size)]
+    pairs = F.array(*[F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")) for a, b in zip(cs, cs[1:] + cs[:1])])
+    return cells.select(*keys, F.explode(pairs).alias("e")).selectExpr(*keys, "e.a.x AS x1", "e.a.y AS y1", "e.b.x AS x2", "e.b.y AS y2")
+
+
+def group_outline(cells: DataFrame, group: Sequence[str], size: float) -> DataFrame:
+    """Outline of each group: the segments that belong to one of its cells only."""
+    e = cell_edges(cells, group, size)
+    return e.groupBy(*group, "x1", "y1", "x2", "y2").agg(F.count("*").alias("__n")).where("__n = 1").drop("__n")
+
+
+def resolve_destination(points: DataFrame, dests: DataFrame, ids: Sequence[str], hex_size: float, max_dist: float,
+                        keys: Sequence[str] = ("city",)) -> DataFrame:
+    """Destination whose coarse cell holds the point, else the nearest one within ``max_dist``, else NULL."""
+    from ..functions.geo import hex_cell
+    keys, ids = list(keys), list(ids)
+
+    def coarse(df):
+        hq, hr = hex_cell(F.col("x"), F.col("y"), hex_size)
+        return df.withColumn("__hq", hq).withColumn("__hr", hr)
+    own = coarse(dests).groupBy(*keys, "__hq", "__hr").agg(F.min("dest").alias("__own"))
+    p = coarse(points).join(own, [*keys, "__hq", "__hr"], "left")
+    rest = p.where("__own IS NULL").select(*points.columns)
+    near = nearest(rest, dests.select(*keys, "dest", "x", "y"), ids, "dest", max_dist, keys, max_dist).select(*ids, F.col("dest").alias("__near"))
+    return p.join(near, ids, "left").select(*ids, F.coalesce("__own", "__near").alias("dest"))
+
+
+def nearest_habitable(points: DataFrame, cells: DataFrame, ids: Sequence[str], rings: int = 3, key: str = "city") -> DataFrame:
+    """(ids, cell_id, status): own cell if people live there, else the nearest habitable cell of the first ring that has
+    one; status 'nearest', 'noneNearby' (own cell exists) or 'outside'.  Points carry (q, r, x, y)."""
+    ids = list(ids)
+    lives = cells.where("habitable").selectExpr(key, "q AS nq", "r AS nr", "cell_id", "x AS cx", "y AS cy")
+    own = cells.selectExpr(key, "q", "r", "true AS __inside")
+    cand = ring_pairs(points, rings, [key]).join(lives, [key, "nq", "nr"])
+    d2 = (F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy"))
+    best = cand.groupBy(*ids).agg(F.min(F.struct("ring", d2.alias("d2"), "cell_id")).alias("__b"))
+    p = points.join(own, [key, "q", "r"], "left").join(best, ids, "left")
+    status = (F.when(F.col("__b.ring") == 0, F.lit(None).cast("string")).when(F.col("__b").isNotNull(), "nearest")
+              .when(F.col("__inside"), "noneNearby").otherwise("outside"))
+    return p.select(*ids, F.col("__b.cell_id").alias("cell_id"), status.alias("status"))
+
+
+def intersections(lines: DataFrame, keys: Sequence[str], path: str = "path") -> DataFrame:
+    """Vertices where at least three segment ends meet: an end vertex counts 1, an inner vertex 2."""
+    from .graph import node_key
+    v = lines.selectExpr(*keys, f"posexplode({path}) AS (i, p)", f"size({path}) AS __n")         .selectExpr(*keys, "p.x AS x", "p.y AS y", "CASE WHEN i = 0 OR i = __n - 1 THEN 1 ELSE 2 END AS w")
+    g = v.withColumn("node", node_key(F.col("x"), F.col("y"))).groupBy(*keys, "node").agg(
+        F.sum("w").alias("ends"), F.min(F.struct("x", "y")).alias("p"))
+    return g.where("ends >= 3").select(*keys, "node", "p.x", "p.y")
+
+
+def nearest_per_category(cells: DataFrame, points: DataFrame, ids: Sequence[str], target_id: str, size: float,
+                         measured: DataFrame | None = None, max_min: float = 30.0, key: str = "city") -> DataFrame:
+    """Nearest point of each category per cell with walking minutes: the measured network value where there is one, else
+    the straight line with a detour factor; farther than ``max_min`` is dropped."""
+    from ..config import DETOUR, WALK_KMH
+    from ..functions.geo import haversine_km
+    ids = list(ids)
+    cats = points.select(key, "category").distinct()
+    p = cells.join(cats, key).select(*ids, "category", "x", "y", F.col("lat").alias("__lat"), F.col("lon").alias("__lon"))
+    near = nearest(p, points, [*ids, "category"], target_id, size, [key, "category"])
+    near = near.join(p.select(*ids, "category", "__lat", "__lon"), [*ids, "category"])
+    km = haversine_km(F.col("__lat"), F.col("__lon"), F.col("lat"), F.col("lon"))
+    out = near.withColumn("walk_min", km * DETOUR / WALK_KMH * 60.0)
+    if measured is not None:
+        out = out.join(measured, [*ids, "category"], "left").withColumn("walk_min", F.coalesce("measured", "walk_min")).drop("measured")
+    return out.where(F.col("walk_min") <= max_min).drop("__lat", "__lon")

@@ -1,11 +1,12 @@
 """Timetables: service days, per-stop statistics, stop categories."""
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.norm import half_even
+from .spatial import radius_join, within_radius
 
 DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 
@@ -122,3 +123,22 @@ def tidy_minutes(pairs: DataFrame, limit: float = 120.0) -> DataFrame:
     """Routed minutes: unknown and longer than the limit are unreachable (no row); half-even whole minutes."""
     return (pairs.where(F.col("minutes").isNotNull() & ~F.isnan(F.col("minutes").cast("double")) & (F.col("minutes") <= limit))
             .withColumn("minutes", half_even(F.col("minutes").cast("double")).cast("smallint")))
+
+
+def distinct_within(cells: DataFrame, stops: DataFrame, items: DataFrame, radius: float, ids: Sequence[str],
+                    keys: Sequence[str] = ("city",)) -> DataFrame:
+    """Distinct peak trips per hour, lines and night trips over the stops within the radius of each cell: a vehicle
+    that serves three platforms is one departure.  (cell, item) pairs are made distinct map-side before they count."""
+    pairs = radius_join(cells.select(*dict.fromkeys([*ids, *keys, "x", "y"])), stops, radius, keys)
+    it = items.select(F.col("feed").alias("t_feed"), F.col("stop_id").alias("t_stop_id"), "kind", "item")
+    got = pairs.select(*ids, "t_feed", "t_stop_id").join(it, ["t_feed", "t_stop_id"]).select(*ids, "kind", "item").distinct()
+    n = lambda k: F.count_if(F.col("kind") == k)
+    per = got.groupBy(*ids).agg((n("peak_trip") / 2.0).alias("departures_per_h"), n("route").alias("lines"), n("night_trip").alias("night"))
+    return cells.select(*ids).join(per, list(ids), "left").fillna(0, ["departures_per_h", "lines", "night"])
+
+
+def shares_within(cells: DataFrame, stops: DataFrame, radius: float, ids: Sequence[str], keys: Sequence[str] = ("city",)) -> DataFrame:
+    """Share of accessible stops and of low-floor departures within the radius; NULL without stops or departures."""
+    acc = F.avg(F.when(F.col("t_wb") == "1", 1.0).when(F.col("t_wb").isNotNull(), 0.0)) * 100.0
+    low = F.try_divide(F.sum("t_depwc"), F.nullif(F.sum("t_dep"), F.lit(0.0))) * 100.0
+    return within_radius(cells, stops, radius, ids, [acc.alias("accessible_share"), low.alias("lowfloor_share")], keys)
