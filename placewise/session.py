@@ -13,6 +13,7 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")      # registers in windows-1250
     return spark
 
 
@@ -35,14 +36,19 @@ def cut(df: DataFrame) -> DataFrame:
 _written: dict[tuple[str, str, str], str] = {}
 
 
+def scratch_path(spark: SparkSession, data_version: str, name: str) -> str:
+    """Folder of a derived table of this application inside the shared folder."""
+    tag = hashlib.md5(data_version.encode()).hexdigest()[:12]
+    return f"{checkpoint_dir(spark)}/placewise-{spark.sparkContext.applicationId}/{tag}/{name}"
+
+
 def stored(spark: SparkSession, data_version: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """A derived table, computed once per application and data version, written to the shared folder and read back.
 
     Later jobs start from files instead of a long lineage, so a lost executor costs a re-read."""
     key = (spark.sparkContext.applicationId, data_version, name)
     if key not in _written:
-        tag = hashlib.md5(data_version.encode()).hexdigest()[:12]
-        path = f"{checkpoint_dir(spark)}/placewise-{key[0]}/{tag}/{name}"
+        path = scratch_path(spark, data_version, name)
         build().write.mode("overwrite").parquet(path)
         _written[key] = path
     return spark.read.parquet(_written[key])
