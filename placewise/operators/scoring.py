@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..config import (COMMUTE_BAD, COMMUTE_GOOD, CRITERIA, INDICATORS, LEVEL_WEIGHT, MUST_HAVE, PERSONAS, PRICE,
                       UNREACHABLE, Indicator)
+from ..session import broadcast_if_small, cut, widen
 from .ranking import medians, top_per_group
 
 ANCHOR = T.StructType([
@@ -95,7 +96,38 @@ def compile_requests(requests: DataFrame, coverage: DataFrame, anchors: DataFram
                      " x -> x IS NOT NULL) AS excluded")
     r = r.selectExpr("* EXCEPT (__rated)", "CASE WHEN exists(__rated, x -> x > 0) THEN __rated "
                      "ELSE transform(den, d -> CASE WHEN d > 0 THEN 1.0D ELSE 0.0D END) END AS cw")
-    return r.selectExpr("*", "aggregate(cw, 0.0D, (a, x) -> a + x) AS total_w")
+    r = r.selectExpr("*", "aggregate(cw, 0.0D, (a, x) -> a + x) AS total_w")
+    return fold_coefficients(r, specs)
+
+
+def fold_coefficients(r: DataFrame, specs: Sequence[Indicator]) -> DataFrame:
+    """Everything linear in the sub-scores is multiplied out per request, so a cell needs one sum of products:
+    ``e_j`` = share of indicator j in the match, ``e_commute`` that of the commute score; ``rank_e`` the same for the
+    criterion the request ranks by.  Filter limits become plain columns, NULL where a filter does not apply."""
+    ci = {c: i for i, c in enumerate(CRITERIA)}
+
+    def share(j, s):
+        i = ci[s.criterion]
+        return f"CASE WHEN total_w > 0 AND den[{i}] > 0 THEN cw[{i}] / total_w * w[{j}] / den[{i}] ELSE 0.0D END AS e_{j}"
+    idx = {s.key: j for j, s in enumerate(specs)}
+    ranked = [f"CASE WHEN rankBy = '{s.criterion}' THEN w[{j}] / den[{ci[s.criterion]}] ELSE 0.0D END" for j, s in enumerate(specs)]
+    can = " OR ".join(f"(rankBy = '{c}' AND den[{i}] > 0)" for i, c in enumerate(CRITERIA) if c != "commute")
+    price = " ".join(f"WHEN city = '{c}' AND coverage[{idx[p[0]]}] > 0 THEN filters.{p[1]}" for c, p in PRICE.items() if p[0] in idx)
+    noise = idx.get("environment.noise_db")
+    known = " OR ".join(f"(m.category = '{cat}' AND coverage[{idx[col]}] > 0" + (f" AND city = '{city}')" if city else ")")
+                        for cat, (col, city) in MUST_HAVE.items() if col in idx) or "false"
+    limits = [f"array_min(transform(filter(__must, m -> m.category = '{cat}'), m -> m.maxWalkMin)) AS must_{cat}"
+              for cat, (col, _) in MUST_HAVE.items() if col in idx]
+    i = ci["commute"]
+    r = r.selectExpr("*", *[share(j, s) for j, s in enumerate(specs)],
+                     f"CASE WHEN total_w > 0 AND den[{i}] > 0 THEN cw[{i}] / total_w ELSE 0.0D END AS e_commute",
+                     f"CASE WHEN {can} THEN {_array(ranked)} END AS rank_e",
+                     f"CASE {price} END AS price_limit" if price else "cast(NULL AS double) AS price_limit",
+                     f"CASE WHEN coverage[{noise}] > 0 THEN filters.maxNoiseDb END AS noise_limit" if noise is not None
+                     else "cast(NULL AS double) AS noise_limit",
+                     f"filter(filters.mustHave, m -> {known}) AS __must",
+                     "exists(map_values(anchor_slots), v -> v.lim > 0) AS has_commute_limit")
+    return r.selectExpr("* EXCEPT (__must)", *limits)
 
 
 def resolve_anchors(requests: DataFrame, dests: DataFrame, modes: DataFrame) -> DataFrame:
@@ -133,7 +165,7 @@ def criterion_scores(specs: Sequence[Indicator]) -> str:
     """Array over CRITERIA: weighted mean of sub-scores, NULL where the weights are 0."""
     out = []
     for i, c in enumerate(CRITERIA):
-        js = [f"w[{j}] * s[{j}]" for j, s in enumerate(specs) if s.criterion == c]
+        js = [f"w[{j}] * s_{j}" for j, s in enumerate(specs) if s.criterion == c]
         num = "__commute" if c == "commute" else f"({' + '.join(js or ['0.0D'])}) / den[{i}]"
         out.append(f"CASE WHEN den[{i}] > 0 THEN {num} END")
     return _array(out)
@@ -146,9 +178,20 @@ def commute_score() -> str:
     return f"aggregate(map_entries(anchor_slots), 0.0D, (a, e) -> a + e.value.aw * {d}) / anchor_w"
 
 
-def match_score() -> str:
-    total = " + ".join(f"cw[{i}] * coalesce(crit[{i}], 0.0D)" for i in range(len(CRITERIA)))
-    return f"CASE WHEN total_w > 0 THEN ({total}) / total_w END"
+def match_score(specs: Sequence[Indicator]) -> str:
+    terms = " + ".join([f"s_{j} * e_{j}" for j in range(len(specs))] or ["0.0D"])
+    return f"CASE WHEN total_w > 0 THEN {terms} + CASE WHEN e_commute > 0 THEN e_commute * __commute ELSE 0.0D END END"
+
+
+def passes(specs: Sequence[Indicator]) -> str:
+    """All filters of the request hold; unknown must-have minutes and unreachable anchors fail."""
+    idx = {s.key: j for j, s in enumerate(specs)}
+    tests = ["habitable", "(price_limit IS NULL OR coalesce(price_value <= price_limit, false))",
+             "(noise_limit IS NULL OR coalesce(noise_value <= noise_limit, false))"]
+    tests += [f"(must_{cat} IS NULL OR coalesce(raw[{idx[col]}] <= must_{cat}, false))" for cat, (col, _) in MUST_HAVE.items() if col in idx]
+    tests.append("(NOT coalesce(has_commute_limit, false) OR forall(map_entries(anchor_slots), e -> NOT coalesce(e.value.lim > 0, false) "
+                 "OR coalesce(try_element_at(minutes, e.key) <= e.value.lim, false)))")
+    return " AND ".join(tests)
 
 
 def filter_masks(specs: Sequence[Indicator]) -> str:
@@ -183,28 +226,42 @@ def filter_masks(specs: Sequence[Indicator]) -> str:
     return f"filter(concat({', '.join(parts)}), x -> x IS NOT NULL)"
 
 
+def normalized(prepared: DataFrame, specs: Sequence[Indicator] = INDICATORS) -> DataFrame:
+    """Prepared cells once per walk factor, with the sub-scores ``s_j`` and the filter values as plain columns."""
+    idx = {s.key: j for j, s in enumerate(specs)}
+    factors = sorted({p.walk_factor for p in PERSONAS})
+    price = " ".join(f"WHEN city = '{c}' THEN filled[{idx[p[0]]}]" for c, p in PRICE.items() if p[0] in idx)
+    noise = idx.get("environment.noise_db")
+    df = prepared.selectExpr("*", f"explode(array({', '.join(f'{f}D' for f in factors)})) AS walk_factor")
+    return df.selectExpr("*", *[f"{sub_score(s, j)} AS s_{j}" for j, s in enumerate(specs)],
+                         f"CASE {price} END AS price_value" if price else "cast(NULL AS double) AS price_value",
+                         f"filled[{noise}] AS noise_value" if noise is not None else "cast(NULL AS double) AS noise_value")
+
+
 def score_cells(prepared: DataFrame, compiled: DataFrame, minutes: DataFrame | None = None,
                 specs: Sequence[Indicator] = INDICATORS) -> DataFrame:
     """One row per (request, cell of its city): ``s`` sub-scores, ``crit``, ``mf`` (float match), ``score``,
-    ``masks`` and ``passing``."""
-    df = prepared.join(compiled.drop("coverage", "median"), "city")
+    ``masks`` and ``passing``.  Columns a query does not use are pruned, so ranking alone costs a sum of products and
+    the filter tests per row."""
+    requests = broadcast_if_small(compiled.drop("coverage", "median"))
+    df = normalized(widen(prepared, "cell_id"), specs).join(requests, ["city", "walk_factor"])
     if minutes is None:
         df = df.selectExpr("*", "cast(NULL AS map<int,int>) AS minutes")
     else:
         df = df.join(minutes, ["request_id", "city", "cell_id"], "left")
-    df = df.selectExpr("*", _array([sub_score(s, j) for j, s in enumerate(specs)]) + " AS s",
-                       commute_score() + " AS __commute", filter_masks(specs) + " AS masks")
-    df = df.selectExpr("* EXCEPT (__commute)", criterion_scores(specs) + " AS crit",
-                       "habitable AND forall(masks, m -> m.ok) AS passing")
-    df = df.selectExpr("*", match_score() + " AS mf")
-    return df.selectExpr("*", "cast(least(greatest(bround(round(mf, 9), 0), 0.0D), 100.0D) AS int) AS score")
+    df = df.selectExpr("*", commute_score() + " AS __commute", passes(specs) + " AS passing")
+    df = df.selectExpr("*", match_score(specs) + " AS mf", criterion_scores(specs) + " AS crit",
+                       _array([f"s_{j}" for j in range(len(specs))]) + " AS s", filter_masks(specs) + " AS masks")
+    drop = ["__commute", "price_value", "noise_value", *[f"s_{j}" for j in range(len(specs))], *[f"e_{j}" for j in range(len(specs))]]
+    return df.selectExpr("*", "cast(least(greatest(bround(round(mf, 9), 0), 0.0D), 100.0D) AS int) AS score").drop(*drop)
 
 
 def lens() -> Column:
     """Ordering value of a row: the match, one criterion, or minus the minutes to an anchor."""
-    one = " ".join(f"WHEN rankBy = '{c}' AND den[{i}] > 0 THEN crit[{i}]" for i, c in enumerate(CRITERIA))
     hit = "filter(map_entries(anchor_slots), e -> e.value.id = substring(rankBy, 8))"
-    return F.expr(f"CASE {one} WHEN rankBy LIKE 'anchor:%' AND size({hit}) > 0 THEN "
+    return F.expr("CASE WHEN rankBy IS NULL THEN mf WHEN rank_e IS NOT NULL THEN aggregate(zip_with(s, rank_e, (a, b) -> a * b), 0.0D, (a, x) -> a + x) "
+                  f"WHEN rankBy = 'commute' AND den[{CRITERIA.index('commute')}] > 0 THEN crit[{CRITERIA.index('commute')}] "
+                  f"WHEN rankBy LIKE 'anchor:%' AND size({hit}) > 0 THEN "
                   f"-cast(coalesce(try_element_at(minutes, {hit}[0].key), {UNREACHABLE}) AS double) ELSE mf END")
 
 
@@ -214,12 +271,20 @@ def place_name() -> Column:
 
 
 def top_cells(scored: DataFrame) -> DataFrame:
-    """Passing cells by lens, then match, then cell id; one per neighbourhood; the request's limit."""
-    narrow = (scored.where("passing").where(F.col("district").isNull() | (F.col("district_id") == F.col("district")))
+    """Passing cells by lens, then match, then cell id; one per neighbourhood; the request's limit.
+
+    The best lens per (request, neighbourhood) is a hash aggregate without a sort; only neighbourhoods that can reach
+    the limit (ties included) stay, a few rows per request.  Joined back, they leave the handful of cells among which
+    match and id decide."""
+    narrow = (scored.where("passing").where("district IS NULL OR district_id = district")
               .select("request_id", "city", "cell_id", place_name().alias("group"), lens().alias("lens"), "mf",
-                      F.coalesce("limit", F.lit(20)).alias("limit")))
-    order = [F.desc(F.round("lens", 9)), F.desc(F.round("mf", 9)), F.asc("cell_id")]
-    best = top_per_group(narrow, ["request_id", "group"], order, 1, "__one").drop("__one")
+                      F.coalesce("limit", F.lit(20)).alias("limit")).withColumn("l9", F.round("lens", 9)))
+    groups = narrow.groupBy("request_id", "group").agg(F.max("l9").alias("l9"), F.max("limit").alias("limit"))
+    by_lens = W.partitionBy("request_id").orderBy(F.desc("l9"))
+    reach = groups.withColumn("__r", F.rank().over(by_lens)).where("__r <= 100").where("__r <= limit")
+    reach = broadcast_if_small(cut(reach.select("request_id", "group", "l9")), 200_000)
+    order = [F.desc("l9"), F.desc(F.round("mf", 9)), F.asc("cell_id")]
+    best = top_per_group(narrow.join(reach, ["request_id", "group", "l9"]), ["request_id", "group"], order, 1, "__one").drop("__one")
     ranked = top_per_group(best, ["request_id"], order, 100)
     return ranked.where(F.col("rank") <= F.col("limit")).select("request_id", "city", "cell_id", "rank", "lens")
 

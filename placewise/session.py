@@ -5,7 +5,7 @@ import hashlib
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -13,6 +13,7 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.codegen.maxFields", "400")         # a request row carries a weight per indicator
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")      # registers in windows-1250
     return spark
 
@@ -36,6 +37,21 @@ def cut(df: DataFrame) -> DataFrame:
 _written: dict[tuple[str, str, str], str] = {}
 
 
+BROADCAST_ROWS = 20_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint for a table of at most ``max_rows`` rows (counted, stopping at the limit); a larger one is left to
+    the planner, which then shuffles both sides."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def widen(df: DataFrame, *by: str) -> DataFrame:
+    """Spread a table over all cores where its scan has fewer partitions (a large table is left alone)."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n, *by) if df.rdd.getNumPartitions() < n else df
+
+
 def scratch_path(spark: SparkSession, data_version: str, name: str) -> str:
     """Folder of a derived table of this application inside the shared folder."""
     tag = hashlib.md5(data_version.encode()).hexdigest()[:12]
