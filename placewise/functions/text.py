@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-NBSP = " "
+NBSP = "\u00a0"
 # Accented letters and their base letters, position by position.
 ACCENTED = "áàâäãåąăāçćčďđéèêëęěēíìîïīłĺľñńňóòôöõőøōřŕšśşßťţúùûüůűūýÿžźż"
 PLAIN = "aaaaaaaaacccddeeeeeeeiiiiilllnnnoooooooorrssssttuuuuuuuyyzzz"

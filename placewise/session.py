@@ -14,6 +14,8 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.codegen.maxFields", "400")         # a request row carries a weight per indicator
+    # the JVM never compiles a method above 8000 bytes of bytecode: such a stage runs as separate, compiled projections
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")      # registers in windows-1250
     return spark
 
