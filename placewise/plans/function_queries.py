@@ -293,7 +293,7 @@ def rank_of_group(spark, d):
     j = [s.key for s in B.SPECS].index("environment.pm25")
     hab = prepared(spark, d).where("habitable").select("city", "district_name", F.col("raw")[j].alias("v"))
     m = R.medians(hab, ["city", "district_name"], "v", "m")
-    return R.top_per_group(m, ["city"], [F.desc(F.round("m", 9)), F.asc("district_name")], 10_000).select("city", "district_name", "rank")
+    return R.global_positions(m, ["city"], [F.desc(F.round("m", 9)), F.asc("district_name")], "rank").select("city", "district_name", "rank")
 
 
 # ------------------------------------------------------------------ aggregates

@@ -35,7 +35,7 @@ SQL = {
 
 
 def pooled(spark, d):
-    """Pooled vectors with position and the default criterion scores: stored like the reference's model state."""
+    """Pooled vectors with position and the default criterion scores: computed once per data version."""
     def build():
         base = SM.pooled_vectors(prepared(spark, d), B.SPECS, SLOTS)
         pos = B.grid_cells(spark, d).select("city", "cell_id", "q", "r")
