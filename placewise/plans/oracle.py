@@ -133,7 +133,8 @@ cte("weights", """SELECT r.request_id, r.city, s.j, s.ikey, s.criterion,
 cte("usable_anchor", """SELECT a.request_id, r.city, a.pos, a.aid, a.dest, a.mode, a.label, lw.lw AS aw,
  coalesce(a.lim, r.max_commute) AS lim FROM req_anchor a JOIN req r USING (request_id)
  JOIN level_weight lw ON lw.level = a.level
- WHERE EXISTS (SELECT 1 FROM travel t WHERE t.city = r.city AND t.mode = a.mode)""")
+ WHERE EXISTS (SELECT 1 FROM travel t WHERE t.city = r.city AND t.mode = a.mode)
+ AND EXISTS (SELECT 1 FROM supplier s WHERE s.s_suppkey = a.dest)""")
 cte("cell_anchor", """SELECT a.request_id, a.city, c.cell_id, c.habitable, a.pos, a.aid, a.aw, a.lim, t.minutes
  FROM usable_anchor a JOIN cells c ON c.city = a.city
  LEFT JOIN travel t ON t.city = a.city AND t.mode = a.mode AND t.dest = a.dest AND t.origin = c.cell_id""")
