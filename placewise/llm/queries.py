@@ -3,9 +3,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -24,3 +24,34 @@ def query(name: str, sql: str | None = None):
 def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash_dedup import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+@query("op4_toxicity")
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from labelled documents of the learning folds; every document is scored by its text alone."""
+    from . import toxicity
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1))
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query("op10_language_id")
+def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from documents of the learning folds with a language; every document is judged by its text alone."""
+    from . import language_id
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.where(fold("doc_id", 4) != 2))
+    return language_id.predict(docs, model).select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query("op2_byte_bpe")
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded with the public 50k byte-level vocabulary, and the ids decoded again."""
+    import public_tokenizers
+
+    from . import bpe
+    vocabulary = bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary), vocabulary)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
