@@ -55,3 +55,15 @@ def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op3_embedding_dedup")
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_dedup import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "embeddings"), low=0.9)
+
+
+@query("op5_vector_search")
+def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_search import search
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
