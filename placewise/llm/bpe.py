@@ -22,6 +22,8 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import wider
+
 # fixed value: characters the tokenizer's regular expressions count as white space (property White_Space)
 WHITE = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 STATES = 100_000      # states and compatible pairs a task remembers, each
@@ -309,7 +311,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 b = whole.slice(lo, SLICE)
                 ids = [encoder(t.as_py()) for t in b.column("text")]
                 yield pa.RecordBatch.from_arrays([*b.columns, _ids_array(ids)], [*b.schema.names, "ids"])
-    return docs.mapInArrow(run, docs.schema.add("ids", "array<int>"))
+    return docs.mapInArrow(run, wider(docs, ids="array<int>"))
 
 
 def decode(coded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -325,4 +327,4 @@ def decode(coded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 b = whole.slice(lo, SLICE)
                 text = [decoded(x.as_py() or [], bytes_of) for x in b.column("ids")]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], [*b.schema.names, "decoded"])
-    return coded.mapInArrow(run, coded.schema.add("decoded", "string"))
+    return coded.mapInArrow(run, wider(coded, decoded="string"))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from placewise.session import checkpoint_dir
 
@@ -23,6 +23,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def wider(df: DataFrame, **columns: str) -> T.StructType:
+    """The schema of ``df`` with more columns (a new object: df.schema itself is kept by the frame)."""
+    more = T.StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in columns.items()))
+    return T.StructType([*df.schema.fields, *more.fields])
+
+
 def fold(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id written as text, modulo n: splits rows into learning and held-out parts."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary")), F.lit(n))

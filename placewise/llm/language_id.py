@@ -14,7 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded
+from .common import bounded, wider
 
 SAMPLE = 8_000        # learning documents, about
 LONGEST = 5           # characters of the longest n-gram
@@ -44,6 +44,8 @@ class Model:
     def learn(counts: list[tuple[str, str, int]]) -> "Model":
         """From (lang, word, count) rows."""
         langs = sorted({c[0] for c in counts})
+        if not langs:
+            return Model([], [{} for _ in range(LONGEST + 1)])
         at = {x: i for i, x in enumerate(langs)}
         raw: list[dict[str, list[int]]] = [{} for _ in range(LONGEST + 1)]
         for lang, word, k in counts:
@@ -128,5 +130,5 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     through; repeated rows get equal results."""
     docs = docs.drop("lang_pred", "score", "__lang", "__score")
     payload = docs.sparkSession.sparkContext.broadcast((model.langs, model.tables))     # bounded by the learning sample
-    schema = docs.schema.add("__lang", "string").add("__score", "double")
+    schema = wider(docs, __lang="string", __score="double")
     return docs.mapInArrow(_predictor(payload), schema).withColumnsRenamed({"__lang": "lang_pred", "__score": "score"})

@@ -28,7 +28,7 @@ def position(key: Column) -> Column:
 
 def ring(spark: SparkSession, shards: int) -> DataFrame:
     """(arc, at, shard): virtual nodes in ring order."""
-    nodes = spark.range(shards * VNODES).select(F.pmod("id", F.lit(shards)).cast("int").alias("shard"), position(F.concat(F.lit("node "), F.col("id").cast("string"))).alias("at"))
+    nodes = spark.range(shards * VNODES).select(F.floor(F.col("id") / VNODES).cast("int").alias("shard"), position(F.concat(F.lit("node "), F.col("id").cast("string"))).alias("at"))
     nodes = nodes.groupBy("at").agg(F.min("shard").alias("shard"))
     return nodes.select((F.row_number().over(W.orderBy("at")) - 1).alias("arc"), "at", "shard")       # shards x VNODES rows
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded
+from .common import bounded, wider
 
 SAMPLE = (2_500, 1_000)   # labelled rows of class 0 and of class 1 to learn from, about
 DIM = 4
@@ -169,5 +169,5 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     repeated rows get equal scores; other columns pass through, but columns named score or predicted are replaced."""
     docs = docs.drop("score", "predicted", "__score")
     payload = docs.sparkSession.sparkContext.broadcast(_payload(model))       # bounded by the learning sample
-    out = docs.mapInArrow(_scorer(payload), docs.schema.add("__score", "double")).withColumnRenamed("__score", "score")
+    out = docs.mapInArrow(_scorer(payload), wider(docs, __score="double")).withColumnRenamed("__score", "score")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
