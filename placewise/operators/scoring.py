@@ -281,12 +281,11 @@ def top_cells(scored: DataFrame) -> DataFrame:
                       F.coalesce("limit", F.lit(20)).alias("limit")).withColumn("l9", F.round("lens", 9)))
     groups = narrow.groupBy("request_id", "group").agg(F.max("l9").alias("l9"), F.max("limit").alias("limit"))
     by_lens = W.partitionBy("request_id").orderBy(F.desc("l9"))
-    reach = groups.withColumn("__r", F.rank().over(by_lens)).where("__r <= 100").where("__r <= limit")
+    reach = groups.withColumn("__r", F.rank().over(by_lens)).where("__r <= limit")
     reach = broadcast_if_small(cut(reach.select("request_id", "group", "l9")), 200_000)
     order = [F.desc("l9"), F.desc(F.round("mf", 9)), F.asc("cell_id")]
     best = top_per_group(narrow.join(reach, ["request_id", "group", "l9"]), ["request_id", "group"], order, 1, "__one").drop("__one")
-    ranked = top_per_group(best, ["request_id"], order, 100)
-    return ranked.where(F.col("rank") <= F.col("limit")).select("request_id", "city", "cell_id", "rank", "lens")
+    return top_per_group(best, ["request_id"], order, F.col("limit")).select("request_id", "city", "cell_id", "rank", "lens")
 
 
 def criterion_long(scored: DataFrame) -> DataFrame:

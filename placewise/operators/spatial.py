@@ -114,7 +114,8 @@ def nearest(points: DataFrame, targets: DataFrame, ids: Sequence[str], target_id
         hit = j.where((F.col("__up") <= step) & (F.col("__near") <= F.col("__up") + 1e-6)).select(*todo.columns, "__bx", "__by")
         found = hit if found is None else found.unionByName(hit)
         todo = j.where(F.col("__up").isNull() | (F.col("__up") > step)).select(*todo.columns).distinct()
-        if step > extent or (max_dist is not None and step > max_dist) or todo.isEmpty():
+        # a target within max_dist has an upper bound of at most max_dist plus the diagonal of its bin
+        if step > extent or (max_dist is not None and step >= max_dist + 1.5 * size) or todo.isEmpty():
             break
         step *= 4
     t = with_bin(folded, size).withColumnsRenamed({"x": "t_x", "y": "t_y"})

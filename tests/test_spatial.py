@@ -67,3 +67,11 @@ def test_bounded_paths_equal_dijkstra(spark):
         want.update({(c, k): d for k, d in seen.items()})
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_nearest_with_a_limit_below_the_bin_size(spark):
+    """A target 51 m away is found with bins of 500 m and a limit of 100 m."""
+    p = spark.createDataFrame([("c", 1, 10.0, 10.0)], "city string, pid long, x double, y double")
+    t = spark.createDataFrame([("c", 5, 61.0, 10.0), ("c", 6, 490.0, 490.0)], "city string, tid long, x double, y double")
+    got = SP.nearest(p, t, ["pid"], "tid", 500.0, ["city"], max_dist=100.0).collect()
+    assert [(r.pid, r.tid, round(r.dist, 6)) for r in got] == [(1, 5, 51.0)]
