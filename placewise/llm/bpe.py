@@ -17,7 +17,8 @@ import gc
 import re
 import sys
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +27,8 @@ from .common import wider
 
 # fixed value: characters the tokenizer's regular expressions count as white space (property White_Space)
 WHITE = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-STATES = 100_000      # states and compatible pairs a task remembers, each
+STATES = 100_000      # states a task remembers
+FITS = 500_000        # pairs of tokens a task remembers as compatible or not
 PIECES = 500_000      # pieces a task remembers
 PIECE = 4096          # ids a decoder takes at once
 
@@ -96,11 +98,14 @@ class Transducer:
             self.token_at[node] = rank
         self.inner = {at >> 8 for at in self.child}        # nodes with a way on
         self.edges: dict[int, tuple[list, list]] = {}
+        self.fits: dict[int, bool] = {}
+        self.states: dict[tuple, _State] = {}
         self._reset()
 
     def _reset(self):
-        self.fits: dict[tuple[int | None, int], bool] = {}
-        self.states: dict[tuple, _State] = {}
+        for s in self.states.values():                     # no cycles stay: reference counts free the states
+            s.next = None
+        self.states = {}
         self.start = self._state(None, (((), 0),))
 
     def _state(self, last, guesses) -> _State:
@@ -157,22 +162,25 @@ class Transducer:
                 j += 1
 
     def _step(self, s: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
-        if len(self.states) >= STATES or len(self.fits) >= STATES:
+        if len(self.states) >= STATES:
             self._reset()
-        fits, guesses = self.fits, []
+        fits, guesses, children, inner, token_at, done = self.fits, [], self.child, self.inner, self.token_at, False
         for waiting, node in s.open:
-            child = self.child.get(node << 8 | byte)
+            child = children.get(node << 8 | byte)
             if child is None:
                 continue
-            if child in self.inner:
+            if child in inner:
                 guesses.append((waiting, child))
-            token = self.token_at[child]
-            if token is not None:
-                pair = (waiting[-1] if waiting else s.last, token)
-                ok = fits.get(pair)
-                if ok is None:
-                    ok = fits[pair] = self._fit(*pair)
-                if ok:
+            token = token_at[child]
+            if token is not None and not done:          # the merges cut what was read in one way: one guess ends here
+                last = waiting[-1] if waiting else s.last
+                pair = token if last is None else (last + 1) << 32 | token
+                done = fits.get(pair)
+                if done is None:
+                    if len(fits) >= FITS:
+                        fits.clear()
+                    done = fits[pair] = self._fit(last, token)
+                if done:
                     guesses.append((waiting + (token,), 0))
         written: tuple[int, ...] = ()
         if guesses:
@@ -187,7 +195,8 @@ class Transducer:
             if written:
                 n = len(written)
                 guesses = [(waiting[n:], node) for waiting, node in guesses]
-        to = (self._state(written[-1] if written else s.last, tuple(guesses)), written)
+        last = (written[-1] if written else s.last) if any(not waiting for waiting, _ in guesses) else None
+        to = (self._state(last, tuple(guesses)), written)
         if s.next is None:
             s.next = {}
         s.next[byte] = to
@@ -265,15 +274,31 @@ def decoded(ids: Iterable[int], bytes_of: dict[int, bytes]) -> str:
     return "".join(out)
 
 
-_encoders: dict[int, Encoder] = {}        # one per vocabulary and worker; later tasks go on with what it has learned
+_compiled: dict[tuple[type, int], object] = {}      # one per vocabulary and worker; later tasks go on with what it has learned
 
 
-def _encoder(payload) -> Encoder:
-    if payload.id not in _encoders:
-        _encoders.clear()
-        _encoders[payload.id] = Encoder(Vocabulary(*payload.value))
+def _compile(kind: Callable, payload):
+    key = (kind, payload.id)
+    if key not in _compiled:
+        _compiled.clear()
+        _compiled[key] = kind(Vocabulary(*payload.value))
         gc.freeze()                       # the compiled vocabulary is no garbage; later collections pass over it
-    return _encoders[payload.id]
+    return _compiled[key]
+
+
+def _bytes_of(vocabulary: Vocabulary) -> dict[int, bytes]:
+    return {v: k for k, v in vocabulary.ranks.items()}
+
+
+@contextmanager
+def _no_collector() -> Iterator[None]:
+    """The transducer's tables are large, alive and freed by reference counts: walking them for garbage took a third of the time."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.freeze()
+        gc.enable()
 
 
 class _Payload:
@@ -305,11 +330,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     payload = _Payload(docs, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(payload)
+        encoder = _compile(Encoder, payload)
         for whole in batches:
             for lo in range(0, whole.num_rows, SLICE):
                 b = whole.slice(lo, SLICE)
-                ids = [encoder(t.as_py()) for t in b.column("text")]
+                with _no_collector():
+                    ids = [encoder(t) for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*b.columns, _ids_array(ids)], [*b.schema.names, "ids"])
     return docs.mapInArrow(run, wider(docs, ids="array<int>"))
 
@@ -321,7 +347,7 @@ def decode(coded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     payload = _Payload(coded, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bytes_of = _encoder(payload).transduce.bytes_of
+        bytes_of = _compile(_bytes_of, payload)
         for whole in batches:
             for lo in range(0, whole.num_rows, SLICE):
                 b = whole.slice(lo, SLICE)
