@@ -319,6 +319,11 @@ def _ids_array(lists: list[list[int]]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
 
 
+def _numbers(ids: pa.ListScalar) -> list[int | None]:
+    """As ``as_py``, which makes an Arrow scalar of every id, but through one array."""
+    return ids.as_py() or [] if ids.values is None or ids.values.null_count else ids.values.to_numpy().tolist()
+
+
 SLICE = 500          # documents encoded before their ids leave
 
 
@@ -351,6 +356,6 @@ def decode(coded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         for whole in batches:
             for lo in range(0, whole.num_rows, SLICE):
                 b = whole.slice(lo, SLICE)
-                text = [decoded(x.as_py() or [], bytes_of) for x in b.column("ids")]
+                text = [decoded(_numbers(x), bytes_of) for x in b.column("ids")]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], [*b.schema.names, "decoded"])
     return coded.mapInArrow(run, wider(coded, decoded="string"))
