@@ -1,6 +1,9 @@
 """Folding, number formatting and template rendering as column expressions."""
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
 NBSP = "\u00a0"
@@ -9,10 +12,32 @@ ACCENTED = "áàâäãåąăāçćčďđéèêëęěēíìîïīłĺľñńňóò
 PLAIN = "aaaaaaaaacccddeeeeeeeiiiiilllnnnoooooooorrssssttuuuuuuuyyzzz"
 
 
+
+
+def _decompositions() -> dict[str, str]:
+    """Lower-case letters and what they are without diacritics by compatibility decomposition, where that differs.
+    Hangul syllables stay whole: they carry no diacritics."""
+    out = {}
+    for c in map(chr, range(0xAA, sys.maxunicode + 1)):
+        if unicodedata.decomposition(c) and unicodedata.category(c)[0] == "L" and c == c.lower():
+            plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
+            if plain != c and plain.isalpha():
+                out[c] = plain
+    return out
+
+
+_LETTERS = {c: p for c, p in _decompositions().items() if c not in ACCENTED}
+_FROM, _TO = (ACCENTED + "".join(c for c, p in _LETTERS.items() if len(p) == 1), PLAIN + "".join(p for p in _LETTERS.values() if len(p) == 1))
+_LIGATURES = {c: p for c, p in _LETTERS.items() if len(p) > 1 and p.isascii()} | {"ß": "ss"}
+
+
 def strip_accents(s: Column) -> Column:
-    """Lower case without diacritics (stroke letters included); sharp s becomes ss."""
-    low = F.regexp_replace(F.lower(s), "ß", "ss")
-    return F.translate(low, ACCENTED, PLAIN)
+    """Lower case without diacritics (stroke letters and loose combining marks included); ligatures become their letters,
+    sharp s becomes ss."""
+    low = F.lower(s)
+    for c, letters in _LIGATURES.items():
+        low = F.replace(low, F.lit(c), F.lit(letters))
+    return F.regexp_replace(F.translate(low, _FROM, _TO), r"\p{Mn}+", "")
 
 
 def fold(s: Column) -> Column:

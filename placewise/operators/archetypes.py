@@ -3,55 +3,54 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import cut
 
 SILHOUETTE_TOLERANCE = 0.005
-SAMPLE = 4000
+# The indicators whose mean z-score a rule looks at, and the rules in order; the first one that holds names the cluster.
+TRAITS = {
+    "dense": ("leisure.food_10min", "leisure.nightlife_10min", "shops.shops_10min"),
+    "remote": ("health.gp_walk_min", "health.pharmacy_walk_min", "shops.supermarket_walk_min", "education.primary_school_walk_min",
+               "health.dentist_walk_min"),
+    "greenery": ("green.green_share_500m", "green.forest_meadow_ha_1km"),
+    "culture": ("leisure.culture_walk_min",),
+    "university": ("education.university_walk_min",),
+    "nightlife": ("leisure.nightlife_10min",),
+    "industry": ("environment.industrial_ha_1km",),
+    "playgrounds": ("family.playgrounds_500m",),
+    "shops": ("shops.shops_10min",),
+    "transit": ("transit.departures_per_h_500m",),
+}
+NAMING = (
+    ("historic_core", (("dense", ">", 2.0), ("culture", "<", -1.0))),
+    ("urban_mix", (("dense", ">", 0.8),)),
+    ("student_buzz", (("university", "<", -1.0), ("nightlife", ">", 0.5))),
+    ("industrial_edge", (("industry", ">", 1.0),)),
+    ("quiet_outskirts", (("remote", ">", 1.0),)),
+    ("estate_blocks", (("playgrounds", ">", 0.5), ("shops", ">", 0.3))),
+    ("green_residential", (("greenery", ">", 0.5),)),
+    ("urban_mix", (("transit", ">", 0.3),)),
+)
+OTHERWISE = "family_suburb"
 
 
 def name_cluster(z: str) -> Column:
-    """Archetype of a centroid given as a SQL map indicator -> z-score (absent = 0).  First matching rule wins."""
-    g = lambda c: f"coalesce({z}['{c}'], 0D)"
-    mean = lambda *cs: "((" + " + ".join(g(c) for c in cs) + f") / {len(cs)})"
-    dense = mean("leisure.food_10min", "leisure.nightlife_10min", "shops.shops_10min")
-    far = mean("health.gp_walk_min", "health.pharmacy_walk_min", "shops.supermarket_walk_min", "education.primary_school_walk_min",
-               "health.dentist_walk_min")
-    green = mean("green.green_share_500m", "green.forest_meadow_ha_1km")
-    # Thresholds of the naming rules.
-    rules = ((f"{dense} > 2.0D AND {g('leisure.culture_walk_min')} < -1.0D", "historic_core"), (f"{dense} > 0.8D", "urban_mix"),
-             (f"{g('education.university_walk_min')} < -1.0D AND {g('leisure.nightlife_10min')} > 0.5D", "student_buzz"),
-             (f"{g('environment.industrial_ha_1km')} > 1.0D", "industrial_edge"), (f"{far} > 1.0D", "quiet_outskirts"),
-             (f"{g('family.playgrounds_500m')} > 0.5D AND {g('shops.shops_10min')} > 0.3D", "estate_blocks"),
-             (f"{green} > 0.5D", "green_residential"), (f"{g('transit.departures_per_h_500m')} > 0.3D", "urban_mix"))
-    return F.expr("CASE " + " ".join(f"WHEN {c} THEN '{n}'" for c, n in rules) + " ELSE 'family_suburb' END")
-
-
-def sample_rows(df: DataFrame, key: str, n: int, mul: int = 7919, seed: int = 42) -> DataFrame:
-    """A reproducible sample of n rows: the smallest arithmetic hashes."""
-    h = F.pmod(F.col(key).cast("long") * mul + seed, F.lit(1_000_003))
-    return df.orderBy(h, key).limit(n)
-
-
-def silhouette(sample: DataFrame, label: str) -> float:
-    """Mean Euclidean silhouette of a bounded sample (``SAMPLE`` rows at most); every pair is formed through the list of
-    clusters, so the work is spread over (point, cluster) keys."""
-    s = sample.select("cell_id", F.col(label).alias("c"), "z")
-    other = s.select(F.col("cell_id").alias("o"), F.col("c").alias("oc"), F.col("z").alias("oz"))
-    clusters = other.select("oc").distinct()
-    pairs = s.join(F.broadcast(clusters), F.lit(True)).join(other, "oc").where("o <> cell_id")
-    d = F.expr("sqrt(aggregate(zip_with(z, oz, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x))")
-    m = pairs.groupBy("cell_id", "c", "oc").agg(F.avg(d).alias("d"))
-    ab = m.groupBy("cell_id").agg(F.max(F.when(F.col("c") == F.col("oc"), F.col("d"))).alias("a"),
-                                  F.min(F.when(F.col("c") != F.col("oc"), F.col("d"))).alias("b"))
-    v = F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return float(ab.agg(F.avg(v)).first()[0])
+    """Archetype of a centroid given as a map column indicator -> z-score; an indicator it lacks counts as 0."""
+    def holds(trait: str, sign: str, threshold: float) -> Column:
+        scores = [F.coalesce(F.col(z)[F.lit(i)], F.lit(0.0)) for i in TRAITS[trait]]
+        mean = reduce(Column.__add__, scores) / len(scores)
+        return mean > threshold if sign == ">" else mean < threshold
+
+    named = [F.when(reduce(Column.__and__, (holds(*test) for test in tests)), F.lit(name)) for name, tests in NAMING]
+    return F.coalesce(*named, F.lit(OTHERWISE))
 
 
 def train_kmeans(pooled: DataFrame, ks: Sequence[int] = (6, 7, 8), inits: int = 3) -> tuple[DataFrame, dict]:
@@ -62,8 +61,7 @@ def train_kmeans(pooled: DataFrame, ks: Sequence[int] = (6, 7, 8), inits: int =
     for k in ks:
         models = [KMeans(k=k, seed=42 + i, maxIter=30).fit(data) for i in range(inits)]
         fits[k] = min(models, key=lambda m: m.summary.trainingCost)
-        labelled = fits[k].transform(sample_rows(data, "cell_id", SAMPLE))
-        sil[k] = round(silhouette(labelled, "prediction"), 4)
+        sil[k] = round(ClusteringEvaluator().evaluate(fits[k].transform(data)), 4)       # all rows, through sums per cluster
     k = max(x for x, v in sil.items() if v >= max(sil.values()) - SILHOUETTE_TOLERANCE)
     out = fits[k].transform(data).withColumnRenamed("prediction", "cluster")
     return out, {"k": k, "silhouette": sil, "centers": [c.tolist() for c in fits[k].clusterCenters()], "model": fits[k]}

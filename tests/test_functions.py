@@ -25,3 +25,8 @@ def test_text(spark):
 def test_gtfs_time(spark):
     s = TR.seconds(F.lit("25:10:00"))
     assert one(spark, s=s, night=TR.is_night(s), peak=TR.is_peak(s)) == {"s": 90600, "night": True, "peak": False}
+
+
+def test_fold_decomposes_letters_beyond_the_list(spark):
+    got = one(spark, a=T.fold(F.lit("Ảnh Ǎ")), b=T.fold(F.lit("ﬁn ĳs ß")), c=T.fold(F.lit("é Ž")), d=T.fold(F.lit("한글")), e=T.fold(F.lit(None).cast("string")))
+    assert (got["a"], got["b"], got["c"], got["d"], got["e"]) == ("anh a", "fin ijs ss", "e z", "한글", None)

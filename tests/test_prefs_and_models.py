@@ -1,5 +1,6 @@
 import numpy as np
 
+from placewise.operators import archetypes
 from placewise.operators import graph as GR, prefs as PF
 
 
@@ -28,3 +29,12 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 9: 1, 4: 4, 5: 4, 6: 6, 7: 6, 8: 6, 10: 10}
     big = GR.largest_component(n, GR.components(n, e, ["city"]), ["city"])
     assert sorted(r.node for r in big.collect()) == [1, 2, 3, 9]
+
+
+def test_names_of_centroids_follow_the_first_rule_that_holds(spark):
+    rows = [("historic_core", {"leisure.food_10min": 7.0, "leisure.culture_walk_min": -1.5}), ("urban_mix", {"leisure.food_10min": 7.0}),
+            ("student_buzz", {"education.university_walk_min": -1.1, "leisure.nightlife_10min": 0.6}), ("industrial_edge", {"environment.industrial_ha_1km": 1.1}),
+            ("quiet_outskirts", {"health.gp_walk_min": 5.5}), ("estate_blocks", {"family.playgrounds_500m": 0.6, "shops.shops_10min": 0.4}),
+            ("green_residential", {"green.green_share_500m": 1.1}), ("urban_mix", {"transit.departures_per_h_500m": 0.4}), ("family_suburb", {})]
+    df = spark.createDataFrame(rows, "want string, zm map<string,double>").withColumn("got", archetypes.name_cluster("zm"))
+    assert [r.got for r in df.collect()] == [w for w, _ in rows]
