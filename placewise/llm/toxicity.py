@@ -1,8 +1,8 @@
 """Toxicity scores from averaged subword embeddings.
 
 A word is the bag of its character n-grams (with word borders) and of itself, each an embedding; a word's vector is the
-mean of its bag, a text's vector the mean over its distinct words, and a linear softmax reads the text's vector. Embeddings and
-softmax are trained jointly by full-batch Adam in numpy, on a bounded sample of the labelled rows. Unseen words and
+mean of its bag, a text's vector the mean over its distinct words, and a linear softmax reads the text's vector. The mean is
+weighed up a little in long texts, where a telling word is one among many harmless ones. Embeddings and softmax are trained jointly by full-batch Adam in numpy, on a bounded sample of the labelled rows. Unseen words and
 misspellings are scored by the n-grams they share with known words.
 """
 from __future__ import annotations
@@ -27,7 +27,9 @@ DECAY = 1e-4
 THRESHOLD = 0.7
 EPS = 1e-4            # damps the steps of subwords with small gradients, which are mostly noise
 GAIN = 30.0           # fixed scale of the averaged vector: a few telling words among hundreds must move the softmax
-BLANKS = 20           # words without meaning added to every text: a few odd words do not decide on a short one
+BLANKS = 60           # words without meaning added to every text: a few odd words do not decide on a short one
+USUAL = 100           # distinct words (blanks included) of a text whose mean is taken as it is
+LONG = 0.3            # power of the length by which longer texts' means weigh more
 CACHE = 200_000       # words a task remembers
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}\p{N}]*")
@@ -42,6 +44,11 @@ def subwords(word: str) -> set[str]:
     return {w, *(w[i:i + n] for n in GRAMS for i in range(len(w) - n + 1))}
 
 
+def share_of_word(n):
+    """What one of ``n`` distinct words weighs in its text's vector: the mean, weighed by length."""
+    return ((n + BLANKS) / USUAL) ** LONG / (n + BLANKS)
+
+
 class _Groups:
     """Sums of rows by group and their transpose, for a sparse matrix with one weight per entry."""
 
@@ -88,7 +95,7 @@ class Model:
 
     def __call__(self, text: str | None) -> float:
         w = set(words(text))
-        mean = math.fsum(map(self.word, w)) / (len(w) + BLANKS)      # fsum: the order of a set does not matter
+        mean = math.fsum(map(self.word, w)) * share_of_word(len(w))      # fsum: the order of a set does not matter
         return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, mean + self.bias))))
 
 
@@ -101,7 +108,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed
     texts_words = [[number.setdefault(x, len(number)) for x in sorted(set(words(t)))] for t in texts]
     d = np.repeat(np.arange(len(texts)), [len(t) for t in texts_words])
     w = np.array([x for t in texts_words for x in t], np.int64)
-    c = (1 / (np.bincount(d, minlength=len(texts)) + BLANKS))[d]
+    c = share_of_word(np.bincount(d, minlength=len(texts)))[d]
     grams: dict[str, int] = {}
     bags = [[grams.setdefault(g, len(grams)) for g in sorted(subwords(x))] for x in number]
     owner = np.repeat(np.arange(len(number)), [len(b) for b in bags])

@@ -51,7 +51,7 @@ def test_toxicity_held_out(spark):
     model = toxicity.fit(docs, labels.where(fold("doc_id", 3) != 1))
     held = toxicity.score(docs.join(labels, "doc_id").where(fold("doc_id", 3) == 1), model).groupBy("toxic", "predicted").count().collect()
     n = {(r.toxic, r.predicted): r["count"] for r in held}
-    assert n.get((0, 1), 0) <= 0.03 * n[0, 0] and n[1, 1] >= 0.5 * (n[1, 1] + n.get((1, 0), 0)), n
+    assert n.get((0, 1), 0) <= 0.03 * n[0, 0] and n[1, 1] >= 0.6 * (n[1, 1] + n.get((1, 0), 0)), n
     assert model.word("id1ots") > 20 * abs(model.word("thing"))
     odd = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (3, "123 !!", "a"), (3, "123 !!", "a"), (None, "idiot " * 50_000, None)], "doc_id long, text string, score string")
     out = toxicity.score(odd, model).collect()
