@@ -28,23 +28,20 @@ def contrasting_pairs(long: DataFrame, n: int, criteria: Sequence[str]) -> DataF
 
 
 def _newton(d: int):
-    """One Newton step per user row (w, gradient, packed upper Hessian)."""
+    """One Newton step per user row (w, gradient, packed upper Hessian), a batch of users at once."""
     iu = np.triu_indices(d)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for w, g, h in zip(b["w"], b["g"], b["h"]):
-                w = np.asarray(w, float)
-                m = np.zeros((d, d))
-                m[iu] = h
-                m = m + m.T - np.diag(np.diag(m)) + np.eye(d)
-                out.append((w - np.linalg.solve(m, np.asarray(g, float) + w)).tolist())
-            yield pd.DataFrame({"user": b["user"], "w": out})
+            w, g, h = (np.array(b[c].tolist(), float).reshape(len(b), -1) for c in "wgh")
+            m = np.zeros((len(b), d, d))
+            m[:, iu[0], iu[1]] = m[:, iu[1], iu[0]] = h
+            moved = np.linalg.solve(m + np.eye(d), (g + w)[..., None])[..., 0] if len(b) else w
+            yield pd.DataFrame({"user": b["user"], "w": (w - moved).tolist()})
     return run
 
 
-def fit_preferences(choices: DataFrame, criteria: Sequence[str] = CHOICE_CRITERIA, rounds: int = 10, tol: float = 1e-6) -> DataFrame:
+def fit_preferences(choices: DataFrame, criteria: Sequence[str] = CHOICE_CRITERIA, rounds: int = 30, tol: float = 1e-6) -> DataFrame:
     """(user, levels map, confidence): ridge logistic regression without intercept on the differences a - b, all users
     in the same Newton rounds.
 
@@ -72,6 +69,8 @@ def fit_preferences(choices: DataFrame, criteria: Sequence[str] = CHOICE_CRITERI
         w = new
         if moved is None or moved < tol:
             break
+    else:
+        raise RuntimeError(f"preferences did not converge in {rounds} rounds")
     top = "CASE WHEN array_max(w) > 0 THEN array_max(w) ELSE 1D END"
     level = f"CASE WHEN v > 0 THEN cast(least(greatest(bround(round(1 + 4 * v / ({top}), 6), 0), 1), 5) AS int) ELSE 0 END"
     names = "array(" + ", ".join(f"'{c}'" for c in criteria) + ")"

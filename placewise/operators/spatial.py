@@ -277,9 +277,13 @@ def majority_label(cells: DataFrame, edge_table: DataFrame, ids: Sequence[str],
 
 def apportion(edge_table: DataFrame, values: DataFrame, districts: DataFrame, source: str, district: str, value: str,
               size: float, res: float, keys: Sequence[str] = ()) -> DataFrame:
-    """Split a polygon's value over districts by area share, measured on a lattice of ``res`` metres."""
+    """Split a polygon's value over districts by area share, measured on a lattice of ``res`` metres. A polygon that holds
+    no lattice point gives its whole value to the district of its corners' mean."""
     pix = pixels_inside(edge_table, [source], res, keys)
     pts = pix.withColumn("x", (F.col("ix") + 0.5) * res).withColumn("y", (F.col("iy") + 0.5) * res)
+    small = edge_table.join(pix.select(*keys, source).distinct(), [*keys, source], "left_anti")
+    small = small.groupBy(*keys, source).agg(F.avg("x1").alias("x"), F.avg("y1").alias("y"))
+    pts = pts.unionByName(small.withColumn("ix", F.floor(F.col("x") / res)).withColumn("iy", F.floor(F.col("y") / res)))
     total = pts.groupBy(*keys, source).agg(F.count("*").alias("__all"))
     hit = containing(pts, districts, [source, "ix", "iy"], [district], size, keys)
     part = hit.groupBy(*keys, source, district).agg(F.count("*").alias("__n"))

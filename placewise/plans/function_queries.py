@@ -272,28 +272,33 @@ def latest_n_months(spark, d):
     return RG.latest_months(li, "month", 6).groupBy("month").agg(F.count("*").alias("n"))
 
 
-@query("W08_percentile_rank_region", q("""SELECT city, round(median(p), 6) AS median_pct FROM (SELECT city, cell_id, (rank() OVER w + count(*) OVER
- (PARTITION BY city, v) / 2.0 - 0.5) / count(*) OVER (PARTITION BY city) AS p FROM raw_long WHERE habitable AND ikey = 'environment.pm25' AND v IS NOT NULL
- WINDOW w AS (PARTITION BY city ORDER BY v)) JOIN cells USING (city, cell_id) WHERE sqrt(pow((lat - 50.01) * 111.2, 2)
- + pow((lon - CASE city WHEN 'praha' THEN 14.3 ELSE 19.9 END) * 111.2 * cos(radians(50.01)), 2)) <= 6.0 GROUP BY 1"""))
+def raw_values(spark, d, *more):
+    """Known raw values of the habitable cells, a row per indicator."""
+    names = F.array(*[F.lit(s.key) for s in B.SPECS])
+    return (prepared(spark, d).where("habitable").select("city", *more, F.posexplode("raw").alias("j", "v"))
+            .where("v IS NOT NULL").select("city", *more, names[F.col("j")].alias("ikey"), "v"))
+
+
+@query("W08_percentile_rank_region", q("""SELECT city, ikey, round(median(p), 6) AS median_pct FROM (SELECT city, ikey, cell_id, (rank() OVER w + count(*) OVER
+ (PARTITION BY city, ikey, v) / 2.0 - 0.5) / count(*) OVER (PARTITION BY city, ikey) AS p FROM raw_long WHERE habitable AND v IS NOT NULL
+ WINDOW w AS (PARTITION BY city, ikey ORDER BY v)) JOIN cells USING (city, cell_id) WHERE sqrt(pow((lat - 50.01) * 111.2, 2)
+ + pow((lon - CASE city WHEN 'praha' THEN 14.3 ELSE 19.9 END) * 111.2 * cos(radians(50.01)), 2)) <= 6.0 GROUP BY 1, 2"""))
 def percentile_rank_region(spark, d):
-    j = [s.key for s in B.SPECS].index("environment.pm25")
-    hab = prepared(spark, d).where("habitable").select("city", "lat", "lon", F.col("raw")[j].alias("v")).where("v IS NOT NULL")
-    rank = R.mean_rank_share(hab, ["city"], "v")
+    hab = raw_values(spark, d, "lat", "lon")
+    rank = R.mean_rank_share(hab, ["city", "ikey"], "v")
     lon0 = F.when(F.col("city") == "praha", 14.3).otherwise(19.9)
     area = hab.where(geo.planar_km(F.col("lat"), F.col("lon"), F.lit(50.01), lon0) <= 6.0)
-    m = R.medians(area.join(rank, ["city", "v"]), ["city"], "pct_rank", "m")
-    return m.select("city", F.round("m", 6).alias("median_pct"))
+    m = R.medians(area.join(rank, ["city", "ikey", "v"]), ["city", "ikey"], "pct_rank", "m")
+    return m.select("city", "ikey", F.round("m", 6).alias("median_pct"))
 
 
-@query("W09_rank_of_group", q("""SELECT city, district_name, rank FROM (SELECT city, district_name, row_number() OVER (PARTITION BY city
+@query("W09_rank_of_group", q("""SELECT city, ikey, district_name, rank FROM (SELECT city, ikey, district_name, row_number() OVER (PARTITION BY city, ikey
  ORDER BY round(median(v), 9) DESC, district_name) AS rank FROM raw_long JOIN cells c USING (city, cell_id) WHERE c.habitable
- AND ikey = 'environment.pm25' GROUP BY 1, 2)"""))
+ AND v IS NOT NULL GROUP BY 1, 2, 3)"""))
 def rank_of_group(spark, d):
-    j = [s.key for s in B.SPECS].index("environment.pm25")
-    hab = prepared(spark, d).where("habitable").select("city", "district_name", F.col("raw")[j].alias("v"))
-    m = R.medians(hab, ["city", "district_name"], "v", "m")
-    return R.global_positions(m, ["city"], [F.desc(F.round("m", 9)), F.asc("district_name")], "rank").select("city", "district_name", "rank")
+    m = R.medians(raw_values(spark, d, "district_name"), ["city", "ikey", "district_name"], "v", "m")
+    order = [F.desc(F.round("m", 9)), F.asc("district_name")]
+    return R.global_positions(m, ["city", "ikey"], order, "rank").select("city", "ikey", "district_name", "rank")
 
 
 # ------------------------------------------------------------------ aggregates

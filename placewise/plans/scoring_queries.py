@@ -277,18 +277,18 @@ def top_one_per_group(spark, d):
 
 
 @query("O01_multi_key_sort", q("""SELECT request_id, cell_id, row_number() OVER (PARTITION BY request_id
- ORDER BY l9 DESC, m9 DESC, cell_id) AS pos FROM lensed WHERE request_id = 6 AND passing"""))
+ ORDER BY l9 DESC, m9 DESC, cell_id) AS pos FROM lensed WHERE passing"""))
 def multi_key_sort(spark, d):
-    df = scores(spark, d).where("request_id = 6 AND passing").select("request_id", "cell_id", S.lens().alias("lens"), "mf")
+    df = scores(spark, d).where("passing").select("request_id", "cell_id", S.lens().alias("lens"), "mf")
     order = [F.desc(F.round("lens", 9)), F.desc(F.round("mf", 9)), F.asc("cell_id")]
     return R.global_positions(df, ["request_id"], order, "pos").select("request_id", "cell_id", "pos")
 
 
-@query("O02_limit_topk", q("""SELECT request_id, cell_id, round(mf, 6) AS mf FROM (SELECT * FROM pass WHERE request_id = 1 AND passing
- ORDER BY m9 DESC, cell_id LIMIT 25)"""))
+@query("O02_limit_topk", q("""SELECT request_id, cell_id, round(mf, 6) AS mf FROM (SELECT *, row_number() OVER (PARTITION BY request_id
+ ORDER BY m9 DESC, cell_id) AS pos FROM pass WHERE passing) WHERE pos <= 25"""))
 def limit_topk(spark, d):
-    df = scores(spark, d).where("request_id = 1 AND passing").select("request_id", "cell_id", "mf")
-    return (df.orderBy(F.desc(F.round("mf", 9)), "cell_id").limit(25)
+    df = scores(spark, d).where("passing").select("request_id", "cell_id", "mf")
+    return (R.top_per_group(df, ["request_id"], [F.desc(F.round("mf", 9)), F.asc("cell_id")], 25)
             .select("request_id", "cell_id", F.round("mf", 6).alias("mf")))
 
 

@@ -75,3 +75,16 @@ def test_nearest_with_a_limit_below_the_bin_size(spark):
     t = spark.createDataFrame([("c", 5, 61.0, 10.0), ("c", 6, 490.0, 490.0)], "city string, tid long, x double, y double")
     got = SP.nearest(p, t, ["pid"], "tid", 500.0, ["city"], max_dist=100.0).collect()
     assert [(r.pid, r.tid, round(r.dist, 6)) for r in got] == [(1, 5, 51.0)]
+
+
+def test_apportion_keeps_polygons_between_lattice_points(spark):
+    """A polygon of 50 m between the points of a 200 m lattice keeps its value: the total of 600 is preserved."""
+    def square(key, x, y, side):
+        return [("c", key, x, y, x + side, y), ("c", key, x + side, y, x + side, y + side),
+                ("c", key, x + side, y + side, x, y + side), ("c", key, x, y + side, x, y)]
+    cols = "city string, {} long, x1 double, y1 double, x2 double, y2 double"
+    src = spark.createDataFrame(square(1, 0.0, 0.0, 400.0) + square(2, 610.0, 610.0, 50.0), cols.format("src"))
+    dis = spark.createDataFrame(square(7, -100.0, -100.0, 600.0) + square(8, 500.0, 500.0, 500.0), cols.format("district"))
+    val = spark.createDataFrame([("c", 1, 100.0), ("c", 2, 500.0)], "city string, src long, value double")
+    got = SP.apportion(src, val, dis, "src", "district", "value", 500.0, 200.0, ["city"]).collect()
+    assert {r.district: round(r.value, 6) for r in got} == {7: 100.0, 8: 500.0}
