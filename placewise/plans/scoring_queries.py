@@ -449,13 +449,17 @@ def no_effective_weights(spark, d):
         "request_id", f"NOT exists(sequence(0, {len(CRITERIA) - 1}), i -> lv[i] > 0 AND den[i] > 0) AS none_rated")
 
 
-@query("E15_single_criterion_lens", q(f"""SELECT 'green' AS criterion, city, cell_id, CAST({half_even('sc')} AS INTEGER) AS score FROM crit
- WHERE criterion = 'green' AND request_id IN ({', '.join(map(str, B.CUSTOM_ID.values()))})"""))
+LENS = [c for c in CRITERIA if c != "commute"]          # commute needs anchors
+
+
+@query("E15_single_criterion_lens", q(f"""SELECT criterion, city, cell_id, CAST({half_even('sc')} AS INTEGER) AS score FROM crit
+ WHERE criterion IN ({', '.join(repr(c) for c in LENS)}) AND request_id IN ({', '.join(map(str, B.CUSTOM_ID.values()))})"""))
 def single_criterion_lens(spark, d):
     """A request that rates one criterion only returns that criterion's score as its match."""
-    rows = [dict(request_id=900 + i, city=c, persona="custom", weights={k: 5 if k == "green" else 0 for k in CRITERIA})
-            for i, c in enumerate(CITIES)]
-    return scored(spark, d, rows).select(F.lit("green").alias("criterion"), "city", "cell_id", "score")
+    rows = [dict(request_id=900 + i * len(LENS) + j, city=c, persona="custom", weights={k: 5 if k == only else 0 for k in CRITERIA})
+            for i, c in enumerate(CITIES) for j, only in enumerate(LENS)]
+    name = F.array(*[F.lit(c) for c in LENS])[(F.col("request_id") - 900) % len(LENS)]
+    return scored(spark, d, rows).where("score IS NOT NULL").select(name.alias("criterion"), "city", "cell_id", "score")
 
 
 @query("E07_commute_map", q("""SELECT a.request_id, u.aid AS anchor, a.cell_id, a.minutes FROM cell_anchor a JOIN usable_anchor u
