@@ -143,6 +143,7 @@ def iqr_trim(df: DataFrame, value: str, keys: Sequence[str] = (), floor: float |
     src = df if keys else df.withColumn("__one", F.lit(1))
     by = keys or ["__one"]
     qs = quantiles(src.select(*by, value), by, value, {"q1": 0.25, "q3": 0.75}).drop("n")
+    qs = qs if keys else F.broadcast(qs)          # one row without keys
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     lo = F.greatest(lo, F.lit(floor)) if floor is not None else lo
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import CRITERIA
+from ..config import CRITERIA, LANGS
 from ..functions import geo, text as T
 from ..functions.norm import half_even as he
 from ..operators import classes as CL, groups as G, ranking as R, registers as RG, requests as RQ, scoring as S
@@ -107,12 +107,12 @@ def fmt_number_locale(spark, d):
                     T.fmt_number(F.col("v"), F.col("lang"), F.lit(1)).alias("tenth"))
 
 
-@query("F10_display_value", f"""SELECT v, unit, {display_sql('v', 'unit', "'cs'", '1')} AS text, count(*) AS n FROM (SELECT l_quantity / 20.0 AS v,
- CASE WHEN l_returnflag = 'R' THEN 'min' ELSE 'm' END AS unit FROM lineitem) GROUP BY 1, 2, 3""")
+@query("F10_display_value", f"""SELECT v, unit, lang, {display_sql('v', 'unit', 'lang', '1')} AS text, n FROM (SELECT l_quantity / 20.0 AS v,
+ CASE WHEN l_returnflag = 'R' THEN 'min' ELSE 'm' END AS unit, count(*) AS n FROM lineitem GROUP BY 1, 2), (SELECT unnest(['pl', 'cs', 'en', 'ko']) AS lang)""")
 def display_value(spark, d):
     li = B.table(spark, d, "lineitem").selectExpr("l_quantity / 20.0D AS v", "CASE WHEN l_returnflag = 'R' THEN 'min' ELSE 'm' END AS unit")
-    return (li.groupBy("v", "unit").agg(F.count("*").alias("n"))
-            .withColumn("text", T.display_value(F.col("v"), F.col("unit"), F.lit("cs"), F.lit(1))))
+    return (li.groupBy("v", "unit").agg(F.count("*").alias("n")).withColumn("lang", F.explode(F.array(*[F.lit(x) for x in LANGS])))
+            .withColumn("text", T.display_value(F.col("v"), F.col("unit"), F.col("lang"), F.lit(1))))
 
 
 @query("F13_local_to_utc", """SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 4 THEN strftime((o_orderdate + INTERVAL 90 MINUTE) AT TIME ZONE 'Europe/Warsaw'
