@@ -2,8 +2,9 @@
 
 A word is the bag of its character n-grams (with word borders) and of itself, each an embedding; a word's vector is the
 mean of its bag, a text's vector the mean over its distinct words, and a linear softmax reads the text's vector. The mean is
-weighed up a little in long texts, where a telling word is one among many harmless ones. Embeddings and softmax are trained jointly by full-batch Adam in numpy, on a bounded sample of the labelled rows. Unseen words and
-misspellings are scored by the n-grams they share with known words.
+weighed up a little in long texts, where a telling word is one among many harmless ones. Embeddings and softmax are trained
+jointly by full-batch Adam in numpy, on a bounded sample of the labelled rows. Unseen words and misspellings are scored by
+the n-grams they share with known words.
 """
 from __future__ import annotations
 
