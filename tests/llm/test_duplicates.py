@@ -81,3 +81,46 @@ def test_vectors_equal_brute_force(spark):
 
 def test_no_vectors(spark):
     assert vector_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_copies_between_near_vectors_hide_no_pair(spark):
+    """One pair at cosine 0.91 and, around its middle, 200 vectors of 30 copies each, nearly all too far for a link."""
+    rng, dim = np.random.default_rng(11), 32
+    turn = np.arccos(0.91) / 2
+    e = np.eye(dim)
+    x = [np.cos(turn) * e[0] + np.sin(turn) * e[1], np.cos(turn) * e[0] - np.sin(turn) * e[1]]
+    for _ in range(200):
+        far = np.concatenate([[0, 0], rng.normal(size=dim - 2)])
+        x.append(np.cos(0.52) * e[0] + np.sin(0.52) * far / np.linalg.norm(far))
+    copies = [1, 1] + [30] * 200
+    rows, of = [], []
+    for i, c in enumerate(copies):
+        for _ in range(c):
+            rows.append((len(of), [float(v) for v in x[i]]))
+            of.append(i)
+    got = {r.vec_id: r for r in vector_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    cos = np.array(x) @ np.array(x).T
+    np.fill_diagonal(cos, 1)
+    first = [of.index(i) for i in range(len(x))]
+    want = _components(range(len(x)), lambda a, b: cos[a, b] >= 0.9)
+    assert want[1] == 0
+    for i, c in enumerate(of):
+        assert got[i].n_links == sum(n for n, ok in zip(copies, cos[c] >= 0.9) if ok) - 1
+        assert got[i].component_id == first[want[c]]
+
+
+def test_passes_grow_with_the_vectors():
+    n = [vector_dedup.passes_for(k, 0.9) for k in (500, 10_000, 100_000, 1_000_000, 10_000_000)]
+    assert n[0] == vector_dedup.PASSES and n == sorted(n) and n[2] > n[1] and n[4] > 60
+
+
+def test_sample_repairs_short_passes(spark, monkeypatch):
+    """With one pass and a window of one, the sample shows what is missing and passes go on until it is found."""
+    monkeypatch.setattr(vector_dedup, "WINDOW", 1)
+    rng = np.random.default_rng(3)
+    c = rng.normal(size=(40, 16))
+    v = np.concatenate([c, c + rng.normal(scale=0.2, size=c.shape)])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    got = vector_dedup.near_duplicates(spark.createDataFrame([(i, [float(a) for a in x]) for i, x in enumerate(v)], "vec_id long, embedding array<double>"), passes=1).collect()
+    links = ((v @ v.T >= 0.9).sum(1) - 1).tolist()
+    assert sum(r.n_links for r in got) >= 0.97 * sum(links) > 0 and all(r.n_links <= links[r.vec_id] for r in got)
