@@ -4,18 +4,22 @@ A document is the set of its distinct word shingles. Its signature holds one min
 documents recursively: a node draws one or two coordinates (1/threshold on average) and every document goes on to the
 children named by its tokens at those coordinates, so that two sets of similarity J share a child with probability near
 J per draw. Nodes of at most ``LEAF`` documents are compared exhaustively on signatures. A node whose documents mostly
-resemble its pivot would never shrink; there every document is compared with the pivot and splitting stops.
+resemble its pivot would never shrink; there every document is compared with the pivot and splitting stops for the near ones.
+Others are split until every node is a leaf; from ``MAX_DEPTH`` levels on leaves may be larger, so splitting always ends, and
+no node is dropped.
 
 Pairs that pass are grouped into neighbourhoods, and links are confirmed on full sets: exhaustively between the parts of
 a neighbourhood that are not yet connected, in blocks where a neighbourhood is large. Only connectivity is reported, so pairs
 inside one component need no check, and no pairs of copies are produced: equal sets are one class throughout.
 
-Recall of a pair at similarity 0.8 per tree is 0.73 where two levels suffice and 0.58 after four; ten independent trees
-miss such a pair with probability 2e-6 to 2e-4, and pairs above 0.8 less often.
+Recall of a pair at similarity 0.8 per tree is 0.73 where two levels suffice, 0.58 after four and 0.32 after twelve. Ten
+trees miss such a pair with probability 2e-6 to 2e-4 where four levels suffice; documents that go deeper pass through more
+trees (22 for twelve levels), so that the loss from splitting stays at 2e-4; pairs above 0.8 are missed less often.
 """
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -30,7 +34,11 @@ from .common import arrow_rows, saved
 COORDS = 64          # minwise tokens of a signature, 16 bits each
 TREES = 10
 LEAF = 64            # nodes up to this size are compared exhaustively
-MAX_DEPTH = 12
+LEAF_BLOCK = 1024    # leaves above this size are compared in blocks
+FREE_DEPTH = 4       # levels for which TREES suffice
+MAX_DEPTH = 12       # levels after which leaves may grow
+GROWTH = 1.5         # ... by this factor a level
+MISS = 2e-4          # probability to miss a pair at similarity 0.8 by splitting
 NEAR = 0.6           # estimated similarity from which a pair is confirmed on full sets (threshold less four deviations)
 WHOLE = 512          # neighbourhoods up to this size are confirmed in one piece
 BIN_DOCS = 1000      # documents of a confirming task, about
@@ -109,6 +117,27 @@ def _branch(df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.when(two, F.array(child(i), child(j))).otherwise(F.array(child(i)))).alias("node"), "doc", "sig")
 
 
+def trees_for(depth: int) -> int:
+    """Trees that part a pair at similarity 0.8 everywhere within ``depth`` levels with probability ``MISS`` at most."""
+    together = 1.0
+    for _ in range(depth):
+        one = 1 - 0.8 * together
+        together = 1 - (0.75 * one + 0.25 * one * one)
+    return int(np.ceil(np.log(MISS) / np.log1p(-together)))
+
+
+def leaf_size(depth: int) -> int:
+    return int(LEAF * GROWTH ** max(0, depth - MAX_DEPTH))
+
+
+def _in_blocks(leaves: DataFrame) -> DataFrame:
+    """(node, doc) of leaves (node, doc, size): a large leaf becomes one node for each two of its blocks."""
+    b = F.ceil(F.col("size") / LEAF_BLOCK).cast("long")
+    own = F.pmod(F.xxhash64("doc", F.lit(7)), b)
+    both = F.transform(F.sequence(F.lit(0).cast("long"), b - 1), lambda o: F.xxhash64("node", F.least(own, o), F.greatest(own, o)))
+    return leaves.select(F.explode(F.when(b > 1, both).otherwise(F.array("node"))).alias("node"), "doc")
+
+
 def _similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(1)
 
@@ -122,7 +151,7 @@ def _leaf_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in arrow_rows(batches, "node"):
         node, doc, sig = t.column("node").to_numpy(), t.column("doc").to_numpy(), _sigs(t)
         at = np.arange(len(node))
-        for k in range(1, LEAF):
+        for k in count(1):
             at = at[at + k < len(node)]
             at = at[node[at] == node[at + k]]
             if not len(at):
@@ -146,10 +175,10 @@ def _pivot_similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                                              ["node", "doc", "sig", "pivot", "est"])
 
 
-def candidates(sets: DataFrame, trees: int = TREES) -> DataFrame:
-    """(u, v): pairs u > v of ``sets`` (doc, sig) that meet in a leaf or at a pivot and look similar. Distinct."""
-    found = []
-    alive = sets.select(F.explode(F.array(*[F.xxhash64(F.lit(t), F.lit(101)) for t in range(trees)])).alias("node"), "doc", "sig")
+def _forest(sets: DataFrame, trees: range) -> tuple[list[DataFrame], DataFrame | None, int]:
+    """Pairs found by these trees, the documents that went below ``FREE_DEPTH`` levels (if any), and the depth reached."""
+    found, deep = [], None
+    alive = sets.select(F.explode(F.array(*[F.xxhash64(F.lit(t), F.lit(101)) for t in trees])).alias("node"), "doc", "sig")
     alive, depth = _branch(alive), 1
     while True:
         # signatures stay behind until it is known which nodes hold more than one document
@@ -158,9 +187,10 @@ def candidates(sets: DataFrame, trees: int = TREES) -> DataFrame:
         pivot = F.min(F.struct(F.xxhash64("doc", F.lit(depth)).alias("h"), F.col("doc"), F.col("sig"))).alias("p")
         sizes = members.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
         sized = saved(members.join(sizes, "node"), f"sized{depth}")
-        small = sized.where(F.col("size") <= LEAF).select("node", "doc").join(sets, "doc").select("node", "doc", "sig")
+        leaf = leaf_size(depth)
+        small = _in_blocks(sized.where(F.col("size") <= leaf)).join(sets, "doc").select("node", "doc", "sig")
         found.append(saved(small.repartition("node").sortWithinPartitions("node").mapInArrow(_leaf_pairs, "u long, v long, est double"), f"leaf{depth}"))
-        big = saved(sized.where(F.col("size") > LEAF).select("node", "doc").join(sets, "doc").select("node", "doc", "sig"), f"big{depth}")
+        big = saved(sized.where(F.col("size") > leaf).select("node", "doc").join(sets, "doc").select("node", "doc", "sig"), f"big{depth}")
         if big.isEmpty():
             break
         pivots = big.groupBy("node").agg(pivot).select("node", F.col("p.doc").alias("pivot"), F.col("p.sig").alias("psig"))
@@ -171,8 +201,18 @@ def candidates(sets: DataFrame, trees: int = TREES) -> DataFrame:
         found.append(met.where(near & (F.col("doc") != F.col("pivot")))
                      .select(F.greatest("doc", "pivot").alias("u"), F.least("doc", "pivot").alias("v"), "est"))
         alive = saved(met.where(F.col("dense").isNull() | ~near).select("node", "doc", "sig"), f"alive{depth}")
-        if depth >= MAX_DEPTH:
-            break
+        if depth == FREE_DEPTH:
+            deep = saved(alive.select("doc").distinct().join(sets, "doc"), "deep")
+    return found, deep, depth
+
+
+def candidates(sets: DataFrame, trees: int = TREES) -> DataFrame:
+    """(u, v): pairs u > v of ``sets`` (doc, sig) that meet in a leaf or at a pivot and look similar. Distinct."""
+    found, deep, depth = _forest(sets, range(trees))
+    # documents that went deep need more trees
+    while deep is not None and trees < trees_for(depth):
+        more, _, reached = _forest(deep, range(trees, trees_for(depth)))
+        found, trees, depth = found + more, trees_for(depth), max(depth, reached)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

@@ -124,3 +124,26 @@ def test_sample_repairs_short_passes(spark, monkeypatch):
     got = vector_dedup.near_duplicates(spark.createDataFrame([(i, [float(a) for a in x]) for i, x in enumerate(v)], "vec_id long, embedding array<double>"), passes=1).collect()
     links = ((v @ v.T >= 0.9).sum(1) - 1).tolist()
     assert sum(r.n_links for r in got) >= 0.97 * sum(links) > 0 and all(r.n_links <= links[r.vec_id] for r in got)
+
+
+def _signatures(spark, rows):
+    sets = spark.createDataFrame([(i, bytearray(np.asarray(x, "<u2").tobytes())) for i, x in enumerate(rows)], "doc long, sig binary")
+    return minhash_dedup.saved(sets.repartition(8), "signatures")
+
+
+def test_no_node_is_dropped_when_deep(spark, monkeypatch):
+    """1,400 documents share a passage (similarity about 0.56): their nodes are large after three levels. 100 pairs at 0.86."""
+    monkeypatch.setattr(minhash_dedup, "MAX_DEPTH", 3)
+    rng = np.random.default_rng(8)
+    base, docs = rng.integers(0, 2**16, 64), rng.integers(0, 2**16, (1400, 64))
+    docs = np.where(rng.random(docs.shape) < 0.75, base, docs)
+    for i in range(100):
+        docs[100 + i] = docs[i]
+        docs[100 + i, rng.permutation(64)[:9]] = rng.integers(0, 2**16, 9)
+    found = {(r.u, r.v) for r in minhash_dedup.candidates(_signatures(spark, docs), trees=3).collect()}
+    assert sum((100 + i, i) in found for i in range(100)) >= 93
+
+
+def test_trees_grow_with_depth():
+    assert [minhash_dedup.trees_for(d) for d in (2, 4, 12)] == [7, 10, 22]
+    assert minhash_dedup.leaf_size(12) == minhash_dedup.LEAF and minhash_dedup.leaf_size(20) > 20 * minhash_dedup.LEAF
