@@ -4,7 +4,8 @@ A document is the set of its distinct word shingles. Its signature holds one min
 documents recursively: a node draws one or two coordinates (1/threshold on average) and every document goes on to the
 children named by its tokens at those coordinates, so that two sets of similarity J share a child with probability near
 J per draw. Nodes of at most ``LEAF`` documents are compared exhaustively on signatures. A node whose documents mostly
-resemble its pivot would never shrink; there every document is compared with the pivot and splitting stops for the near ones.
+resemble its pivot would never shrink; there every document is compared with the pivot and splitting stops for those that nearly
+equal it; documents in the band between (``NEAR`` to ``BAND``) stay on both sides, with their pivot and with the far ones.
 Others are split until every node is a leaf; from ``MAX_DEPTH`` levels on leaves may be larger, so splitting always ends, and
 no node is dropped.
 
@@ -40,6 +41,7 @@ MAX_DEPTH = 12       # levels after which leaves may grow
 GROWTH = 1.5         # ... by this factor a level
 MISS = 2e-4          # probability to miss a pair at similarity 0.8 by splitting
 NEAR = 0.6           # estimated similarity from which a pair is confirmed on full sets (threshold less four deviations)
+BAND = 0.875         # estimated similarity to the pivot from which a document leaves a dense node
 WHOLE = 512          # neighbourhoods up to this size are confirmed in one piece
 BIN_DOCS = 1000      # documents of a confirming task, about
 CACHE = 200_000      # words a task remembers
@@ -184,7 +186,7 @@ def _forest(sets: DataFrame, trees: range) -> tuple[list[DataFrame], DataFrame |
         # signatures stay behind until it is known which nodes hold more than one document
         alive, depth = _branch(alive), depth + 1
         members = saved(alive.select("node", "doc"), f"members{depth}")
-        pivot = F.min(F.struct(F.xxhash64("doc", F.lit(depth)).alias("h"), F.col("doc"), F.col("sig"))).alias("p")
+        pivot = F.min(F.struct(F.xxhash64("node", "doc").alias("h"), F.col("doc"), F.col("sig"))).alias("p")
         sizes = members.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
         sized = saved(members.join(sizes, "node"), f"sized{depth}")
         leaf = leaf_size(depth)
@@ -200,7 +202,7 @@ def _forest(sets: DataFrame, trees: range) -> tuple[list[DataFrame], DataFrame |
         met = met.join(dense, "node", "left")
         found.append(met.where(near & (F.col("doc") != F.col("pivot")))
                      .select(F.greatest("doc", "pivot").alias("u"), F.least("doc", "pivot").alias("v"), "est"))
-        alive = saved(met.where(F.col("dense").isNull() | ~near).select("node", "doc", "sig"), f"alive{depth}")
+        alive = saved(met.where(F.col("dense").isNull() | (F.col("est") < BAND)).select("node", "doc", "sig"), f"alive{depth}")
         if depth == FREE_DEPTH:
             deep = saved(alive.select("doc").distinct().join(sets, "doc"), "deep")
     return found, deep, depth

@@ -147,3 +147,18 @@ def test_no_node_is_dropped_when_deep(spark, monkeypatch):
 def test_trees_grow_with_depth():
     assert [minhash_dedup.trees_for(d) for d in (2, 4, 12)] == [7, 10, 22]
     assert minhash_dedup.leaf_size(12) == minhash_dedup.LEAF and minhash_dedup.leaf_size(20) > 20 * minhash_dedup.LEAF
+
+
+def test_border_of_a_dense_node_stays_together(spark):
+    """A dense group; 600 documents Y at about 0.72 to it, each the only near one of an X at about 0.56 to the group."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**16, 64)
+    docs = np.where(rng.random((2400, 64)) < 0.97, base, rng.integers(0, 2**16, (2400, 64)))
+    for i in range(600):
+        order = rng.permutation(64)
+        docs[i] = base
+        docs[i, order[:18]] = rng.integers(0, 2**16, 18)
+        docs[600 + i] = docs[i]
+        docs[600 + i, order[18:28]] = rng.integers(0, 2**16, 10)
+    found = {(r.u, r.v) for r in minhash_dedup.candidates(_signatures(spark, docs), trees=2).collect()}
+    assert sum((600 + i, i) in found for i in range(600)) >= 0.85 * 600
