@@ -305,22 +305,43 @@ def _texts(want: DataFrame, docs: DataFrame) -> DataFrame:
     return want.join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc").select(*[F.col(c).alias(c) for c in want.columns], F.col("text").alias("text"))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(u, v): links of similarity ``percent`` or more that connect what the candidate pairs' neighbourhoods hold."""
-    nodes = saved(pairs.selectExpr("explode(array(u, v)) AS node").distinct(), "nodes")
-    hoods = saved(components(nodes, pairs, []).withColumnRenamed("comp", "hood"), "hoods")
+def dealt(pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(hoods, load, edges): neighbourhood of each document, sizes of neighbourhoods, and the pairs with their task (a, b)."""
+    nodes = saved(pairs.selectExpr("explode(array(u, v)) AS node").groupBy("node").agg(F.count("*").alias("degree")), "nodes")
+    hoods = saved(components(nodes.select("node"), pairs, []).withColumnRenamed("comp", "hood"), "hoods")
     size = hoods.groupBy("hood").agg(F.count("*").alias("docs"))
-    edges = pairs.join(hoods.withColumnRenamed("node", "v"), "v")
+    # the end of fewer pairs decides a pair's task: a pivot's many pairs are spread, and its text is there once per task
+    edges = (pairs.join(hoods.withColumnRenamed("node", "v"), "v").join(nodes.select(F.col("node").alias("v"), F.col("degree").alias("dv")), "v")
+             .join(nodes.select(F.col("node").alias("u"), F.col("degree").alias("du")), "u")
+             .select("u", "v", "est", "hood", F.when(F.col("du") <= F.col("dv"), F.col("u")).otherwise(F.col("v")).alias("few")))
     load = edges.groupBy("hood").agg(F.count("*").alias("pairs")).join(size, "hood")
     total = load.agg(F.sum("docs")).first()[0] or 0
     bins = max(1, -(-total // BIN_DOCS))
     whole = F.col("docs") <= WHOLE
-    chunk = F.when(whole, F.lit(0)).otherwise(F.ceil(F.col("pairs") / (8 * BIN_DOCS)))
+    chunk = F.when(whole, F.lit(0)).otherwise(F.greatest(F.ceil(F.col("pairs") / (8 * BIN_DOCS)), F.ceil(F.col("docs") / BIN_DOCS)))
     load = load.select("hood", whole.alias("whole"), chunk.cast("long").alias("chunks"), F.pmod(F.xxhash64("hood"), F.lit(bins)).alias("bin"))
-    # a small neighbourhood goes to one bin with others; the pairs of a large one are dealt out by their smaller document
+    # a small neighbourhood goes to one bin with others; the pairs of a large one are dealt out
     place = F.when(F.col("whole"), F.struct(F.col("bin").alias("a"), F.lit(-1).cast("long").alias("b"))).otherwise(
-        F.struct(F.col("hood").alias("a"), F.pmod(F.xxhash64("v"), F.greatest("chunks", F.lit(1))).alias("b")))
+        F.struct(F.col("hood").alias("a"), F.pmod(F.xxhash64("few"), F.greatest("chunks", F.lit(1))).alias("b")))
     edges = saved(edges.join(load, "hood").select("u", "v", "est", "hood", "whole", place.alias("at")).select("u", "v", "est", "hood", "whole", "at.a", "at.b"), "edges")
+    return hoods, load, edges
+
+
+def rest_blocks(part: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(few, many) of neighbourhoods in parts (hood, node, comp, main, docs, outside): both in blocks of about ``BIN_DOCS``
+    documents, each block of few with each block of many in one task (hood, block, side)."""
+    zero = F.lit(0).cast("long")
+    part = part.withColumn("blocks", F.ceil(F.col("docs") / BIN_DOCS).cast("long")).withColumn("sides", F.ceil(F.col("outside") / BIN_DOCS).cast("long"))
+    few = part.where(F.col("comp") != F.col("main")).select("hood", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block"),
+                                                            F.pmod(F.xxhash64("node", F.lit(3)), F.col("sides")).alias("side"), F.col("node").alias("doc"), "comp")
+    many = part.select("hood", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), F.explode(F.sequence(zero, F.col("sides") - 1)).alias("side"),
+                       F.col("node").alias("doc"), "comp")
+    return few, many
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(u, v): links of similarity ``percent`` or more that connect what the candidate pairs' neighbourhoods hold."""
+    hoods, load, edges = dealt(pairs)
     want = edges.select("a", "b", "hood", "whole", F.explode(F.array("u", "v")).alias("doc")).distinct()
     links = saved(edges.select("a", "b", "u", "v", "est").groupBy("a", "b").cogroup(_texts(want, docs).groupBy("a", "b"))
                   .applyInPandas(_confirm(width, percent), "u long, v long"), "links")
@@ -329,12 +350,10 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
         return links
     # large neighbourhoods: what is not yet in the main part meets all others, block by block
     part = saved(components(large.select("node"), links.join(large.selectExpr("node AS u"), "u"), []).join(large, "node"), "parts")
-    main = part.groupBy("hood", "comp").agg(F.count("*").alias("n")).groupBy("hood").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"),
-                                                                                        F.count("*").alias("comps"), F.sum("n").alias("docs"))
-    part = part.join(main.where("comps > 1"), "hood").withColumn("blocks", F.ceil(F.col("docs") / BIN_DOCS).cast("long"))
-    few = part.where(F.col("comp") != F.col("main")).select("hood", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("node").alias("doc"), "comp")
-    many = part.select("hood", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), F.col("node").alias("doc"), "comp")
-    more = (_texts(few, docs).groupBy("hood", "block").cogroup(_texts(many, docs).groupBy("hood", "block"))
+    main = (part.groupBy("hood", "comp").agg(F.count("*").alias("n")).groupBy("hood")
+            .agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("n").alias("docs"), (F.sum("n") - F.max("n")).alias("outside")))
+    few, many = rest_blocks(part.join(main.where("comps > 1"), "hood"))
+    more = (_texts(few, docs).groupBy("hood", "block", "side").cogroup(_texts(many, docs).groupBy("hood", "block", "side"))
             .applyInPandas(_rest(width, percent), "u long, v long"))
     return saved(links.unionByName(more), "all_links")
 

@@ -162,3 +162,30 @@ def test_border_of_a_dense_node_stays_together(spark):
         docs[600 + i, order[18:28]] = rng.integers(0, 2**16, 10)
     found = {(r.u, r.v) for r in minhash_dedup.candidates(_signatures(spark, docs), trees=2).collect()}
     assert sum((600 + i, i) in found for i in range(600)) >= 0.85 * 600
+
+
+def test_large_neighbourhoods_meet_tasks_in_parts(spark, monkeypatch):
+    """A pivot of 600 pairs is not one task; documents outside the main part are cut into blocks as well."""
+    monkeypatch.setattr(minhash_dedup, "BIN_DOCS", 50)
+    star = spark.range(1, 601).selectExpr("id AS u", "0L AS v", "0.7D AS est")
+    _, _, edges = minhash_dedup.dealt(star)
+    sizes = [r["count"] for r in edges.groupBy("a", "b").count().collect()]
+    assert sum(sizes) == 600 and max(sizes) < 150
+    part = spark.range(500).selectExpr("1L AS hood", "id AS node", "id AS comp", "0L AS main", "500L AS docs", "499L AS outside")
+    few, many = minhash_dedup.rest_blocks(part)
+    at = ["hood", "block", "side"]
+    assert max(r["count"] for t in (few, many) for r in t.groupBy(at).count().collect()) < 150
+    met = few.alias("f").join(many.alias("m"), at).selectExpr("f.doc AS x", "m.doc AS y")
+    assert met.distinct().count() == met.count() == 499 * 500
+
+
+def test_large_neighbourhood_equals_brute_force(spark, monkeypatch):
+    """The blocks of a neighbourhood find the links that its candidate pairs lack."""
+    monkeypatch.setattr(minhash_dedup, "WHOLE", 4)
+    monkeypatch.setattr(minhash_dedup, "BIN_DOCS", 10)
+    word = "abcdefghijklmnopqrst"
+    texts = [" ".join(f"{word[(g * 3 + k) % 20]}{g}{k}" for k in range(40)) + (" end" if c else "") for g in range(30) for c in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pairs = spark.range(1, 60).selectExpr("id AS u", "0L AS v", "0.7D AS est")
+    got = {(r.u, r.v) for r in minhash_dedup.confirm(pairs, docs, 2, 80).collect()}
+    assert got == {(2 * g + 1, 2 * g) for g in range(30)}
