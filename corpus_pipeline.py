@@ -24,16 +24,31 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return language_id.predict(docs.select(*COLUMNS), model).where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_LANG_SCORE)).select(*COLUMNS)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Rows with a number of their own, written, so that every reader sees the same numbers."""
+    return saved(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8)."""
-    kept = minhash_dedup.near_duplicates(docs, width=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One row of each group of near-duplicates (five words, 0.8): the one of the smallest doc_id, rows without id last.
+
+    Rows that repeat a doc_id are one document and leave one row. A row without id is a document of its own: it goes where
+    its text repeats or nearly repeats another and stays otherwise. Texts without words repeat nothing."""
+    rows = _numbered(docs)
+    first = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("row").alias("first"))
+    rows = saved(rows.join(first, "doc_id", "left").withColumn("document", F.coalesce("first", "row")).drop("first"), "keyed")
+    group = (minhash_dedup.near_duplicates(rows.select(F.col("document").alias("doc_id"), "text"), width=5, percent=80)
+             .groupBy(F.col("doc_id").alias("document")).agg(F.min("component_id").alias("component")))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "row")
+    kept = rows.join(group, "document").groupBy("component").agg(F.min_by("row", order).alias("row")).select("row")
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = mixing.mix(docs, [5, 2, 1], share=1.5, most=2.0).where("copies > 0").select("doc_id", "copies")
-    return docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
+    """Each row as often as the mix takes it; rows that repeat a doc_id, or have none, are taken one by one."""
+    rows = _numbered(docs)
+    copies = mixing.mix(rows, [5, 2, 1], share=1.5, most=2.0, row="row").where("copies > 0").select("row", "copies")
+    return rows.join(copies, "row").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,14 +41,16 @@ def targets(sizes: DataFrame, weights: list[int], share: float, most: float) ->
     return s.select("source", "source_size", F.coalesce(F.least(F.col("limit"), reached * F.col("w")), F.col("limit")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: list[int], share: float = 1.5, most: float = 2.0, seed: int = 42, key: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, weights: list[int], share: float = 1.5, most: float = 2.0, seed: int = 42, key: str = "doc_id", row: str | None = None) -> DataFrame:
     """(key, source, size, source_size, target, copies) for every row of ``docs`` (key, text, source): how often it is taken.
 
     Null texts have size 0. Null sources are one source. A source without words has target 0 and is not taken. Rows with one
-    size are ordered by a hash of their key and by the key; repeated rows are taken independently. Other columns are ignored."""
-    rows = docs.select(F.col(key).alias("key"), "source", word_count("text").alias("size"))
+    size are ordered by a hash of their key and by the key; repeated rows are taken independently. ``row`` names a column of unique numbers
+    to be handed on, by which rows are known again where keys repeat or are null. Other columns are ignored."""
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    rows = docs.select(F.col(key).alias("key"), "source", word_count("text").alias("size"), number.alias("u"))
     h = F.coalesce(_hash(F.col("key").cast("string")), F.lit(0).cast("long"))
-    rows = saved(rows.withColumn("h", h).withColumn("u", F.monotonically_increasing_id()).withColumn("src", F.coalesce("source", F.lit("")))
+    rows = saved(rows.withColumn("h", h).withColumn("src", F.coalesce("source", F.lit("")))
                  .withColumn("none", F.col("source").isNull()), "sizes")
     goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     goal = goal.withColumn("src", F.coalesce("source", F.lit(""))).withColumn("none", F.col("source").isNull()).drop("source")
@@ -57,7 +59,7 @@ def mix(docs: DataFrame, weights: list[int], share: float = 1.5, most: float = 2
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     start = _hash(F.concat(F.lit(f"{seed} "), F.col("src"))) / F.lit(4294967296.0)
     upto = lambda n: F.floor(start + n * rate)
-    return out.select(F.col("key").alias(key), "source", "size", "source_size", "target", (upto(F.col("pos")) - upto(F.col("pos") - 1)).cast("long").alias("copies"))
+    return out.select(F.col("key").alias(key), *([F.col("u").alias(row)] if row else []), "source", "size", "source_size", "target", (upto(F.col("pos")) - upto(F.col("pos") - 1)).cast("long").alias("copies"))
 
 
 ORACLE = r"""

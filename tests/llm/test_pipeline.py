@@ -15,3 +15,28 @@ def test_stages(spark):
     assert sizes[0] >= sizes[1] >= sizes[2] >= sizes[3] and sizes[4] == sizes[5] > 0 and sizes[2] >= 0.8 * sizes[0]
     assert docs.where("n_tokens <> size(ids) OR n_tokens = 0").count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "language_id", "minhash_dedup", "mixing", "byte_bpe"]
+
+
+def _docs(spark, rows):
+    return saved(spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars int"), "rows")
+
+
+def test_one_of_each_without_and_with_repeated_ids(spark):
+    text = lambda g, end="": " ".join(f"w{g}x{k}" for k in range(60)) + end
+    rows = [(5, text(0), "a"), (3, text(0, " more"), "a"), (None, text(0), "b"),          # near copies: 3 stays
+            (7, text(1), "a"), (7, text(1), "a"), (7, text(2), "a"), (8, text(2), "a"),   # one document: one row stays
+            (None, text(3), "a"), (None, text(3), "b"), (None, text(4), "a"),             # without id: one of each text stays
+            (None, None, "a"), (None, "", "a"), (9, None, "a")]                           # no words: all stay
+    got = corpus_pipeline.one_of_each(spark, _docs(spark, rows), "").collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == [3, 7, 9]
+    assert sorted(r.text or "" for r in got if r.doc_id is None) == sorted(["", "", text(3), text(4)])
+    assert [r.text for r in got if r.doc_id == 3] == [text(0, " more")] and [r.text for r in got if r.doc_id == 7][0] in (text(1), text(2))
+
+
+def test_mixed_without_and_with_repeated_ids(spark):
+    rows = [(1, f"one two {k}", "a") for k in range(6)] + [(None, f"three four {k}", "a") for k in range(6)] + [(k, f"five six {k}", "b") for k in range(20, 60)]
+    got = [r.text for r in corpus_pipeline.mixed(spark, _docs(spark, rows), "").collect()]
+    times = {t: got.count(t) for _, t, _ in rows}
+    assert max(times.values()) <= 2 and set(got) == {t for t, n in times.items() if n}
+    assert all(times[t] == 2 for _, t, s in rows if s == "a")                # the small source is taken up to its limit
+    assert sum(times.values()) in (77, 78, 79)                               # 1.5 times 52 documents of three words
