@@ -112,6 +112,16 @@ def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+@query("op13_lm_score")
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from the learning folds' texts; every document is scored."""
+    from . import pitman_yor
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = pitman_yor.fit(docs.where(fold("doc_id", 5) != 1))
+    return pitman_yor.score(docs, model).select("doc_id", F.coalesce(fold("doc_id", 5) == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known",
+                                                F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 @query("pipeline")
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
