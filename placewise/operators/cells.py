@@ -6,7 +6,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import AUX_COLUMNS, CELL_ID_COLUMNS, INDICATORS, PLAUSIBLE, Indicator
-from .ranking import medians, midrank
+from ..session import written
+from .ranking import medians
+from .runs import rank_runs
 
 IDENTITY = ("city", "cell_id", "lat", "lon", "habitable", "district_id", "district_name", "neighborhood",
             "population_est")
@@ -64,20 +66,37 @@ def prepare(cells: DataFrame, specs: Sequence[Indicator] | None = None) -> DataF
     batch reads it without a further shuffle."""
     specs = list(specs or present(cells))
     k = len(specs)
-    stats = city_stats(median_and_coverage(long_values(cells, specs)), k)
-    base = cells.select(*IDENTITY, raw_array(specs).alias("raw")).join(stats, "city", "left")
-    base = base.selectExpr("*", "zip_with(raw, median, (r, m) -> coalesce(r, m)) AS filled",
-                           "transform(raw, r -> r IS NULL) AS imputed")
+    base = written(cells.select(*IDENTITY, raw_array(specs).alias("raw")), "raw")
+    long = base.select("city", "cell_id", "habitable", F.posexplode("raw").alias("j", "v"))
+    runs = rank_runs(long, ["city", "j"], "v", F.col("habitable"), ["cell_id"])
+    # a missing value takes the median: its cells stand at the median among the habitable ones, those above it move up
+    people = base.where("habitable").groupBy("city").agg(F.count("*").alias("of"))
+    med = runs.hint(written(runs.quantiles({"median": 0.5}), "medians"))     # a row per city and indicator
+    stats = (runs.around(med, "median").withColumnsRenamed({"lt": "m_lt", "le": "m_le"}).join(med, ["city", "j"])
+             .join(runs.hint(people), "city").withColumn("missing", F.col("of") - F.col("n")))
+    stats = runs.hint(written(stats, "stats"))
+    inverse = [j for j, s in enumerate(specs) if s.norm == "inverse_percentile"]
     ranked = [j for j, s in enumerate(specs) if s.norm in ("percentile", "inverse_percentile")]
-    slots = ", ".join(f"struct({j} AS j, filled[{j}] AS v)" for j in ranked)
-    long = base.selectExpr("city", "cell_id", "habitable", f"inline(array({slots}))")
-    pct = midrank(long, ["city", "j"], "v", F.col("habitable"))
-    inverse = [j for j in ranked if specs[j].norm == "inverse_percentile"]
-    score = F.when(F.col("j").isin(inverse), 100.0 - F.col("pct")).otherwise(F.col("pct"))
-    by_cell = (long.join(pct, ["city", "j", "v"]).groupBy("city", "cell_id")
-               .agg(F.map_from_entries(F.collect_list(F.struct("j", score.alias("s")))).alias("__p")))
-    return (base.join(by_cell, ["city", "cell_id"], "left")
-            .withColumn("pct", F.expr(f"transform(sequence(0, {k - 1}), j -> __p[j])")).drop("__p"))
+
+    def score(lt: Column, le: Column) -> Column:
+        pct = (lt + le) / F.lit(2.0) / F.col("of") * 100.0
+        return F.when(F.col("j").isin(inverse), 100.0 - pct).otherwise(pct)
+    above = lambda test: F.when(test, F.col("missing")).otherwise(0)
+    v, m = F.col("v"), F.col("median")
+    pct = (runs.ranked().where(F.col("j").isin(ranked)).join(stats, ["city", "j"])
+           .withColumn("s", score(F.col("lt") + above(v > m), F.col("le") + above(v >= m))))
+    by_cell = pct.groupBy("city", "cell_id").agg(F.map_from_entries(F.collect_list(F.struct("j", "s"))).alias("__p"))
+    per_city = stats.groupBy("city").agg(F.map_from_entries(F.collect_list(F.struct("j", F.struct(
+        "median", (F.col("n") / F.col("of")).alias("coverage"), score(F.col("m_lt"), F.col("m_le") + F.col("missing")).alias("s"))))).alias("c"))
+    slots = f"transform(sequence(0, {k - 1}), j -> c[j]"
+    per_city = per_city.selectExpr("city", f"{slots}.median) AS median", f"coalesce({slots}.coverage), array())  AS __c", f"{slots}.s) AS __s")
+    none = f"array_repeat(cast(NULL AS double), {k})"
+    out = base.join(runs.hint(per_city), "city", "left").join(by_cell, ["city", "cell_id"], "left")
+    out = out.selectExpr("* EXCEPT (median, __c, __s, __p)", f"coalesce(median, {none}) AS median", f"transform(coalesce(__c, {none}), x -> coalesce(x, 0.0D)) AS coverage",
+                         "__s", "__p")
+    of_rank = f"array({', '.join(str(j) for j in ranked)})" if ranked else "cast(array() AS array<int>)"
+    return out.selectExpr("* EXCEPT (__s, __p)", "zip_with(raw, median, (r, m) -> coalesce(r, m)) AS filled", "transform(raw, r -> r IS NULL) AS imputed",
+                          f"transform(sequence(0, {k - 1}), j -> CASE WHEN array_contains({of_rank}, j) THEN CASE WHEN raw[j] IS NULL THEN __s[j] ELSE __p[j] END END) AS pct")
 
 
 def with_overrides(specs: DataFrame, overrides: DataFrame) -> DataFrame:

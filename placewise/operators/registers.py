@@ -6,7 +6,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import house_number, street_norm
-from .ranking import medians, quantiles
+from .ranking import medians
+from .runs import rank_runs
 
 # Tag rules of the point-of-interest vocabulary.  Columns hold '' for an absent tag.
 HOSPITAL = "(amenity = 'hospital' OR healthcare = 'hospital')"
@@ -140,14 +141,13 @@ def arms_length(tx: DataFrame) -> DataFrame:
 def iqr_trim(df: DataFrame, value: str, keys: Sequence[str] = (), floor: float | None = None) -> DataFrame:
     """Rows within 1.5 interquartile ranges of the quartiles (and above the floor)."""
     keys = list(keys)
-    src = df if keys else df.withColumn("__one", F.lit(1))
     by = keys or ["__one"]
-    qs = quantiles(src.select(*by, value), by, value, {"q1": 0.25, "q3": 0.75}).drop("n")
-    qs = qs if keys else F.broadcast(qs)          # one row without keys
+    runs = rank_runs(df if keys else df.withColumn("__one", F.lit(1)), by, value, payload=[c for c in df.columns if c not in (*keys, value)])
+    qs = runs.hint(runs.quantiles({"q1": 0.25, "q3": 0.75}).drop("n"))
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     lo = F.greatest(lo, F.lit(floor)) if floor is not None else lo
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    return src.join(qs, by).where((F.col(value) >= lo) & (F.col(value) <= hi)).drop("q1", "q3", "__one")
+    return runs.rows.join(qs, by).where((F.col(value) >= lo) & (F.col(value) <= hi)).select(*df.columns)
 
 
 def lookup_code_or_name(base: DataFrame, table: DataFrame, value: str) -> DataFrame:

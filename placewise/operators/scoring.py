@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from ..config import (COMMUTE_BAD, COMMUTE_GOOD, CRITERIA, INDICATORS, LEVEL_WEIGHT, MUST_HAVE, PERSONAS, PRICE,
                       UNREACHABLE, Indicator)
 from ..session import broadcast_if_small, cut, widen
-from .ranking import medians, top_per_group
+from .ranking import top_per_group
+from .runs import rank_runs
 
 ANCHOR = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("label", T.StringType()), T.StructField("lat", T.DoubleType()),
@@ -296,7 +297,7 @@ def criterion_long(scored: DataFrame) -> DataFrame:
 
 def criterion_medians(scored: DataFrame) -> DataFrame:
     """Median criterion score over the habitable cells, per request."""
-    return medians(criterion_long(scored).where("habitable"), ["request_id", "i", "criterion"], "s")
+    return rank_runs(criterion_long(scored).where("habitable"), ["request_id", "i", "criterion"], "s").medians()
 
 
 def relax_hints(scored: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from ..config import CITIES, CRITERIA, INDICATORS, LOG_UNITS, POI_VOCAB
 from ..functions import geo, norm as N, text as T
-from ..operators import cells as C, quality as QA, ranking as R, registers as RG, transit as TR
+from ..operators import cells as C, quality as QA, registers as RG, transit as TR
+from ..operators.runs import rank_runs
 from . import bindings as B
 from .oracle import CITY, half_even, q
 from .registry import query
@@ -28,9 +29,8 @@ def rnd(*cols, digits=6):
 @query("W01_midrank_percentile", q("""SELECT city, cell_id, ikey AS indicator, round(pr, 6) AS pct FROM ranked WHERE pr IS NOT NULL"""))
 def midrank_percentile(spark, d):
     long = filled_long(spark, d).where(F.col("j").isin([j for j, s in enumerate(B.SPECS) if "percentile" in s.norm]))
-    long = long.where("filled IS NOT NULL")
-    pct = R.midrank(long, ["city", "indicator"], "filled", F.col("habitable"))
-    return long.join(pct, ["city", "indicator", "filled"]).select("city", "cell_id", "indicator", *rnd("pct"))
+    runs = rank_runs(long, ["city", "indicator"], "filled", F.col("habitable"), ["cell_id"])
+    return runs.midranks().select("city", "cell_id", "indicator", *rnd("pct"))
 
 
 @query("W02_decay_norm", q("""SELECT city, cell_id, ikey AS indicator, round(least(greatest((f * CASE WHEN ws THEN 1.35 ELSE 1.0 END - bad)
@@ -63,7 +63,7 @@ def null_implausible(spark, d):
 @query("P03_impute_group_median", q("SELECT city, cell_id, ikey AS indicator, round(f, 6) AS filled, imputed FROM filled"))
 def impute_group_median(spark, d):
     long = C.long_values(B.cells(spark, d), B.SPECS)
-    med = R.medians(long.where("habitable"), ["city", "j"], "v")
+    med = rank_runs(long.where("habitable"), ["city", "j"], "v").medians()
     return long.join(med, ["city", "j"], "left").select("city", "cell_id", "indicator", F.round(F.coalesce("v", "median"), 6)
                                                         .alias("filled"), F.col("v").isNull().alias("imputed"))
 

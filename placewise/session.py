@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -45,7 +46,11 @@ BROADCAST_ROWS = 20_000
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint for a table of at most ``max_rows`` rows (counted, stopping at the limit); a larger one is left to
     the planner, which then shuffles both sides."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if is_small(df, max_rows) else df
+
+
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    return df.limit(max_rows + 1).count() <= max_rows
 
 
 def widen(df: DataFrame, *by: str) -> DataFrame:
@@ -60,6 +65,13 @@ def scratch_path(spark: SparkSession, data_version: str, name: str) -> str:
     return f"{checkpoint_dir(spark)}/placewise-{spark.sparkContext.applicationId}/{tag}/{name}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back: later jobs start from files and read the columns they use."""
+    path = f"{scratch_path(df.sparkSession, uuid.uuid4().hex, name)}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stored(spark: SparkSession, data_version: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """A derived table, computed once per application and data version, written to the shared folder and read back.
 
