@@ -11,7 +11,7 @@ import time
 
 from pyspark.sql import SparkSession, functions as F
 
-from placewise.operators import scoring as S
+from placewise.operators import scoring as S, topk as K
 from placewise.plans import bindings as B, load, scoring_queries as SQ
 
 HEADLINE = ("W01_midrank_percentile", "A10_stop_stats", "J08_nearest_neighbor", "J09_radius_join_count", "J13_point_in_polygon",
@@ -28,10 +28,9 @@ def many_requests(spark, d, n):
     """Score n requests (the persona defaults of both cities, repeated) and rank their cells."""
     base = [r for r in B.REQUESTS if r["request_id"] > 100]
     rows = [{**base[i % len(base)], "request_id": 10_000 + i} for i in range(n)]
-    prep = SQ.prepared(spark, d)
-    cov = prep.groupBy("city").agg(F.first("coverage").alias("coverage"))
+    cov = SQ.prepared(spark, d).groupBy("city").agg(F.first("coverage").alias("coverage"))
     compiled = S.compile_requests(B.requests(spark, d, rows), cov, None, B.SPECS)
-    S.top_cells(S.score_cells(prep, compiled, None, B.SPECS)).write.format("noop").mode("overwrite").save()
+    K.top_cells(SQ.tiles(spark, d), compiled, None, B.SPECS).write.format("noop").mode("overwrite").save()
 
 
 def main():
@@ -44,7 +43,7 @@ def main():
     queries = load()[0]
     out = {}
     B.table(spark, d, "part").count()      # start the executors before the first timing
-    out["prepare_cells"] = timed(lambda: SQ.prepared(spark, d))
+    out["prepare_cells"] = timed(lambda: SQ.tiles(spark, d))         # percentiles, tiles and their bounds
     out["E01_score_response_hex"] = timed(lambda: queries["E01_score_response_hex"](spark, d).write.format("noop").mode("overwrite").save())
     for n in (1, 100, 1000):
         out[f"score_{n}_requests"] = timed(lambda: many_requests(spark, d, n))

@@ -70,7 +70,8 @@ def ranked_groups(scored: DataFrame, level: str, specs: Sequence[Indicator]) ->
     one = " ".join(f"WHEN rankBy = '{c}' AND den[{i}] > 0 THEN crit[{i}]" for i, c in enumerate(CRITERIA))
     g = g.withColumn("group_key", F.expr(f"CASE {one} WHEN pos IS NOT NULL THEN -cast(coalesce(median, {UNREACHABLE}) AS double) ELSE score END"))
     order = [F.desc(F.round("group_key", 9)), F.desc(F.round("score", 9)), F.asc("group_id")]
-    return top_per_group(g, ["request_id"], order, F.col("limit")) \
+    most = req.agg(F.max("limit")).first()[0] or 0
+    return top_per_group(g, ["request_id"], order, most).where("rank <= limit") \
         .select("request_id", "city", "group_id", "rank", "group_key", "score", "share", "cell_count", "price_value", "crit")
 
 

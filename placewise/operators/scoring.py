@@ -7,13 +7,14 @@ match and the filters in one narrow stage: there is no shuffle per criterion and
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..config import (COMMUTE_BAD, COMMUTE_GOOD, CRITERIA, INDICATORS, LEVEL_WEIGHT, MUST_HAVE, PERSONAS, PRICE,
                       UNREACHABLE, Indicator)
-from ..session import broadcast_if_small, cut, widen
-from .ranking import top_per_group
+from ..session import BROADCAST_ROWS, broadcast_if_small, is_small, widen, written
+from .ranking import global_positions, top_per_group
 from .runs import rank_runs
 
 ANCHOR = T.StructType([
@@ -239,13 +240,27 @@ def normalized(prepared: DataFrame, specs: Sequence[Indicator] = INDICATORS) ->
                          f"filled[{noise}] AS noise_value" if noise is not None else "cast(NULL AS double) AS noise_value")
 
 
+def request_blocks(compiled: DataFrame, size: int = BROADCAST_ROWS) -> list[DataFrame]:
+    """The requests in blocks of at most ``size`` rows, numbered through, each of which can be broadcast."""
+    if is_small(compiled, size):
+        return [F.broadcast(compiled)]
+    numbered = written(global_positions(compiled, [], [F.asc("request_id")], "__no"), "requests")
+    n = numbered.count()
+    return [F.broadcast(numbered.where(F.col("__no").between(i + 1, i + size)).drop("__no")) for i in range(0, n, size)]
+
+
 def score_cells(prepared: DataFrame, compiled: DataFrame, minutes: DataFrame | None = None,
-                specs: Sequence[Indicator] = INDICATORS) -> DataFrame:
+                specs: Sequence[Indicator] = INDICATORS, pairs: DataFrame | None = None) -> DataFrame:
     """One row per (request, cell of its city): ``s`` sub-scores, ``crit``, ``mf`` (float match), ``score``,
     ``masks`` and ``passing``.  Columns a query does not use are pruned, so ranking alone costs a sum of products and
-    the filter tests per row."""
-    requests = broadcast_if_small(compiled.drop("coverage", "median"))
-    df = normalized(widen(prepared, "cell_id"), specs).join(requests, ["city", "walk_factor"])
+    the filter tests per row.
+
+    A request table that is too large to broadcast is joined block by block, so the cells stay where they are and no row
+    meets others by its city. ``pairs`` (request_id, city, walk_factor, tile) limits each request to some tiles of the cells."""
+    cells = normalized(widen(prepared, "cell_id"), specs)
+    cells = cells if pairs is None else cells.join(pairs, ["city", "walk_factor", "tile"])
+    by = ["city", "walk_factor"] if pairs is None else ["city", "walk_factor", "request_id"]
+    df = reduce(DataFrame.unionByName, [cells.join(block, by) for block in request_blocks(compiled.drop("coverage", "median"))])
     if minutes is None:
         df = df.selectExpr("*", "cast(NULL AS map<int,int>) AS minutes")
     else:
@@ -272,7 +287,8 @@ def place_name() -> Column:
 
 
 def top_cells(scored: DataFrame) -> DataFrame:
-    """Passing cells by lens, then match, then cell id; one per neighbourhood; the request's limit.
+    """Passing cells of a written table of scores by lens, then match, then cell id; one per neighbourhood; the request's limit.
+    (``topk.top_cells`` finds them without scoring all cells.)
 
     The best lens per (request, neighbourhood) is a hash aggregate without a sort; only neighbourhoods that can reach
     the limit (ties included) stay, a few rows per request.  Joined back, they leave the handful of cells among which
@@ -280,13 +296,14 @@ def top_cells(scored: DataFrame) -> DataFrame:
     narrow = (scored.where("passing").where("district IS NULL OR district_id = district")
               .select("request_id", "city", "cell_id", place_name().alias("group"), lens().alias("lens"), "mf",
                       F.coalesce("limit", F.lit(20)).alias("limit")).withColumn("l9", F.round("lens", 9)))
+    most = narrow.agg(F.max("limit")).first()[0] or 0         # a literal: ranks over it leave in the map tasks
     groups = narrow.groupBy("request_id", "group").agg(F.max("l9").alias("l9"), F.max("limit").alias("limit"))
     by_lens = W.partitionBy("request_id").orderBy(F.desc("l9"))
-    reach = groups.withColumn("__r", F.rank().over(by_lens)).where("__r <= limit")
-    reach = broadcast_if_small(cut(reach.select("request_id", "group", "l9")), 200_000)
+    reach = groups.withColumn("__r", F.rank().over(by_lens)).where(F.col("__r") <= most).where("__r <= limit")
+    reach = broadcast_if_small(written(reach.select("request_id", "group", "l9"), "reach"), 200_000)
     order = [F.desc("l9"), F.desc(F.round("mf", 9)), F.asc("cell_id")]
     best = top_per_group(narrow.join(reach, ["request_id", "group", "l9"]), ["request_id", "group"], order, 1, "__one").drop("__one")
-    return top_per_group(best, ["request_id"], order, F.col("limit")).select("request_id", "city", "cell_id", "rank", "lens")
+    return top_per_group(best, ["request_id"], order, most).where("rank <= limit").select("request_id", "city", "cell_id", "rank", "lens")
 
 
 def criterion_long(scored: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..config import CITIES, CRITERIA, LANGS
 from ..functions.norm import half_even as he
 from ..session import stored
-from ..operators import cells as C, explain as X, groups as G, quality as QA, ranking as R, scoring as S
+from ..operators import cells as C, explain as X, groups as G, quality as QA, ranking as R, scoring as S, topk as K
 from . import bindings as B
 from .oracle import half_even, q
 from .registry import query
@@ -27,13 +27,23 @@ def anchors(spark, d, req):
     return S.resolve_anchors(req, hit, modes)
 
 
-def scored(spark, d, rows=None):
-    prep = prepared(spark, d)
+def tiles(spark, d):
+    """Prepared cells by tile and the bounds of their sub-scores: once per data version."""
+    cells = stored(spark, d, "tiles", lambda: K.tiled(prepared(spark, d)))
+    return K.Tiles(cells, stored(spark, d, "tile-bounds", lambda: K.bounds(cells, B.SPECS)))
+
+
+def asked(spark, d, rows=None):
+    """Compiled requests and the minutes to their anchors."""
     req = B.requests(spark, d, rows)
     anc = anchors(spark, d, req)
-    stats = prep.groupBy("city").agg(F.first("coverage").alias("coverage"))   # constant within a city
-    compiled = S.compile_requests(req, stats, anc, B.SPECS)
-    return S.score_cells(prep, compiled, S.anchor_minutes(anc, B.travel(spark, d)), B.SPECS)
+    stats = prepared(spark, d).groupBy("city").agg(F.first("coverage").alias("coverage"))   # constant within a city
+    return S.compile_requests(req, stats, anc, B.SPECS), S.anchor_minutes(anc, B.travel(spark, d))
+
+
+def scored(spark, d, rows=None):
+    compiled, minutes = asked(spark, d, rows)
+    return S.score_cells(prepared(spark, d), compiled, minutes, B.SPECS)
 
 
 @query("E01_score_response_hex", q(f"""SELECT t.request_id, t.city, t.cell_id, t.rank, round(t.lens, 6) AS lens,
@@ -41,9 +51,8 @@ def scored(spark, d, rows=None):
  round(p.lat, 6) AS lat, round(p.lon, 6) AS lon
  FROM top_cells t JOIN pass p ON p.request_id = t.request_id AND p.cell_id = t.cell_id"""))
 def score_response_hex(spark, d):
-    sc = scored(spark, d)
-    top = S.top_cells(sc)
-    out = sc.join(top.select("request_id", "cell_id", "rank", "lens"), ["request_id", "cell_id"])
+    compiled, minutes = asked(spark, d)
+    out = K.top_cells(tiles(spark, d), compiled, minutes, B.SPECS, ["score", "neighborhood", "district_name", "district_id", "population_est", "lat", "lon"])
     return out.select("request_id", "city", "cell_id", "rank", F.round("lens", 6).alias("lens"), "score",
                       S.place_name().alias("name"), "district_id", "population_est", F.round("lat", 6).alias("lat"),
                       F.round("lon", 6).alias("lon"))
