@@ -9,18 +9,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..config import CRITERIA, INDICATORS, Indicator
+from ..config import CRITERIA, INDICATORS, MUST_HAVE, Indicator
 from ..session import broadcast_if_small, written
 from .ranking import top_per_group
-from .scoring import lens, normalized, place_name, score_cells
+from .scoring import lens, normalized, place_name, request_blocks, score_cells
 
 TILE_CELLS = 256        # cells of a tile on average
 PROBE = 16              # one cell in so many is looked at first
 DEFAULT_LIMIT = 20
 PAIRS = 2_000_000       # (request, tile) pairs to broadcast: 40 bytes each
+SPARSE = 0.5            # tiles are picked by request where that leaves less than this share of the pairs
 
 
 @dataclass(frozen=True)
@@ -62,11 +64,54 @@ def reach(bound: str, commute: float, n: int) -> Column:
                   f"WHEN rankBy = 'commute' AND den[{i}] > 0 THEN {commute}D WHEN rankBy LIKE 'anchor:%' THEN greatest(0.0D, {match}) ELSE {match} END")
 
 
-def _candidates(scored: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Passing cells in the requested district with their group and ordering values."""
-    return (scored.where("passing").where("district IS NULL OR district_id = district")
-            .select("request_id", "city", "cell_id", place_name().alias("group"), lens().alias("lens"), "mf", F.coalesce("limit", F.lit(DEFAULT_LIMIT)).alias("limit"), *keep)
-            .withColumn("l9", F.round("lens", 9)))
+ENDLESS, LARGEST = "cast('Infinity' AS double)", "1.7976931348623157E308D"
+
+
+def _limit(c: str) -> str:
+    """A filter's limit as a plain number: endless where the request sets none."""
+    return f"CASE WHEN {c} IS NULL THEN {ENDLESS} ELSE least({c}, {LARGEST}) END"
+
+
+def _plain(cells: DataFrame, compiled: DataFrame, specs: Sequence[Indicator], keep: Sequence[str], pairs: DataFrame | None) -> DataFrame:
+    """Candidates of requests without anchors: sums of products and comparisons of plain columns, one compiled loop."""
+    idx, n = {s.key: j for j, s in enumerate(specs)}, range(len(specs))
+    must = [(f"must_{c}", idx[col]) for c, (col, _) in MUST_HAVE.items() if col in idx]
+    own = [c for c in keep if c != "score"]
+    values = [("price_value", "price_value"), ("noise_value", "noise_value"), *[(m, f"raw[{j}]") for m, j in must]]
+    narrow = normalized(cells.where("habitable"), specs).selectExpr(
+        "city", "walk_factor", "cell_id", "district_id", *(["tile"] if pairs is not None else []), *[c for c in own if c not in ("city", "cell_id", "district_id")],
+        "coalesce(CASE WHEN neighborhood != '' THEN neighborhood END, district_name) AS group", *[f"coalesce(s_{j}, 0.0D) AS s_{j}" for j in n],
+        *[f"coalesce({e}, {ENDLESS}) AS v_{m}" for m, e in values])
+    asks = compiled.where("anchor_slots IS NULL").selectExpr(
+        "request_id", "city", "walk_factor", "district", "total_w > 0 AS weighed", "rank_e IS NULL AS by_match", f"coalesce(limit, {DEFAULT_LIMIT}) AS limit",
+        f"{_limit('price_limit')} AS l_price_value", f"{_limit('noise_limit')} AS l_noise_value", *[f"{_limit(m)} AS l_{m}" for m, _ in must],
+        *[f"coalesce(e_{j}, 0.0D) AS e_{j}" for j in n], *[f"coalesce(rank_e[{j}], e_{j}, 0.0D) AS r_{j}" for j in n], *(["floor"] if "floor" in compiled.columns else []))
+    by = ["city", "walk_factor"] if pairs is None else ["city", "walk_factor", "request_id"]
+    narrow = narrow if pairs is None else narrow.join(pairs, ["city", "walk_factor", "tile"])
+    total = lambda c: " + ".join([f"s_{j} * {c}_{j}" for j in n] or ["0.0D"])
+    passing = " AND ".join(["(district IS NULL OR district_id = district)", *[f"v_{m} <= l_{m}" for m, _ in values]])
+    parts = [narrow.join(block, by).where(passing) for block in request_blocks(asks)]
+    df = reduce(DataFrame.unionByName, parts).selectExpr("*", f"CASE WHEN weighed THEN {total('e')} END AS mf").selectExpr(
+        "*", f"CASE WHEN by_match THEN mf ELSE {total('r')} END AS lens")
+    score = ["cast(least(greatest(bround(round(mf, 9), 0), 0.0D), 100.0D) AS int) AS score"] if "score" in keep else []
+    return _over(df).selectExpr("request_id", "city", "cell_id", "group", "lens", "mf", "limit", *[c for c in own if c not in ("city", "cell_id")], *score, "l9")
+
+
+def _over(df: DataFrame) -> DataFrame:
+    df = df.withColumn("l9", F.round("lens", 9))
+    return df.where("floor IS NULL OR l9 >= floor").drop("floor") if "floor" in df.columns else df
+
+
+def _candidates(cells: DataFrame, compiled: DataFrame, minutes: DataFrame | None, specs: Sequence[Indicator], keep: Sequence[str] = (),
+                pairs: DataFrame | None = None) -> DataFrame:
+    """Passing cells in the requested district, at or above the request's ``floor`` if it has one, with group and ordering values."""
+    out = _plain(cells, compiled, specs, keep, pairs)
+    if minutes is None:
+        return out
+    scored = score_cells(cells, compiled.where("anchor_slots IS NOT NULL"), minutes, specs, pairs)
+    return out.unionByName(_over(scored.where("passing").where("district IS NULL OR district_id = district").select(
+        "request_id", "city", "cell_id", place_name().alias("group"), lens().alias("lens"), "mf", F.coalesce("limit", F.lit(DEFAULT_LIMIT)).alias("limit"),
+        *[c for c in keep if c not in ("city", "cell_id")], *(["floor"] if "floor" in scored.columns else []))))
 
 
 def most(compiled: DataFrame) -> int:
@@ -81,9 +126,9 @@ def floors(candidates: DataFrame, largest: int) -> DataFrame:
     return best.select("request_id", F.col("l9").alias("floor"))
 
 
-def pairs(t: Tiles, compiled: DataFrame, floor: DataFrame, specs: Sequence[Indicator]) -> DataFrame:
+def pairs(t: Tiles, compiled: DataFrame, specs: Sequence[Indicator]) -> DataFrame:
     """(request_id, city, walk_factor, tile): tiles in which a request can find a cell at or above its floor."""
-    asks = compiled.select("request_id", "city", "walk_factor", "rankBy", "rank_e", "den", "e_commute", *[f"e_{j}" for j in range(len(specs))]).join(floor, "request_id", "left")
+    asks = compiled.select("request_id", "city", "walk_factor", "rankBy", "rank_e", "den", "e_commute", "floor", *[f"e_{j}" for j in range(len(specs))])
     both = t.bounds.join(broadcast_if_small(asks), ["city", "walk_factor"]).withColumn("high", reach("high", 100.0, len(specs)))
     return both.where("floor IS NULL OR high + 1e-6D >= floor").select("request_id", "city", "walk_factor", "tile")
 
@@ -93,15 +138,24 @@ def top_cells(t: Tiles, compiled: DataFrame, minutes: DataFrame | None = None, s
     """(request_id, city, cell_id, rank, lens, *keep): as ``scoring.top_cells`` of all scored cells, from the tiles that matter.
 
     Passing cells by lens, then match, then cell id; one per neighbourhood; the request's limit."""
+    compiled = written(compiled.drop("median"), "requests")
+    minutes = minutes if minutes is None else written(minutes, "minutes")
     largest = most(compiled)
-    if not largest:
-        return _candidates(score_cells(t.cells, compiled, minutes, specs), keep).where("false").select("request_id", "city", "cell_id", F.lit(0).alias("rank"), "lens", *keep)
+    out = ["request_id", "city", "cell_id", "rank", "lens", *[c for c in keep if c not in ("city", "cell_id")]]
     first = t.cells.where(F.pmod(F.xxhash64("city", "cell_id"), F.lit(PROBE)) == 0)
-    floor = written(floors(_candidates(score_cells(first, compiled, minutes, specs)), largest), "floors")
-    read = written(pairs(t, compiled, floor, specs), "pairs")
-    scored = score_cells(t.cells, compiled, minutes, specs, broadcast_if_small(read, PAIRS))
-    found = _candidates(scored, keep).join(broadcast_if_small(floor), "request_id", "left").where("floor IS NULL OR l9 >= floor")
-    return ranked(found, largest).select("request_id", "city", "cell_id", "rank", "lens", *keep)
+    floor = written(floors(_candidates(first, compiled, minutes, specs), largest), "floors")
+    compiled = written(compiled.join(broadcast_if_small(floor), "request_id", "left"), "requests")
+    every, read = tiles_of(t, compiled), written(pairs(t, compiled, specs), "pairs")
+    some = read.count() <= SPARSE * every
+    found = _candidates(t.cells, compiled, minutes, specs, keep, broadcast_if_small(read, PAIRS) if some else None)
+    return ranked(found, largest).select(*out)
+
+
+def tiles_of(t: Tiles, compiled: DataFrame) -> int:
+    """How many (request, tile) pairs there are."""
+    per = t.bounds.groupBy("city", "walk_factor").agg(F.count("*").alias("n"))
+    asks = compiled.groupBy("city", "walk_factor").agg(F.count("*").alias("m"))
+    return per.join(asks, ["city", "walk_factor"]).agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0))).first()[0]
 
 
 def ranked(candidates: DataFrame, largest: int) -> DataFrame:
