@@ -257,40 +257,6 @@ def expanding_ring_median(cells: DataFrame, observations: DataFrame, value: str,
             .select(*ids, F.coalesce("n", F.lit(0)).alias("n"), "median"))
 
 
-def majority_label(cells: DataFrame, edge_table: DataFrame, ids: Sequence[str], poly: str, size: float, hex_size: float,
-                   centres: DataFrame, keys: Sequence[str] = (), grid: int = 5) -> DataFrame:
-    """Polygon that covers most of a cell, estimated on a fixed lattice of points inside the hexagon; cells no
-    polygon touches take the nearest polygon centre."""
-    step = hex_size / grid
-    offs = [(i * step, j * step) for i in range(-grid, grid + 1) for j in range(-grid, grid + 1)
-            if abs(j * step) <= hex_size - abs(i * step) / 1.7320508075688772 and abs(i * step) <= hex_size * 0.8660254037844386]
-    ids = list(ids)
-    arr = ", ".join(f"struct({i} AS __s, {dx}D AS __dx, {dy}D AS __dy)" for i, (dx, dy) in enumerate(offs))
-    cols = list(dict.fromkeys([*ids, *keys]))
-    pts = cells.selectExpr(*cols, "x", "y", f"inline(array({arr}))").selectExpr(*cols, "__s", "x + __dx AS x", "y + __dy AS y")
-    hit = containing(pts, edge_table, [*ids, "__s"], [poly], size, keys).groupBy(*ids, poly).agg(F.count("*").alias("__n"))
-    best = hit.groupBy(*ids).agg(F.min_by(poly, F.struct(-F.col("__n"), F.col(poly))).alias(poly))
-    rest = cells.join(best.select(*ids), ids, "left_anti")
-    near = nearest(rest, centres, ids, poly, size, keys).select(*ids, poly)
-    return best.withColumn("how", F.lit("area")).unionByName(near.withColumn("how", F.lit("nearest")))
-
-
-def apportion(edge_table: DataFrame, values: DataFrame, districts: DataFrame, source: str, district: str, value: str,
-              size: float, res: float, keys: Sequence[str] = ()) -> DataFrame:
-    """Split a polygon's value over districts by area share, measured on a lattice of ``res`` metres. A polygon that holds
-    no lattice point gives its whole value to the district of its corners' mean."""
-    pix = pixels_inside(edge_table, [source], res, keys)
-    pts = pix.withColumn("x", (F.col("ix") + 0.5) * res).withColumn("y", (F.col("iy") + 0.5) * res)
-    small = edge_table.join(pix.select(*keys, source).distinct(), [*keys, source], "left_anti")
-    small = small.groupBy(*keys, source).agg(F.avg("x1").alias("x"), F.avg("y1").alias("y"))
-    pts = pts.unionByName(small.withColumn("ix", F.floor(F.col("x") / res)).withColumn("iy", F.floor(F.col("y") / res)))
-    total = pts.groupBy(*keys, source).agg(F.count("*").alias("__all"))
-    hit = containing(pts, districts, [source, "ix", "iy"], [district], size, keys)
-    part = hit.groupBy(*keys, source, district).agg(F.count("*").alias("__n"))
-    return (part.join(total, [*keys, source]).join(values.select(*keys, source, value), [*keys, source])
-            .groupBy(*keys, district).agg(F.sum(F.col(value) * F.col("__n") / F.col("__all")).alias(value)))
-
-
 def pixels_inside(edge_table: DataFrame, poly: Sequence[str], res: float, keys: Sequence[str] = ()) -> DataFrame:
     """(polygon, ix, iy) of the pixels whose centre lies inside: crossing parity per pixel row."""
     keys, poly = list(keys), list(poly)

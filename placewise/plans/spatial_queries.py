@@ -6,7 +6,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import graph as GR, raster as RA, spatial as SP, transit as TR
+from ..operators import graph as GR, overlay as OV, raster as RA, spatial as SP, transit as TR
 from . import bindings as B
 from .function_queries import SIZE, hex_cte, hex_sql
 from .oracle import CTES, cte, q
@@ -113,22 +113,39 @@ def point_in_polygon(spark, d):
     return SP.point_in_polygon(B.points(spark, d), poly_edges(spark, d), ["city", "poi_id"], "dest", 500.0, ["city"])
 
 
-def lattice_offsets(size=SIZE, grid=5):
-    step = size / grid
-    return [(i * step, j * step) for i in range(-grid, grid + 1) for j in range(-grid, grid + 1)
-            if abs(j * step) <= size - abs(i * step) / 1.7320508075688772 and abs(i * step) <= size * 0.8660254037844386]
-
-
-OFFS = ", ".join(f"({i}, CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for i, (a, b) in enumerate(lattice_offsets()))
-
-
-@query("J14_majority_area_label", q(f"""SELECT city, cell_id, dest, 'area' AS how FROM best UNION ALL SELECT city, cell_id, dest, 'nearest' FROM (SELECT c.city, c.cell_id, t.dest,
+# Twins of the overlay: corners of one polygon are clipped at the lines of a convex one, one step a line, and the area taken of what is left
+def clipped(name, corners, lines, n):
+    """CTEs name0..namen. ``corners``: (pid, i, x, y) in ring order; ``lines``: (pid, h, fx, fy, gx, gy), keeping what lies left of them."""
+    out = {f"{name}0": f"SELECT pid, row_number() OVER (PARTITION BY pid ORDER BY i) AS i, x, y FROM {corners}"}
+    for h in range(n):
+        out[f"{name}_s{h}"] = f"""SELECT c.pid, c.i, c.x, c.y, coalesce(lead(c.x) OVER w, first_value(c.x) OVER w) AS nx, coalesce(lead(c.y) OVER w, first_value(c.y) OVER w) AS ny, l.fx, l.fy, l.gx, l.gy
+ FROM {name}{h} c JOIN {lines} l ON l.pid = c.pid AND l.h = {h} WINDOW w AS (PARTITION BY c.pid ORDER BY c.i)"""
+        out[f"{name}_d{h}"] = f"""SELECT *, (gx - fx) * (y - fy) - (gy - fy) * (x - fx) AS d, (gx - fx) * (ny - fy) - (gy - fy) * (nx - fx) AS nd FROM {name}_s{h}"""
+        out[f"{name}{h + 1}"] = f"""SELECT pid, row_number() OVER (PARTITION BY pid ORDER BY i, k) AS i, x, y FROM (SELECT pid, i, 0 AS k, x, y FROM {name}_d{h} WHERE d >= 0 UNION ALL
+ SELECT pid, i, 1, x + (nx - x) * d / (d - nd), y + (ny - y) * d / (d - nd) FROM {name}_d{h} WHERE (d >= 0) <> (nd >= 0))"""
+    out[f"{name}_area"] = f"""SELECT pid, abs(sum(x * ny - nx * y)) / 2 AS area FROM (SELECT pid, x - x0 AS x, y - y0 AS y, coalesce(lead(x) OVER w, first_value(x) OVER w) - x0 AS nx,
+ coalesce(lead(y) OVER w, first_value(y) OVER w) - y0 AS ny FROM (SELECT *, min(x) OVER (PARTITION BY pid) AS x0, min(y) OVER (PARTITION BY pid) AS y0 FROM {name}{n}) WINDOW w AS (PARTITION BY pid ORDER BY i)) GROUP BY 1"""
+    return out
+
+
+HEX = [(0.0, -SIZE), (SIZE * geo.SQRT3 / 2, -SIZE / 2), (SIZE * geo.SQRT3 / 2, SIZE / 2), (0.0, SIZE), (-SIZE * geo.SQRT3 / 2, SIZE / 2), (-SIZE * geo.SQRT3 / 2, -SIZE / 2)]
+LABEL_SQL = {
+    "hex_pair": f"""SELECT c.cell_id * 100000 + b.dest AS pid, c.city, c.cell_id, b.dest, c.x, c.y FROM cells c JOIN poly_box b ON b.city = c.city
+ AND c.x + {SIZE} > b.x0 AND c.x - {SIZE} < b.xm AND c.y + {SIZE} > b.y0 AND c.y - {SIZE} < b.ym""",
+    "hex_subject": "SELECT p.pid, v.i, v.vx AS x, v.vy AS y FROM hex_pair p JOIN poly_v v ON v.city = p.city AND v.dest = p.dest",
+    "hex_line": "SELECT p.pid, t.h, p.x + t.fx AS fx, p.y + t.fy AS fy, p.x + t.gx AS gx, p.y + t.gy AS gy FROM hex_pair p CROSS JOIN (VALUES "
+                + ", ".join(f"({h}, {a[0]}, {a[1]}, {b[0]}, {b[1]})" for h, (a, b) in enumerate(zip(HEX, HEX[1:] + HEX[:1]))) + ") AS t(h, fx, fy, gx, gy)",
+    **clipped("hexclip", "hex_subject", "hex_line", 6),
+    "best": """SELECT city, cell_id, arg_min(dest, (-round(area, 2), dest)) AS dest, max(area) AS area FROM hexclip_area JOIN hex_pair USING (pid) WHERE area > 1e-6 GROUP BY 1, 2"""}
+
+
+@query("J14_majority_area_label", q(f"""SELECT city, cell_id, dest, 'area' AS how, round(area / {1.5 * geo.SQRT3 * SIZE ** 2}, 6) AS share FROM best UNION ALL
+ SELECT city, cell_id, dest, 'nearest', NULL FROM (SELECT c.city, c.cell_id, t.dest,
  row_number() OVER (PARTITION BY c.cell_id ORDER BY round(sqrt({d2('c', 't')}), 6), t.dest) AS rn FROM cells c JOIN dests t ON t.city = c.city WHERE c.cell_id NOT IN (SELECT cell_id FROM best)) WHERE rn = 1""",
-    lab_pts=f"SELECT city, cell_id, s, x + dx AS x, y + dy AS y FROM cells CROSS JOIN (VALUES {OFFS}) AS t(s, dx, dy)",
-    best=f"""SELECT city, cell_id, arg_min(dest, (-n, dest)) AS dest FROM (SELECT city, cell_id, dest, count(*) AS n FROM ({inside_sql('lab_pts', 'p.cell_id, p.s')}) GROUP BY 1, 2, 3) GROUP BY 1, 2"""))
+    **LABEL_SQL))
 def majority_area_label(spark, d):
     centres = B.dests(spark, d).select("city", "dest", "x", "y")
-    return SP.majority_label(cells(spark, d), poly_edges(spark, d), ["city", "cell_id"], "dest", 500.0, SIZE, centres, ["city"])
+    return OV.majority_label(cells(spark, d), poly_edges(spark, d), ["city", "cell_id"], "dest", 500.0, SIZE, centres, ["city"]).withColumn("share", F.round("share", 6))
 
 
 cte("poly_px", f"""SELECT b.city, b.dest, ix, iy, (ix + 0.5) * 200.0 AS x, (iy + 0.5) * 200.0 AS y FROM (SELECT *, unnest(generate_series(CAST(floor(y0 / 200.0) AS BIGINT), CAST(floor(ym / 200.0) AS BIGINT))) AS iy
@@ -173,16 +190,27 @@ def disk_area_share(spark, d):
     return s.select("city", "cell_id", F.round(F.col("share") * 100.0, 6).alias("share_pct"), F.round(F.col("share") * RA.DISK_1KM_HA, 6).alias("ha"))
 
 
-@query("J15_area_apportion", q(f"""SELECT h.city, h.district, round(sum(s.value * h.n / a.n_all), 4) AS value FROM (SELECT p.city, p.src, p.district, count(*) AS n FROM (
- SELECT x.city, x.dest AS src, x.ix, x.iy, e.dest AS district FROM px_in x JOIN poly_box b ON b.city = x.city AND x.x BETWEEN b.x0 AND b.xm AND x.y BETWEEN b.y0 AND b.ym
- JOIN poly_e e ON e.city = b.city AND e.dest = b.dest WHERE (e.y1 > x.y) <> (e.y2 > x.y) AND x.x < (e.x2 - e.x1) * (x.y - e.y1) / (e.y2 - e.y1) + e.x1
- GROUP BY ALL HAVING count(*) % 2 = 1) p GROUP BY 1, 2, 3) h JOIN (SELECT city, dest AS src, count(*) AS n_all FROM px_in GROUP BY 1, 2) a ON a.city = h.city AND a.src = h.src
- JOIN dests s ON s.city = h.city AND s.dest = h.src GROUP BY 1, 2"""))
+# every corner of a polygon is visible from its fourth one: three triangles, each of them a convex clip
+FAN = (3, ((4, 0), (0, 1), (1, 2)))
+APPORTION_SQL = {
+    "fan": "SELECT m.city, m.dest, t.k, m.vx AS cx, m.vy AS cy, a.vx AS fx, a.vy AS fy, b.vx AS gx, b.vy AS gy FROM (VALUES "
+           + ", ".join(f"({k}, {i}, {j})" for k, (i, j) in enumerate(FAN[1])) + f""") AS t(k, i, j) JOIN poly_v a ON a.i = t.i
+ JOIN poly_v b ON b.i = t.j AND b.city = a.city AND b.dest = a.dest JOIN poly_v m ON m.i = {FAN[0]} AND m.city = a.city AND m.dest = a.dest""",
+    "fan_pair": """SELECT (s.dest * 100000 + f.dest) * 10 + f.k + CASE WHEN f.city = 'praha' THEN 5 ELSE 0 END AS pid, f.*, s.dest AS src FROM fan f JOIN poly_box s ON s.city = f.city
+ AND least(f.cx, f.fx, f.gx) < s.xm AND greatest(f.cx, f.fx, f.gx) > s.x0 AND least(f.cy, f.fy, f.gy) < s.ym AND greatest(f.cy, f.fy, f.gy) > s.y0""",
+    "fan_subject": "SELECT p.pid, v.i, v.vx AS x, v.vy AS y FROM fan_pair p JOIN poly_v v ON v.city = p.city AND v.dest = p.src",
+    "fan_line": """SELECT pid, 0 AS h, cx AS fx, cy AS fy, fx AS gx, fy AS gy FROM fan_pair UNION ALL SELECT pid, 1, fx, fy, gx, gy FROM fan_pair UNION ALL SELECT pid, 2, gx, gy, cx, cy FROM fan_pair""",
+    **clipped("fanclip", "fan_subject", "fan_line", 3),
+    "poly_area": "SELECT city, dest, abs(sum((x1 - x0) * (y2 - y0) - (x2 - x0) * (y1 - y0))) / 2 AS whole FROM poly_e JOIN poly_box USING (city, dest) GROUP BY 1, 2"}
+
+
+@query("J15_area_apportion", q("""SELECT p.city, p.dest AS district, round(sum(s.value * a.area / w.whole), 4) AS value FROM fanclip_area a JOIN fan_pair p USING (pid)
+ JOIN dests s ON s.city = p.city AND s.dest = p.src JOIN poly_area w ON w.city = p.city AND w.dest = p.src GROUP BY 1, 2""", **APPORTION_SQL))
 def area_apportion(spark, d):
     src = poly_edges(spark, d).withColumnRenamed("dest", "src")
     dis = poly_edges(spark, d).withColumnRenamed("dest", "district")
     val = B.dests(spark, d).select("city", F.col("dest").alias("src"), "value")
-    out = SP.apportion(src, val, dis, "src", "district", "value", 500.0, 200.0, ["city"])
+    out = OV.apportion(src, val, dis, "src", "district", "value", 500.0, ["city"])
     return out.withColumn("value", F.round("value", 4))
 
 

@@ -2,7 +2,10 @@ import heapq
 import math
 import random
 
-from placewise.operators import graph as GR, spatial as SP
+import pytest
+from pyspark.sql import functions as F
+
+from placewise.operators import graph as GR, overlay as OV, spatial as SP
 
 
 def cloud(n, seed, span=5000.0):
@@ -77,14 +80,53 @@ def test_nearest_with_a_limit_below_the_bin_size(spark):
     assert [(r.pid, r.tid, round(r.dist, 6)) for r in got] == [(1, 5, 51.0)]
 
 
-def test_apportion_keeps_polygons_between_lattice_points(spark):
-    """A polygon of 50 m between the points of a 200 m lattice keeps its value: the total of 600 is preserved."""
-    def square(key, x, y, side):
-        return [("c", key, x, y, x + side, y), ("c", key, x + side, y, x + side, y + side),
-                ("c", key, x + side, y + side, x, y + side), ("c", key, x, y + side, x, y)]
-    cols = "city string, {} long, x1 double, y1 double, x2 double, y2 double"
-    src = spark.createDataFrame(square(1, 0.0, 0.0, 400.0) + square(2, 610.0, 610.0, 50.0), cols.format("src"))
-    dis = spark.createDataFrame(square(7, -100.0, -100.0, 600.0) + square(8, 500.0, 500.0, 500.0), cols.format("district"))
-    val = spark.createDataFrame([("c", 1, 100.0), ("c", 2, 500.0)], "city string, src long, value double")
-    got = SP.apportion(src, val, dis, "src", "district", "value", 500.0, 200.0, ["city"]).collect()
-    assert {r.district: round(r.value, 6) for r in got} == {7: 100.0, 8: 500.0}
+def _ring(key, points):
+    return [("c", key, *p, *q) for p, q in zip(points, points[1:] + points[:1])]
+
+
+def _square(key, x, y, side, turn=1):
+    return _ring(key, [(x, y), (x + side, y), (x + side, y + side), (x, y + side)][::turn])
+
+
+COLS = "city string, {} long, x1 double, y1 double, x2 double, y2 double"
+
+
+def test_apportion_is_exact(spark):
+    """Small polygons and parts of polygons count by their area; the total is preserved where the districts cover everything."""
+    src = spark.createDataFrame(_square(1, 0.0, 0.0, 400.0) + _square(2, 610.0, 610.0, 50.0) + _square(3, 400.0, 100.0, 250.0), COLS.format("src"))
+    dis = spark.createDataFrame(_square(7, -500.0, -500.0, 1000.0) + _square(8, 500.0, -500.0, 1000.0, -1) + _square(9, -500.0, 500.0, 1000.0) + _square(10, 500.0, 500.0, 1000.0),
+                                COLS.format("district"))
+    val = spark.createDataFrame([("c", 1, 100.0), ("c", 2, 500.0), ("c", 3, 50.0)], "city string, src long, value double")
+    got = {r.district: r.value for r in OV.apportion(src, val, dis, "src", "district", "value", 300.0, ["city"]).collect()}
+    assert got == pytest.approx({7: 120.0, 8: 30.0, 10: 500.0}, abs=1e-6)
+
+
+def test_shared_areas_by_formula(spark):
+    """Two triangles that cross, a ring with a hole, a polygon far from the origin, and shapes that only touch."""
+    far = 6.0e6
+    a = _ring(1, [(0.0, 0.0), (10.0, 0.0), (0.0, 10.0)]) + _square(2, 100.0, 100.0, 50.0) + _square(2, 110.0, 110.0, 20.0, -1) + _square(3, far, far, 3.0)
+    b = _ring(5, [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0)]) + _square(6, 100.0, 100.0, 30.0) + _square(7, far + 1.0, far + 1.0, 5.0, -1) + _square(8, 150.0, 100.0, 50.0)
+    got = OV.shared_area(spark.createDataFrame(a, COLS.format("p")), spark.createDataFrame(b, COLS.format("q")), ["p"], ["q"], 7.0, ["city"]).collect()
+    assert {(r.p, r.q): r.area for r in got} == pytest.approx({(1, 5): 25.0, (2, 6): 900.0 - 400.0, (3, 7): 4.0}, abs=1e-6)
+
+
+def test_overlay_of_a_polygon_with_very_many_edges(spark):
+    """A circle of 20,000 edges over a grid of squares: areas sum up to the circle's, each square gets its part."""
+    n, r = 20_000, 1000.0
+    circle = spark.range(n).select(F.lit("c").alias("city"), F.lit(1).cast("long").alias("p"), *[(f(F.col("id").cast("double") * (2 * math.pi / n) + (2 * math.pi / n) * k) * r).alias(c)
+                                                                                                for k in (0, 1) for f, c in ((F.cos, f"x{k + 1}"), (F.sin, f"y{k + 1}"))])
+    grid = spark.createDataFrame([e for i in range(-2, 2) for j in range(-2, 2) for e in _square(10 * i + j, i * 500.0, j * 500.0, 500.0)], COLS.format("q"))
+    got = {x.q: x.area for x in OV.shared_area(circle, grid, ["p"], ["q"], 100.0, ["city"]).collect()}
+    assert sum(got.values()) == pytest.approx(n / 2 * math.sin(2 * math.pi / n) * r * r, rel=1e-9)
+    assert got[0] == pytest.approx(500.0 ** 2) and got[11] == pytest.approx(got[-19], abs=1e-3)
+
+
+def test_majority_label_prefers_the_larger_part(spark):
+    """A hexagon cut in two at 60 : 40 by its width, and one that nothing covers."""
+    cells = spark.createDataFrame([("c", 1, 0.0, 0.0), ("c", 2, 5000.0, 0.0)], "city string, cell_id long, x double, y double")
+    halves = spark.createDataFrame(_ring(4, [(-200.0, -200.0), (10.0, -200.0), (10.0, 200.0), (-200.0, 200.0)]) + _ring(3, [(10.0, -200.0), (200.0, -200.0), (200.0, 200.0), (10.0, 200.0)]), COLS.format("d"))
+    centres = spark.createDataFrame([("c", 3, 100.0, 0.0), ("c", 4, -100.0, 0.0)], "city string, d long, x double, y double")
+    got = {r.cell_id: r for r in OV.majority_label(cells, halves, ["city", "cell_id"], "d", 500.0, 100.0, centres, ["city"]).collect()}
+    whole = 1.5 * 3 ** 0.5 * 100.0 ** 2
+    assert (got[1].d, got[1].how) == (4, "area") and got[1].share == pytest.approx(0.5 + (10.0 * 200.0 - 10.0 ** 2 / 3 ** 0.5) / whole)
+    assert (got[2].d, got[2].how, got[2].share) == (3, "nearest", None)
