@@ -107,6 +107,19 @@ def imputed_columns(specs: Sequence[Indicator]) -> Column:
     return F.expr(f"array_sort(array_distinct(filter(array({parts}), x -> x IS NOT NULL)))")
 
 
+def spoken(rows: DataFrame, medians: DataFrame, specs: Sequence[Indicator], templates: DataFrame, mode_phrases: DataFrame, lang: Column,
+           keys: Sequence[str] = ("request_id", "cell_id")) -> DataFrame:
+    """(keys, kind, pos, criterion, indicator, value, text): highlights and warnings of places or groups in one language."""
+    hw = highlights_and_warnings(contributions(rows, medians, keys), picks(rows, specs, keys), keys)
+    return sentences(hw, templates, mode_phrases, lang)
+
+
+def rounded_criteria(crit: str = "crit") -> Column:
+    """'criterion:score' of the criteria that have one, in order, rounded half to even."""
+    names = "array(" + ", ".join(f"'{c}'" for c in CRITERIA) + ")"
+    return F.expr(f"array_join(filter(transform({crit}, (x, i) -> CASE WHEN x IS NOT NULL THEN concat({names}[i], ':', cast(bround(round(x, 9), 0) AS int)) END), t -> t IS NOT NULL), ',')")
+
+
 def anchor_times() -> Column:
     """Per anchor of the request: id, label, minutes (NULL if unreachable) and mode, in the request's order."""
     return F.expr("transform(anchors, (a, p) -> struct(a.id AS id, a.label AS label, "

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import CRITERIA, PRICE, UNREACHABLE, Indicator
+from ..session import broadcast_if_small
 from .ranking import medians, top_per_group
 
 LEVELS = {"district": "district_id", "neighborhood": "neighborhood"}
@@ -51,6 +52,24 @@ def group_scores(scored: DataFrame, level: str, specs: Sequence[Indicator]) -> D
             .where("share > 0"))
 
 
+ASKED = ("cw", "lv", "total_w", "w", "den", "coverage", "median", "anchors", "anchor_slots", "budget")
+
+
+def group_rows(scored: DataFrame, ranked: DataFrame, level: str, specs: Sequence[Indicator]) -> DataFrame:
+    """The ranked groups as if each were a cell: ``crit``, ``s`` and ``raw`` are (population + 1)-weighted means over its habitable
+    cells (raw: over those that know the value, ``imputed`` where none does), ``minutes`` the truncated medians of the reachable
+    ones. Only cells of ranked groups are pooled. What explains a cell explains these rows too."""
+    few = broadcast_if_small(ranked.select("request_id", "group_id"), 200_000)
+    pool = (scored.where("habitable").withColumn("group_id", group_id(level)).withColumn("pw", F.col("population_est") + F.lit(1.0))
+            .join(few, ["request_id", "group_id"]))
+    pw, n = F.col("pw"), range(len(specs))
+    rows = pool.groupBy("request_id", "city", "group_id").agg(
+        F.array(*[weighted(F.col("crit")[i], pw) for i in range(len(CRITERIA))]).alias("crit"), F.array(*[weighted(F.col("s")[j], pw) for j in n]).alias("s"),
+        F.array(*[weighted(F.col("raw")[j], pw) for j in n]).alias("raw"), *[F.first(c).alias(c) for c in ASKED])
+    mins = group_minutes(pool, level).groupBy("request_id", "group_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "median"))).alias("minutes"))
+    return rows.withColumn("imputed", F.transform("raw", lambda r: r.isNull())).join(mins, ["request_id", "group_id"], "left")
+
+
 def group_minutes(scored: DataFrame, level: str) -> DataFrame:
     """Truncated median of the reachable minutes per request, group and anchor position."""
     m = (scored.where("habitable AND minutes IS NOT NULL").withColumn("group_id", group_id(level))

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scoring_queries", "relational_queries", "function_queries", "spatial_queries", "catalog_queries", "model_queries")
+MODULES = ("scoring_queries", "relational_queries", "function_queries", "spatial_queries", "catalog_queries", "model_queries", "detail_queries")
 
 
 def load():

@@ -154,31 +154,6 @@ PARENT_SQL = """SELECT level, city, group_id, district_id AS parent FROM (SELECT
  GROUP BY level, city, group_id, district_id) WHERE rn = 1"""
 
 
-@query("E02_score_response_group", q(f"""SELECT k.level, k.request_id, k.city, k.group_id, k.rank,
- CAST({half_even('k.score')} AS INTEGER) AS score, {half_even('k.share', 3)} AS share_passing, k.cell_count, s.population,
- s.lat, s.lon, {half_even('coalesce(k.price_value, st.med)', 1)} AS price, k.price_value IS NULL AS price_imputed,
- CASE WHEN k.level = 'neighborhood' THEN p.parent END AS parent
- FROM grp_rank k JOIN ({SUMMARY_SQL}) s ON s.level = k.level AND s.city = k.city AND s.group_id = k.group_id
- JOIN ({PARENT_SQL}) p ON p.level = k.level AND p.city = k.city AND p.group_id = k.group_id
- JOIN price_col pc ON pc.city = k.city JOIN spec sp ON sp.ikey = pc.pcol
- JOIN stats st ON st.city = k.city AND st.j = sp.j""", **GROUP_SQL))
-def score_response_group(spark, d):
-    sc, cells = scores(spark, d), prepared(spark, d)
-    med = cells.groupBy("city").agg(F.first("median").alias("median"), F.first("coverage").alias("coverage"))
-    out = []
-    for lv in G.LEVELS:
-        top = G.ranked_groups(sc, lv, B.SPECS).join(
-            G.group_summary(cells, lv).select("city", "group_id", "population", "lat", "lon", "parent"), ["city", "group_id"])
-        top = top.join(med, "city").withColumn("budget", F.lit(None).cast("struct<total:double,monthlyRent:double>"))
-        top = X.price_and_budget(top, B.SPECS, F.col("price_value"))
-        out.append(top.select(
-            F.lit(lv).alias("level"), "request_id", "city", "group_id", "rank", he(F.col("score")).cast("int").alias("score"),
-            he(F.col("share"), 3).alias("share_passing"), "cell_count", "population", F.round("lat", 6).alias("lat"),
-            F.round("lon", 6).alias("lon"), "price", "price_imputed",
-            (F.col("parent") if lv == "neighborhood" else F.lit(None).cast("string")).alias("parent")))
-    return out[0].unionByName(out[1])
-
-
 @query("A07_pool_row", q("""SELECT r.city, r.ikey AS indicator, c.district_id, round(sum(r.v * (c.population_est + 1.0))
  / sum(CASE WHEN r.v IS NOT NULL THEN c.population_est + 1.0 END), 6) AS value, count(r.v) = 0 AS imputed
  FROM raw_long r JOIN cells c USING (city, cell_id) WHERE c.habitable GROUP BY 1, 2, 3"""))
@@ -396,14 +371,6 @@ def indicator_text(spark, d):
     return out.select("request_id", "cell_id", "kind", "pos", "criterion", he(F.col("value"), 2).alias("value"), "lang", "text")
 
 
-@query("E16_anchor_times", q("""SELECT t.request_id, t.cell_id, u.pos, u.aid AS id, u.label, a.minutes, u.mode FROM top_cells t
- JOIN cell_anchor a ON a.request_id = t.request_id AND a.cell_id = t.cell_id
- JOIN usable_anchor u ON u.request_id = a.request_id AND u.pos = a.pos"""))
-def anchor_times(spark, d):
-    return (top_rows(spark, d).where("anchor_slots IS NOT NULL").withColumn("a", X.anchor_times())
-            .selectExpr("request_id", "cell_id", "posexplode(a) AS (pos, a)").selectExpr("request_id", "cell_id", "pos", "a.*"))
-
-
 @query("F21_budget_area", q(f"""SELECT t.request_id, t.cell_id, CAST({half_even(f"r.budget / nullif({half_even('f.f', 1)}, 0)")} AS BIGINT) AS budget_m2
  FROM top_cells t JOIN req r USING (request_id) JOIN price_col p ON p.city = t.city
  JOIN filled f ON f.city = t.city AND f.cell_id = t.cell_id AND f.ikey = p.pcol"""))
@@ -433,18 +400,6 @@ def imputed_list(spark, d):
     return top_rows(spark, d).select("request_id", "cell_id", F.array_join(X.imputed_columns(B.SPECS), ",").alias("imputed"))
 
 
-@query("E03_place_detail", q(f"""SELECT s.request_id, s.cell_id, s.ikey AS indicator, CASE WHEN s.imputed THEN NULL ELSE {half_even('s.v', 2)} END AS value,
- CAST({half_even('s.s')} AS INTEGER) AS score, s.w AS weight, {half_even('s.med', 1)} AS median, s.imputed FROM sub s
- JOIN top_cells t ON t.request_id = s.request_id AND t.cell_id = s.cell_id AND t.rank = 1 JOIN spec p ON p.j = s.j
- JOIN stats st ON st.city = s.city AND st.j = s.j WHERE st.coverage > 0 AND NOT (p.is_alias AND s.w <= 0)"""))
-def place_detail(spark, d):
-    long = X.indicator_rows(top_rows(spark, d).where("rank = 1"), B.SPECS, ["request_id", "cell_id"])
-    return (long.where("coverage > 0 AND NOT (is_alias AND w <= 0)")
-            .select("request_id", "cell_id", F.col("ikey").alias("indicator"),
-                    F.when(~F.col("imputed"), he(F.col("v"), 2)).alias("value"), he(F.col("s")).cast("int").alias("score"),
-                    F.col("w").alias("weight"), he(F.col("med"), 1).alias("median"), "imputed"))
-
-
 @query("E04_default_criteria", q(f"""SELECT city, cell_id, criterion, round(sc, 6) AS score FROM crit
  WHERE request_id IN ({', '.join(map(str, B.CUSTOM_ID.values()))})"""))
 def default_criteria(spark, d):
