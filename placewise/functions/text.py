@@ -40,6 +40,15 @@ def strip_accents(s: Column) -> Column:
     return F.regexp_replace(F.translate(low, _FROM, _TO), r"\p{Mn}+", "")
 
 
+def fold_sql(s: str) -> str:
+    """``fold`` as SQL text, from the same table of letters."""
+    low = f"lower({s})"
+    for c, letters in _LIGATURES.items():
+        low = f"replace({low}, '{c}', '{letters}')"
+    plain = f"regexp_replace(translate({low}, '{_FROM}', '{_TO}'), '\\\\p{{Mn}}+', '')"
+    return f"trim(regexp_replace(regexp_replace({plain}, '[-–,./()\"\\'„”]', ' '), '\\\\s+', ' '))"
+
+
 def fold(s: Column) -> Column:
     """Search form: no accents, punctuation to blanks, blanks collapsed."""
     s = F.regexp_replace(strip_accents(s), "[-–,./()\"'„”]", " ")

@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.text import ACCENTED, PLAIN
+from ..functions.text import fold_sql
 
 Builder = Callable[[DataFrame], DataFrame]
 
@@ -32,8 +32,7 @@ def register_sql_functions(spark: SparkSession) -> None:
     """Temporary SQL functions; Catalyst inlines their bodies."""
     hav = ("6371.0D * 2 * asin(sqrt(least(greatest(pow(sin((radians(lat2) - radians(lat1)) / 2), 2) + cos(radians(lat1)) * "
            "cos(radians(lat2)) * pow(sin((radians(lon2) - radians(lon1)) / 2), 2), 0.0D), 1.0D)))")
-    fold = (f"trim(regexp_replace(regexp_replace(translate(regexp_replace(lower(s), 'ß', 'ss'), '{ACCENTED}', '{PLAIN}'), "
-            "'[-–,./()\"\\'„”]', ' '), '\\\\s+', ' '))")
+    fold = fold_sql("s")
     for sig, ret, body in (
             ("pw_haversine_km(lat1 DOUBLE, lon1 DOUBLE, lat2 DOUBLE, lon2 DOUBLE)", "DOUBLE", hav),
             ("pw_decay(v DOUBLE, good DOUBLE, bad DOUBLE)", "DOUBLE", "least(greatest((v - bad) / (good - bad) * 100.0D, 0.0D), 100.0D)"),

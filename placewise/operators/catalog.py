@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..config import CRITERIA, LEVEL_WEIGHT, PERSONAS, PRICE, Indicator
 from ..functions.norm import half_even
 from .quality import spec_table, weighted_coverage
-from .ranking import medians
+from .runs import rank_runs
 
 
 def region_overview(stats: DataFrame, cells: DataFrame, specs: Sequence[Indicator]) -> DataFrame:
@@ -42,11 +42,13 @@ def static_match(static: DataFrame) -> DataFrame:
                          f"cast(floor(coalesce(CASE WHEN {den} > 0 THEN {num} / {den} ELSE {mean} END, 0D) + 0.5D) AS int) AS score")
 
 
-def rank_assertion(values: DataFrame, group: str, named: str, name: str) -> DataFrame:
-    """A named group must lie in the upper half by median.  One row per city; a city has few groups."""
-    m = medians(values, ["city", group], "v", "m")
-    g = values.select("city", group).distinct().join(m, ["city", group], "left")
-    w = W.partitionBy("city").orderBy(F.desc_nulls_last(F.round("m", 9)), F.asc(group))
-    r = g.withColumn("rk", F.row_number().over(w)).withColumn("n", F.count("*").over(W.partitionBy("city"))).where(F.col(group) == named)
-    return r.select(F.lit(name).alias("name"), (F.col("rk") <= F.floor(F.col("n") / 2)).alias("passed"),
+def rank_assertions(values: DataFrame, group: str) -> DataFrame:
+    """Which groups lie in the upper half of their city by the median of an indicator: one row per (city, indicator, group).
+    ``values``: (city, indicator, group, v). A city has few groups; groups without a value come last."""
+    keys = ["city", "indicator", group]
+    m = rank_runs(values, keys, "v").medians("m")
+    g = values.select(*keys).distinct().join(m, keys, "left")
+    w = W.partitionBy("city", "indicator")
+    r = g.withColumn("rk", F.row_number().over(w.orderBy(F.desc_nulls_last(F.round("m", 9)), F.asc(group)))).withColumn("n", F.count("*").over(w))
+    return r.select(F.concat(group, F.lit(" in the upper half for "), "indicator").alias("name"), (F.col("rk") <= F.floor(F.col("n") / 2)).alias("passed"),
                     F.concat("city", F.lit(" rank "), "rk", F.lit("/"), "n").alias("detail"))

@@ -27,6 +27,17 @@ def contrasting_pairs(long: DataFrame, n: int, criteria: Sequence[str]) -> DataF
         "city", "pair", F.col("hi.cell_id").alias("high"), F.col("lo.cell_id").alias("low"))
 
 
+def shown(pairs: DataFrame, scores: DataFrame) -> DataFrame:
+    """(city, id, cell_a, cell_b, a, b): the pairs as they are put to a user. The higher cell is first in every other pair, so its
+    place tells nothing; ``a`` and ``b`` are the whole scores of both sides. ``scores``: (city, cell_id, scores)."""
+    even = F.col("pair") % 2 == 0
+    p = pairs.select("city", F.concat(F.lit("p"), (F.col("pair") + 1).cast("string")).alias("id"), F.when(even, F.col("high")).otherwise(F.col("low")).alias("cell_a"),
+                     F.when(even, F.col("low")).otherwise(F.col("high")).alias("cell_b"))
+    for side in "ab":
+        p = p.join(scores.select("city", F.col("cell_id").alias(f"cell_{side}"), F.col("scores").alias(side)), ["city", f"cell_{side}"])
+    return p.select("city", "id", "cell_a", "cell_b", "a", "b")
+
+
 def _newton(d: int):
     """One Newton step per user row (w, gradient, packed upper Hessian), a batch of users at once."""
     iu = np.triu_indices(d)

@@ -6,9 +6,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import LOG_UNITS, Indicator
-from .ranking import medians, top_per_group
-
-REF_PAIRS = 4000
+from .ranking import global_positions, top_per_group
+from .runs import rank_runs
 
 
 def cross_slots(specs: Sequence[Indicator], usable: set[str] | None = None) -> list[int]:
@@ -47,19 +46,22 @@ def group_vectors(pooled: DataFrame, d: int, key: str = "district_id") -> DataFr
     return weighted_mean_vector(pooled.where("habitable"), ["city", key], F.col("population_est") + F.lit(1.0), d)
 
 
-def _sample(df: DataFrame, id_col: str, mul: int, seed: int, n: int, side: str) -> DataFrame:
-    """The n rows of each city with the smallest arithmetic hash, numbered: a reproducible random draw."""
+def _shuffled(df: DataFrame, id_col: str, mul: int, seed: int, side: str) -> DataFrame:
+    """The habitable rows of each city numbered in the order of an arithmetic hash: a reproducible permutation."""
     h = F.pmod(F.col(id_col).cast("long") * mul + seed, F.lit(1_000_003))
-    return (top_per_group(df.where("habitable").select("city", id_col, "z").withColumn("__h", h), ["city"],
-                          [F.asc("__h"), F.asc(id_col)], n, "k")
+    rows = df.where("habitable").select("city", id_col, "z").withColumn("__h", h)
+    return (global_positions(rows, ["city"], [F.asc("__h"), F.asc(id_col)], "k")
             .select(F.col("city").alias(f"city_{side}"), "k", F.col("z").alias(f"z_{side}")))
 
 
-def reference_distances(pooled: DataFrame, id_col: str = "cell_id", n: int = REF_PAIRS) -> DataFrame:
-    """(city_a, city_b, d_ref): median distance of random habitable pairs for every ordered pair of cities."""
-    a, b = _sample(pooled, id_col, 7919, 17, n, "a"), _sample(pooled, id_col, 104729, 29, n, "b")
-    d = a.join(b, "k").withColumn("d", distance("z_a", "z_b"))
-    return medians(d, ["city_a", "city_b"], "d", "d_ref")
+def reference_distances(pooled: DataFrame, id_col: str = "cell_id") -> DataFrame:
+    """(city_a, city_b, d_ref): median distance of random habitable pairs for every ordered pair of cities.
+
+    Two permutations of each city's rows are laid side by side, so every row of the smaller city stands in a pair: as many
+    pairs as rows, whatever their number."""
+    a, b = _shuffled(pooled, id_col, 7919, 17, "a"), _shuffled(pooled, id_col, 104729, 29, "b")
+    d = a.join(b, "k").select("city_a", "city_b", distance("z_a", "z_b").alias("d"))
+    return rank_runs(d, ["city_a", "city_b"], "d").medians("d_ref")
 
 
 def group_pairs(vectors: DataFrame, key: str = "district_id") -> DataFrame:

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import CRITERIA, LANGS
+from ..config import CITIES, CRITERIA, LANGS
 from ..functions import geo, text as T
 from ..functions.norm import half_even as he
 from ..operators import classes as CL, groups as G, ranking as R, registers as RG, requests as RQ, scoring as S
@@ -384,11 +384,13 @@ def population_rollup(spark, d):
             .agg(F.sum("population_est").alias("population")).select("city", "district_id", "neighborhood", "population"))
 
 
-@query("A28_pooled_feature_table", q("""SELECT c.city, c.cell_id, c.habitable, round(f."active.cycleway_km_1km", 6) AS cycleway,
- round(f."green.park_walk_min", 6) AS park FROM cells c JOIN feats f USING (cell_id)"""))
+COMPARABLE = sorted({s.column for s in B.SPECS if s.cross_city and not s.is_alias})
+
+
+@query("A28_pooled_feature_table", q(" UNION ALL ".join(f"""SELECT c.city, c.cell_id, c.habitable, '{c}' AS "column", round(f."{c}", 6) AS value FROM cells c LEFT JOIN feats f USING (cell_id)""" for c in COMPARABLE)))
 def pooled_feature_table(spark, d):
+    """All comparable columns of all cities, stacked."""
     c = B.cells(spark, d)
-    cols = ["active.cycleway_km_1km", "green.park_walk_min"]
-    per_city = [c.where(F.col("city") == x) for x in ("krakow", "praha")]
-    out = G.pooled_features(per_city, cols)
-    return out.select("city", "cell_id", "habitable", F.round(f"`{cols[0]}`", 6).alias("cycleway"), F.round(f"`{cols[1]}`", 6).alias("park"))
+    out = G.pooled_features([c.where(F.col("city") == x) for x in CITIES], COMPARABLE)
+    arms = ", ".join(f"struct('{x}' AS column, cast(`{x}` AS double) AS value)" for x in COMPARABLE)
+    return out.selectExpr("city", "cell_id", "habitable", f"inline(array({arms}))").withColumn("value", F.round("value", 6))

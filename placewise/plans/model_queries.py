@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import ARCHETYPES, CRITERIA, LOG_UNITS
-from ..operators import archetypes as AR, live as L, prefs as PF, ranking as R, scoring as S, similar as SM
+from ..operators import archetypes as AR, explain as X, live as L, prefs as PF, ranking as R, scoring as S, similar as SM
 from ..session import scratch_path, stored
 from ..streaming import live as LS
 from . import bindings as B
@@ -24,8 +24,8 @@ SQL = {
     "zfit": "SELECT i, avg(v) AS m, stddev_pop(v) AS s FROM zraw WHERE habitable GROUP BY 1",
     "zl": "SELECT r.city, r.cell_id, r.habitable, r.i, r.ikey, (r.v - f.m) / CASE WHEN f.s > 0 THEN f.s ELSE 1 END AS z FROM zraw r JOIN zfit f USING (i)",
     "zv": "SELECT city, cell_id, habitable, list(z ORDER BY i) AS z FROM zl GROUP BY 1, 2, 3",
-    "samp_a": "SELECT city, z, k FROM (SELECT city, z, row_number() OVER (PARTITION BY city ORDER BY (cell_id * 7919 + 17) % 1000003, cell_id) AS k FROM zv WHERE habitable) WHERE k <= 4000",
-    "samp_b": "SELECT city, z, k FROM (SELECT city, z, row_number() OVER (PARTITION BY city ORDER BY (cell_id * 104729 + 29) % 1000003, cell_id) AS k FROM zv WHERE habitable) WHERE k <= 4000",
+    "samp_a": "SELECT city, z, k FROM (SELECT city, z, row_number() OVER (PARTITION BY city ORDER BY (cell_id * 7919 + 17) % 1000003, cell_id) AS k FROM zv WHERE habitable)",
+    "samp_b": "SELECT city, z, k FROM (SELECT city, z, row_number() OVER (PARTITION BY city ORDER BY (cell_id * 104729 + 29) % 1000003, cell_id) AS k FROM zv WHERE habitable)",
     "dref": "SELECT a.city AS city_a, b.city AS city_b, median(list_distance(a.z, b.z)) AS d_ref FROM samp_a a JOIN samp_b b USING (k) GROUP BY 1, 2",
     "gz": "SELECT l.city, c.district_id, l.i, sum(l.z * (c.population_est + 1.0)) / sum(c.population_est + 1.0) AS z FROM zl l JOIN cells c USING (city, cell_id) WHERE l.habitable GROUP BY 1, 2, 3",
     "gv": "SELECT city, district_id, list(z ORDER BY i) AS z FROM gz GROUP BY 1, 2",
@@ -54,7 +54,11 @@ def pool_standardize(spark, d):
 
 @query("M07_calibrate_dref", q("SELECT city_a, city_b, round(d_ref, 5) AS d_ref FROM dref", **SQL))
 def calibrate_dref(spark, d):
-    return SM.reference_distances(pooled(spark, d)).withColumn("d_ref", F.round("d_ref", 5))
+    return d_ref(spark, d).withColumn("d_ref", F.round("d_ref", 5))
+
+
+def d_ref(spark, d):
+    return stored(spark, d, "d-ref", lambda: SM.reference_distances(pooled(spark, d)))
 
 
 @query("A21_group_vector", q("SELECT city, district_id, i, round(z, 5) AS z FROM gz", **SQL))
@@ -75,7 +79,7 @@ def queries_at(spark, d):
 
 def cand(spark, d, other):
     p = pooled(spark, d)
-    return SM.candidates(queries_at(spark, d), p, SM.reference_distances(p), other)
+    return SM.candidates(queries_at(spark, d), p, F.broadcast(d_ref(spark, d)), other)       # a row per pair of cities
 
 
 SIM = """SELECT q.cell_id AS query_id, c.cell_id AS match_id, 1 - list_distance(a.z, b.z) / r.d_ref AS sim, coalesce(nullif(c.neighborhood, ''), c.district_name) AS place, q.city AS city_a, c.city AS city_b
@@ -241,13 +245,20 @@ def mlp_soft_membership(spark, d):
 PAIR_CRIT = tuple(c for c in CRITERIA if c not in ("commute",))
 
 
-@query("M11_pref_pairs", q(f"""SELECT city, pair, arg_min(cell_id, (h, cell_id)) FILTER (WHERE sc >= p80) AS high, arg_min(cell_id, (h, cell_id)) FILTER (WHERE sc <= p20) AS low FROM (SELECT c.city, p.pair, c.cell_id, c.sc, k.p20, k.p80,
+PAIRS_SQL = (f"""SELECT city, pair, arg_min(cell_id, (h, cell_id)) FILTER (WHERE sc >= p80) AS high, arg_min(cell_id, (h, cell_id)) FILTER (WHERE sc <= p20) AS low FROM (SELECT c.city, p.pair, c.cell_id, c.sc, k.p20, k.p80,
  (c.cell_id * 7919 + p.pair * 31 + 7) % 10007 AS h FROM dc c JOIN (VALUES {', '.join(f"({p}, '{PAIR_CRIT[p % len(PAIR_CRIT)]}')" for p in range(10))}) AS p(pair, criterion) USING (criterion)
- JOIN (SELECT city, criterion, quantile_cont(sc, 0.2) AS p20, quantile_cont(sc, 0.8) AS p80 FROM dc GROUP BY 1, 2) k ON k.city = c.city AND k.criterion = c.criterion) GROUP BY 1, 2""",
+ JOIN (SELECT city, criterion, quantile_cont(sc, 0.2) AS p20, quantile_cont(sc, 0.8) AS p80 FROM dc GROUP BY 1, 2) k ON k.city = c.city AND k.criterion = c.criterion) GROUP BY 1, 2""")
+
+
+@query("M11_pref_pairs", q(f"""SELECT p.city, 'p' || CAST(p.pair + 1 AS VARCHAR) AS id, CASE WHEN p.pair % 2 = 0 THEN high ELSE low END AS cell_a, CASE WHEN p.pair % 2 = 0 THEN low ELSE high END AS cell_b, a.scores AS a, b.scores AS b
+ FROM pp0 p JOIN shown a ON a.city = p.city AND a.cell_id = CASE WHEN p.pair % 2 = 0 THEN high ELSE low END JOIN shown b ON b.city = p.city AND b.cell_id = CASE WHEN p.pair % 2 = 0 THEN low ELSE high END""",
+    pp0=PAIRS_SQL, shown=f"SELECT city, cell_id, string_agg(criterion || ':' || CAST({half_even('sc')} AS INTEGER), ',' ORDER BY i) AS scores FROM crit JOIN crits USING (criterion) WHERE request_id IN ({CUSTOM}) GROUP BY 1, 2",
     dc=f"SELECT city, cell_id, criterion, round(sc, 6) AS sc FROM crit WHERE habitable AND request_id IN ({CUSTOM})"))
 def pref_pairs(spark, d):
     long = S.criterion_long(scores(spark, d).where(F.col("request_id").isin(list(B.CUSTOM_ID.values())) & F.col("habitable")))
-    return PF.contrasting_pairs(long.select("city", "cell_id", "criterion", F.round("s", 6).alias("s")), 10, PAIR_CRIT)
+    pairs = PF.contrasting_pairs(long.select("city", "cell_id", "criterion", F.round("s", 6).alias("s")), 10, PAIR_CRIT)
+    told = scores(spark, d).where(F.col("request_id").isin(list(B.CUSTOM_ID.values()))).select("city", "cell_id", X.rounded_criteria().alias("scores"))
+    return PF.shown(pairs, told)
 
 
 def choices(spark, d):

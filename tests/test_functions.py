@@ -30,3 +30,23 @@ def test_gtfs_time(spark):
 def test_fold_decomposes_letters_beyond_the_list(spark):
     got = one(spark, a=T.fold(F.lit("Ảnh Ǎ")), b=T.fold(F.lit("ﬁn ĳs ß")), c=T.fold(F.lit("é Ž")), d=T.fold(F.lit("한글")), e=T.fold(F.lit(None).cast("string")))
     assert (got["a"], got["b"], got["c"], got["d"], got["e"]) == ("anh a", "fin ijs ss", "e z", "한글", None)
+
+
+def test_sql_folding_equals_the_column_function(spark):
+    """Every lower- and upper-case letter with a decomposition, ligatures, loose marks and punctuation."""
+    import sys
+    import unicodedata
+
+    from placewise.operators.adapters import register_sql_functions
+    register_sql_functions(spark)
+    letters = [c for c in map(chr, range(0xA0, sys.maxunicode + 1)) if unicodedata.category(c)[0] in "LM" and unicodedata.decomposition(c)]
+    rows = [(f"a{c}b {c.upper()}",) for c in letters] + [("Straße, „Łódź” / ﬁn-Ả 'x'\t\"y\"",), ("",), (None,)]
+    df = spark.createDataFrame(rows, "s string").selectExpr("s", "pw_fold(s) AS q").withColumn("f", T.fold(F.col("s")))
+    assert df.where("NOT (q <=> f)").count() == 0
+    assert df.where("s LIKE 'Stra%'").first()["q"] == "strasse lodz fin a x y"
+
+
+def test_offline_match_is_a_point_off_at_most(spark):
+    from placewise.plans import catalog_queries as CQ
+    got = CQ.static_score(spark, "/root/testdata/sf0.001")
+    assert got.count() > 0 and got.where("NOT within_one").count() == 0
