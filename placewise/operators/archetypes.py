@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -12,7 +13,8 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import cut
+from ..session import written
+from .ranking import global_positions
 
 SILHOUETTE_TOLERANCE = 0.005
 # The indicators whose mean z-score a rule looks at, and the rules in order; the first one that holds names the cluster.
@@ -53,30 +55,33 @@ def name_cluster(z: str) -> Column:
     return F.coalesce(*named, F.lit(OTHERWISE))
 
 
-def train_kmeans(pooled: DataFrame, ks: Sequence[int] = (6, 7, 8), inits: int = 3) -> tuple[DataFrame, dict]:
-    """Cluster the habitable cells for each k (best of several starts by training cost), keep the largest k whose
-    silhouette is within the tolerance of the best.  Returns (cells with ``cluster``, metrics)."""
-    data = cut(pooled.where("habitable").select("city", "cell_id", "z", array_to_vector("z").alias("features")))
-    sil, fits = {}, {}
-    for k in ks:
-        models = [KMeans(k=k, seed=42 + i, maxIter=30).fit(data) for i in range(inits)]
-        fits[k] = min(models, key=lambda m: m.summary.trainingCost)
-        sil[k] = round(ClusteringEvaluator().evaluate(fits[k].transform(data)), 4)       # all rows, through sums per cluster
+def train_kmeans(pooled: DataFrame, ks: Sequence[int] = (6, 7, 8), inits: int = 10, at_once: int = 4) -> DataFrame:
+    """Cluster the habitable cells for each k (best of ten starts by training cost), keep the largest k whose silhouette is within
+    the tolerance of the best. Returns (city, cell_id, z, cluster, centre, k, silhouette): labels, centres and choice of one
+    training in one table. Starts are independent jobs; a few run at a time."""
+    data = written(pooled.where("habitable").select("city", "cell_id", "z"), "vectors")
+    features = data.withColumn("features", array_to_vector("z"))
+    with ThreadPoolExecutor(at_once) as pool:
+        made = list(pool.map(lambda at: (at[0], KMeans(k=at[0], seed=42 + at[1], maxIter=300).fit(features)), [(k, i) for k in ks for i in range(inits)]))
+    fits = {k: min((m for at, m in made if at == k), key=lambda m: m.summary.trainingCost) for k in ks}
+    sil = {k: round(ClusteringEvaluator().evaluate(m.transform(features)), 4) for k, m in fits.items()}       # all rows, through sums per cluster
     k = max(x for x, v in sil.items() if v >= max(sil.values()) - SILHOUETTE_TOLERANCE)
-    out = fits[k].transform(data).withColumnRenamed("prediction", "cluster")
-    return out, {"k": k, "silhouette": sil, "centers": [c.tolist() for c in fits[k].clusterCenters()], "model": fits[k]}
+    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in fits[k].clusterCenters()])             # k rows of numbers
+    return fits[k].transform(features).select("city", "cell_id", "z", F.col("prediction").alias("cluster"), centres[F.col("prediction")].alias("centre"),
+                                              F.lit(k).alias("k"), F.lit(sil[k]).alias("silhouette"))
 
 
 def split(labelled: DataFrame, test_every: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Stratified 80/20 split: within each cluster every fifth hash bucket is held out."""
-    h = F.pmod(F.xxhash64("city", "cell_id", F.lit(42)), F.lit(test_every))
-    return labelled.where(h != 0), labelled.where(h == 0)
+    """Stratified 80/20 split: in the order of a hash every fifth cell of each cluster is held out."""
+    placed = global_positions(labelled.withColumn("__h", F.xxhash64("city", "cell_id", F.lit(42))), ["cluster"], [F.asc("__h"), F.asc("city"), F.asc("cell_id")], "__pos").drop("__h")
+    held = F.col("__pos") % test_every == 0
+    return placed.where(~held).drop("__pos"), placed.where(held).drop("__pos")
 
 
 def train_membership(labelled: DataFrame, d: int, k: int) -> tuple[PipelineModel, float]:
     """Multilayer perceptron (32, 16) from vector to cluster; returns the model and its held-out accuracy."""
     tr, te = split(labelled)
-    mlp = MultilayerPerceptronClassifier(layers=[d, 32, 16, k], labelCol="cluster", featuresCol="features", maxIter=200, seed=42)
+    mlp = MultilayerPerceptronClassifier(layers=[d, 32, 16, k], labelCol="cluster", featuresCol="features", maxIter=600, seed=42)
     model = Pipeline(stages=[mlp]).fit(tr.withColumn("cluster", F.col("cluster").cast("double")))
     scored = model.transform(te.withColumn("cluster", F.col("cluster").cast("double")))
     return model, float(scored.agg(F.avg((F.col("prediction") == F.col("cluster")).cast("double"))).first()[0])
@@ -111,15 +116,13 @@ def share_by_city(df: DataFrame, label: str) -> DataFrame:
 
 
 def load_or_train(spark: SparkSession, root: str, version: str, train: Callable[[], tuple[PipelineModel, dict]]) -> tuple[PipelineModel, dict, bool]:
-    """Reuse the stored model when it was trained on this data version, else train and store it.
+    """Reuse the stored model when it was trained on this content (``session.fingerprint``), else train and store it.
     Returns (model, metrics, reused)."""
-    try:
-        row = spark.read.schema("value string").text(f"{root}/metrics").first()
-        metrics = json.loads(row[0]) if row else {}
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/metrics/_SUCCESS")        # written last
+    if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        metrics = json.loads(spark.read.schema("value string").text(f"{root}/metrics").first()[0])
         if metrics.get("dataVersion") == version:
             return PipelineModel.load(f"{root}/model"), metrics, True
-    except Exception:  # noqa: BLE001  a missing or unreadable model means training
-        pass
     model, metrics = train()
     metrics = {**metrics, "dataVersion": version}
     model.write().overwrite().save(f"{root}/model")

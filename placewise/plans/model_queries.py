@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..config import ARCHETYPES, CRITERIA, LOG_UNITS
 from ..operators import archetypes as AR, explain as X, live as L, prefs as PF, ranking as R, scoring as S, similar as SM
-from ..session import scratch_path, stored
+from ..session import fingerprint, scratch_path, stored
 from ..streaming import live as LS
 from . import bindings as B
 from .oracle import half_even, q
@@ -203,44 +203,64 @@ def cluster_share_by_city(spark, d):
 
 
 def clusters(spark, d):
-    out, metrics = AR.train_kmeans(pooled(spark, d))
-    return stored(spark, d, "clusters", lambda: out.drop("features")), metrics
+    """Labels, centres and the number of clusters, of one training."""
+    return stored(spark, d, "clusters", lambda: AR.train_kmeans(pooled(spark, d)))
 
 
 @query("M02_kmeans_select_k")
 def kmeans_select_k(spark, d):
-    out, m = clusters(spark, d)
-    names = dict(enumerate(m["centers"]))
-    zm = spark.createDataFrame([(i, dict(zip(DIMS, c))) for i, c in names.items()], "cluster int, zm map<string,double>")
-    n = out.groupBy("cluster").agg(F.count("*").alias("cells"))
-    return n.join(zm, "cluster").select("cluster", "cells", AR.name_cluster("zm").alias("archetype"), F.lit(m["k"]).alias("k"))
+    out = clusters(spark, d).groupBy("cluster", "k").agg(F.count("*").alias("cells"), F.first("centre").alias("centre"))
+    names = F.array(*[F.lit(n) for n in DIMS])
+    return out.withColumn("zm", F.map_from_arrays(names, "centre")).select("cluster", "cells", AR.name_cluster("zm").alias("archetype"), "k")
+
+
+@query("M02_kmeans_nearest_centre", q("""SELECT city, count(*) AS cells, 0 AS elsewhere, TRUE AS k_allowed FROM cells WHERE habitable GROUP BY 1"""))
+def kmeans_nearest_centre(spark, d):
+    """Every habitable cell belongs to the centre nearest to it, and the number of centres is one of those tried."""
+    out = clusters(spark, d)
+    centres = out.groupBy("cluster").agg(F.first("centre").alias("centre")).agg(F.collect_list("centre").alias("centres"))       # k rows
+    gap = lambda c: F.aggregate(F.zip_with("z", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
+    rows = out.crossJoin(F.broadcast(centres)).withColumn("off", gap(F.col("centre")) > F.array_min(F.transform("centres", gap)) + 1e-9)     # one row
+    return rows.groupBy("city").agg(F.count("*").alias("cells"), F.count_if("off").cast("int").alias("elsewhere"), F.bool_and(F.col("k").isin(6, 7, 8)).alias("k_allowed"))
 
 
 def membership_model(spark, d):
     from pyspark.ml.functions import array_to_vector
-    out, m = clusters(spark, d)
-    data = out.withColumn("features", array_to_vector("z"))
-    model, acc = AR.train_membership(data, D, m["k"])
-    return model, {"k": m["k"], "holdoutAccuracy": round(acc, 4)}
+    data = clusters(spark, d).withColumn("features", array_to_vector("z"))
+    k = data.first()["k"]
+    model, acc = AR.train_membership(data, D, k)
+    return model, {"k": k, "holdoutAccuracy": round(acc, 4)}
 
 
-@query("M13_model_versioning")
-def model_versioning(spark, d):
+def membership(spark, d):
+    """The model for the content of the input, trained where it has changed."""
     root = scratch_path(spark, d, "model")
-    first = AR.load_or_train(spark, root, "v1", lambda: membership_model(spark, d))
-    again = AR.load_or_train(spark, root, "v1", lambda: membership_model(spark, d))
+    version = fingerprint(prepared(spark, d).select("city", "cell_id", "habitable", "raw"))
+    return AR.load_or_train(spark, root, version, lambda: membership_model(spark, d))
+
+
+@query("M13_model_versioning", q("SELECT city, count(*) AS cells, TRUE AS reused, TRUE AS k_allowed FROM cells GROUP BY 1"))
+def model_versioning(spark, d):
+    first, again = membership(spark, d), membership(spark, d)
     p = AR.memberships(again[0], pooled(spark, d)).groupBy("city").agg(F.count("*").alias("cells"))
-    return p.withColumn("reused", F.lit(again[2])).withColumn("k", F.lit(first[1]["k"]))
+    return p.withColumn("reused", F.lit(again[2])).withColumn("k_allowed", F.lit(first[1]["k"] in (6, 7, 8)))
 
 
 @query("M04_mlp_soft_membership")
 def mlp_soft_membership(spark, d):
-    model, metrics, _ = AR.load_or_train(spark, scratch_path(spark, d, "model"), "v1", lambda: membership_model(spark, d))
+    model, metrics, _ = membership(spark, d)
     p = AR.memberships(model, pooled(spark, d))
     return p.select("city", "cell_id", F.round(F.aggregate("proba", F.lit(0.0), lambda a, x: a + x), 6).alias("total"),
                     F.lit(metrics["holdoutAccuracy"]).alias("accuracy"))
 
 
+@query("M04_mlp_totals", q("SELECT city, cell_id, CAST(1.0 AS DOUBLE) AS total, TRUE AS within FROM cells"))
+def mlp_totals(spark, d):
+    """The probabilities of each cell lie between 0 and 1 and sum to 1."""
+    p = AR.memberships(membership(spark, d)[0], pooled(spark, d))
+    return p.select("city", "cell_id", F.round(F.aggregate("proba", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.forall("proba", lambda x: x.between(0, 1)).alias("within"))
+
+
 # ------------------------------------------------------------------ preferences
 PAIR_CRIT = tuple(c for c in CRITERIA if c not in ("commute",))
 
@@ -276,6 +296,18 @@ def pref_fit(spark, d):
         e["key"], F.lit("="), e["value"])), ",").alias("levels"), "confidence")
 
 
+@query("M12_pref_fit_gradient", "SELECT conv_id % 40 AS user, count(*) AS choices, TRUE AS at_optimum FROM conversations GROUP BY 1")
+def pref_fit_gradient(spark, d):
+    """The gradient of each user's penalised likelihood vanishes at the fitted weights."""
+    c = choices(spark, d)
+    x = "transform(array(" + ", ".join(f"(coalesce(a['{k}'], 50D) - coalesce(b['{k}'], 50D)) / 100D" for k in PF.CHOICE_CRITERIA) + "), v -> CASE WHEN choice = 'a' THEN v ELSE -v END)"
+    rows = c.selectExpr("user", f"{x} AS x").join(PF.fit_preferences(c).select("user", "w"), "user")
+    miss = F.expr("1D / (1D + exp(aggregate(zip_with(x, w, (p, q) -> p * q), 0D, (s, v) -> s + v)))")
+    n = range(len(PF.CHOICE_CRITERIA))
+    g = rows.withColumn("miss", miss).groupBy("user").agg(F.count("*").alias("choices"), F.array(*[F.first("w")[i] - 2 * F.sum(F.col("miss") * F.col("x")[i]) for i in n]).alias("g"))
+    return g.select("user", "choices", F.forall("g", lambda v: F.abs(v) < 1e-5).alias("at_optimum"))
+
+
 # ------------------------------------------------------------------ live readings
 LIVE = {"reading": """SELECT event_id AS reading_id, ts, user_id * 10 + CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'error' THEN 3 WHEN 'signup' THEN 4 ELSE 5 END AS registration,
  CASE event_id % 5 WHEN 0 THEN '8' WHEN 1 THEN '9' WHEN 2 THEN '148' ELSE '7' END AS value_type, value FROM events""",

@@ -72,13 +72,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stored(spark: SparkSession, data_version: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A derived table, computed once per application and data version, written to the shared folder and read back.
-
-    Later jobs start from files instead of a long lineage, so a lost executor costs a re-read."""
-    key = (spark.sparkContext.applicationId, data_version, name)
+def data_version(spark: SparkSession, folder: str) -> str:
+    """The state of a folder of tables: names, sizes and times of all its files, as its file system lists them. No data is read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return folder
+    files, found = fs.listFiles(at, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return f"{folder} {hashlib.md5(repr(sorted(found)).encode()).hexdigest()}"
+
+
+def fingerprint(df: DataFrame) -> str:
+    """The content of a table whatever the order of its rows and files: their number and the sum of two hashes of each."""
+    row = F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)])
+    sums = [F.sum(F.xxhash64(F.lit(seed), row).cast("decimal(38,0)")) for seed in (1, 2)]
+    return "-".join(str(x) for x in df.agg(F.count("*"), *sums).first())
+
+
+def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table, computed once per application and state of the input folder, written to the shared folder and read back.
+
+    Later jobs start from files instead of a long lineage, so a lost executor costs a re-read. Tables that change under the
+    same path are computed anew."""
+    version = data_version(spark, folder)
+    key = (spark.sparkContext.applicationId, version, name)
     if key not in _written:
-        path = scratch_path(spark, data_version, name)
+        path = scratch_path(spark, version, name)
         build().write.mode("overwrite").parquet(path)
         _written[key] = path
     return spark.read.parquet(_written[key])

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from placewise.operators import archetypes
 from placewise.operators import graph as GR, prefs as PF
@@ -38,3 +39,52 @@ def test_names_of_centroids_follow_the_first_rule_that_holds(spark):
             ("green_residential", {"green.green_share_500m": 1.1}), ("urban_mix", {"transit.departures_per_h_500m": 0.4}), ("family_suburb", {})]
     df = spark.createDataFrame(rows, "want string, zm map<string,double>").withColumn("got", archetypes.name_cluster("zm"))
     assert [r.got for r in df.collect()] == [w for w, _ in rows]
+
+
+def _tables(spark, folder, n):
+    """A folder with one table of n rows, written over what was there."""
+    spark.range(n).selectExpr("id", "cast(id * id AS double) AS x").write.mode("overwrite").parquet(f"{folder}/part.parquet")
+
+
+def test_changed_tables_are_computed_anew(spark, tmp_path):
+    from placewise.session import data_version, stored
+    folder = str(tmp_path / "data")
+    _tables(spark, folder, 10)
+    first = data_version(spark, folder)
+    count = lambda: stored(spark, folder, "sum", lambda: spark.read.parquet(f"{folder}/part.parquet").selectExpr("sum(x) AS s")).first()["s"]
+    assert count() == 285.0 and data_version(spark, folder) == first
+    _tables(spark, folder, 11)
+    assert data_version(spark, folder) != first and count() == 385.0
+
+
+def test_fingerprint_is_of_the_content(spark):
+    from placewise.session import fingerprint
+    df = spark.range(1000).selectExpr("id", "id % 7 AS g", "array(id, 1.5D) AS a")
+    same = df.orderBy("g", F.desc("id")).repartition(3).select("a", "id", "g")
+    assert fingerprint(df) == fingerprint(same)
+    assert len({fingerprint(x) for x in (df, df.where("id < 999"), df.union(df.where("id = 5")), df.withColumn("g", F.col("g") + 1), df.limit(0))}) == 5
+
+
+def test_model_is_trained_again_when_the_content_changes(spark, tmp_path):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import StandardScaler
+
+    from placewise.session import fingerprint
+    calls = []
+
+    def use(n):
+        df = spark.range(n).select(archetypes.array_to_vector(F.array(F.col("id").cast("double"))).alias("v"), "id")
+
+        def train():
+            calls.append(n)
+            return Pipeline(stages=[StandardScaler(inputCol="v", outputCol="w")]).fit(df), {"n": n}
+        return archetypes.load_or_train(spark, str(tmp_path / "model"), fingerprint(df.select("id")), train)[1:]
+    assert [use(n)[1] for n in (20, 20, 21, 21, 20)] == [False, True, False, True, False] and calls == [20, 21, 20]
+    assert use(20)[0]["n"] == 20
+
+
+def test_split_is_stratified(spark):
+    df = spark.range(1000).selectExpr("'c' AS city", "id AS cell_id", "CASE WHEN id < 700 THEN 0 WHEN id < 990 THEN 1 ELSE 2 END AS cluster")
+    train, held = archetypes.split(df)
+    assert {r.cluster: r["count"] for r in held.groupBy("cluster").count().collect()} == {0: 140, 1: 58, 2: 2}
+    assert train.count() == 800 and train.join(held, "cell_id").count() == 0
