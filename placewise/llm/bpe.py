@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import wider
@@ -324,7 +325,19 @@ def _numbers(ids: pa.ListScalar) -> list[int | None]:
     return ids.as_py() or [] if ids.values is None or ids.values.null_count else ids.values.to_numpy().tolist()
 
 
-SLICE = 500          # documents encoded before their ids leave
+SLICE_BYTES = 4 << 20       # text encoded before its ids leave
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Batches cut where the texts (or ids) of a piece pass SLICE_BYTES; one row at least."""
+    for whole in batches:
+        size = pc.fill_null(pc.binary_length(whole.column(column)) if pa.types.is_string(whole.column(column).type) else pc.multiply(pc.list_value_length(whole.column(column)), 4), 0)
+        run = pc.divide(pc.cumulative_sum(pc.cast(size, pa.int64())), SLICE_BYTES).to_pylist()
+        lo = 0
+        for i in range(1, whole.num_rows + 1):
+            if i == whole.num_rows or run[i] != run[lo]:
+                yield whole.slice(lo, i - lo)
+                lo = i
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -336,15 +349,29 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _compile(Encoder, payload)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, SLICE):
-                b = whole.slice(lo, SLICE)
-                with _no_collector():
-                    ids = [encoder(t) for t in b.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*b.columns, _ids_array(ids)], [*b.schema.names, "ids"])
+        for b in _slices(batches, "text"):
+            with _no_collector():
+                ids = [encoder(t) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, _ids_array(ids)], [*b.schema.names, "ids"])
     return docs.mapInArrow(run, wider(docs, ids="array<int>"))
 
 
+def recode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``docs`` (text, ...) with ``ids`` and ``decoded``: ``decode`` of ``encode``, by one Python worker with one vocabulary."""
+    docs = docs.drop("ids", "decoded")
+    payload = _Payload(docs, vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _compile(Encoder, payload)
+        bytes_of = encoder.transduce.bytes_of
+        for b in _slices(batches, "text"):
+            with _no_collector():
+                ids = [encoder(t) for t in b.column("text").to_pylist()]
+                text = [decoded(x, bytes_of) for x in ids]
+            yield pa.RecordBatch.from_arrays([*b.columns, _ids_array(ids), pa.array(text, pa.string())], [*b.schema.names, "ids", "decoded"])
+    return docs.mapInArrow(run, wider(docs, ids="array<int>", decoded="string"))
+
+
 def decode(coded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``coded`` (ids, ...) with ``decoded``: the text of the ids. Null ids give an empty text; ids the vocabulary lacks and
     bytes that are no UTF-8 give U+FFFD. A column named decoded is replaced."""
@@ -353,9 +380,7 @@ def decode(coded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bytes_of = _compile(_bytes_of, payload)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, SLICE):
-                b = whole.slice(lo, SLICE)
-                text = [decoded(_numbers(x), bytes_of) for x in b.column("ids")]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], [*b.schema.names, "decoded"])
+        for b in _slices(batches, "ids"):
+            text = [decoded(_numbers(x), bytes_of) for x in b.column("ids")]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], [*b.schema.names, "decoded"])
     return coded.mapInArrow(run, wider(coded, decoded="string"))

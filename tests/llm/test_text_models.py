@@ -40,6 +40,7 @@ def test_encode_and_decode_tables(spark):
     rows = [(1, "héllo  world", "x"), (2, None, "x"), (3, "", "x"), (1, "héllo  world", "x"), (None, "a b " * 30_000, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
     out = bpe.decode(bpe.encode(docs, VOCABULARY), VOCABULARY)
+    assert sorted(map(str, bpe.recode(docs, VOCABULARY).select(*out.columns).collect())) == sorted(map(str, out.collect()))
     assert out.columns == ["doc_id", "text", "ids", "decoded"]
     assert sorted((r.doc_id or 0, r.decoded) for r in out.collect()) == sorted((i or 0, t or "") for i, t, _ in rows)
     assert bpe.encode(docs.where("doc_id > 9"), VOCABULARY).count() == 0
