@@ -28,9 +28,9 @@ from .common import wider
 
 # fixed value: characters the tokenizer's regular expressions count as white space (property White_Space)
 WHITE = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-STATES = 100_000      # states a task remembers
+STATES = 250_000      # states a task remembers, about 1 KB each
 FITS = 500_000        # pairs of tokens a task remembers as compatible or not
-PIECES = 500_000      # pieces a task remembers
+PIECES = 300_000      # pieces a task remembers
 PIECE = 4096          # ids a decoder takes at once
 
 
