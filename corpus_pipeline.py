@@ -54,7 +54,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids; ids that do not give the text back are refused."""
     vocabulary = bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    coded = bpe.decode(bpe.encode(docs.select(*COLUMNS), vocabulary), vocabulary)
+    coded = bpe.recode(docs.select(*COLUMNS), vocabulary)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return coded.where(same).select(*COLUMNS, "ids", F.size("ids").cast("long").alias("n_tokens"))
 
