@@ -5,7 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..config import CRITERIA, LEVEL_WEIGHT, PERSONAS, PRICE, Indicator
+from ..config import CRITERIA, LEVEL_WEIGHT, MUST_HAVE, PERSONAS, PRICE, Indicator
 from ..functions.norm import half_even
 from .quality import spec_table, weighted_coverage
 from .runs import rank_runs
@@ -28,6 +28,26 @@ def indicator_catalog(stats: DataFrame, specs: Sequence[Indicator]) -> DataFrame
             .select("city", "indicator", half_even(F.col("coverage"), 3).alias("coverage"), (F.col("coverage") > 0).alias("available"), "weight", "norm"))
 
 
+def whole_catalog(stats: DataFrame, values: DataFrame, specs: Sequence[Indicator]) -> DataFrame:
+    """(section, city, indicator, coverage, available, weight, norm, median, low, high): the indicators of each city, its must-have
+    categories (available where their column has data in the city), and the spread of its price indicator.
+
+    ``stats``: (city, indicator, coverage); ``values``: (city, indicator, v) of the habitable cells."""
+    spark, none = stats.sparkSession, lambda kind: F.lit(None).cast(kind)
+    ind = indicator_catalog(stats, specs).select(F.lit("indicator").alias("section"), "*", *[none("double").alias(c) for c in ("median", "low", "high")])
+    wanted = spark.createDataFrame([(cat, col, city, only) for cat, (col, only) in MUST_HAVE.items() for city in PRICE], "category string, indicator string, city string, only string")
+    must = wanted.join(stats, ["city", "indicator"], "left").select(
+        F.lit("mustHave").alias("section"), "city", F.col("category").alias("indicator"), none("double").alias("coverage"),
+        F.coalesce((F.col("coverage") > 0) & (F.col("only").isNull() | (F.col("only") == F.col("city"))), F.lit(False)).alias("available"),
+        none("double").alias("weight"), none("string").alias("norm"), *[none("double").alias(c) for c in ("median", "low", "high")])
+    price = F.broadcast(spark.createDataFrame([(c, p[0]) for c, p in PRICE.items()], "city string, indicator string"))          # a row per city
+    runs = rank_runs(values.join(price, ["city", "indicator"]), ["city", "indicator"], "v")
+    spread = runs.quantiles({"median": 0.5, "low": 0.0, "high": 1.0}).select(
+        F.lit("price").alias("section"), "city", "indicator", none("double").alias("coverage"), F.lit(True).alias("available"), none("double").alias("weight"), none("string").alias("norm"),
+        "median", "low", "high")
+    return ind.unionByName(must).unionByName(spread)
+
+
 def static_match(static: DataFrame) -> DataFrame:
     """The offline client's match from whole criterion scores: level-weighted mean of the known ones, plain mean if
     nothing rated is known; rounds half up."""

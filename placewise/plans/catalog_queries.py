@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 from ..config import BY_KEY, CITIES, CRITERIA, EXPECTED_RANGE, MUST_HAVE, PERSONAS, POI_VOCAB, PRICE, expected_columns
 from ..functions import geo, text as T
 from ..functions.norm import half_even as he
-from ..operators import adapters as AD, catalog as CA, cells as C, explain as X, quality as QA, ranking as R, registers as RG, scoring as S, search as SE
+from ..operators import adapters as AD, catalog as CA, cells as C, explain as X, quality as QA, ranking as R, registers as RG, scoring as S, search as SE, transit as TR
 from ..session import scratch_path
 from ..sources import readers as RD, writers as WR
 from . import bindings as B
 from .function_queries import ADDR, FOLD, NUM_SQL, SIZE, STREET_SQL, STREETS
 from .oracle import CITY, CTES, cte, half_even, q
 from .registry import query
-from .relational_queries import filled_long, rnd
+from .relational_queries import TT_SQL, timetable, filled_long, rnd
 from .scoring_queries import prepared, scores
 from .spatial_queries import cells as grid, polygons
 
@@ -50,16 +50,34 @@ def read_pois(spark, d):
     return RD.read_pois(spark, path, ["park", "pharmacy"]).groupBy("category").agg(F.count("*").alias("n"), F.min("name").alias("first"))
 
 
-@query("S03_read_gtfs_csv", "SELECT 'feed' || CAST(c_custkey % 2 AS VARCHAR) AS feed, CAST(c_custkey AS VARCHAR) AS stop_id, c_name AS stop_name, CAST(NULL AS VARCHAR) AS wheelchair_boarding FROM customer")
+TIMETABLE = {"stops": ["stop_id", "stop_name", "wheelchair_boarding"], "routes": ["route_id", "route_type"], "trips": ["route_id", "service_id", "trip_id", "wheelchair_accessible"],
+             "stop_times": ["trip_id", "stop_id", "departure_time"], "calendar": ["service_id", *TR.DAYS, "start_date", "end_date"], "calendar_dates": ["service_id", "date", "exception_type"]}
+ON = "1996-03-05"
+
+
+@query("S03_read_gtfs_csv", q("""SELECT s.feed, CAST(s.stop_id AS VARCHAR) AS stop_id, 'stop ' || CAST(s.stop_id AS VARCHAR) AS stop_name, count(*) AS departures, count(DISTINCT t.route_id) AS lines,
+ count(*) FILTER (WHERE t.wc) AS accessible FROM st s JOIN trip t ON t.feed = s.feed AND t.trip_id = s.trip_id WHERE t.service_id <> 4 GROUP BY 1, 2, 3""", **TT_SQL))
 def read_gtfs_csv(spark, d):
-    folders = {}
-    for i in (0, 1):
-        folders[f"feed{i}"] = io(spark, d, f"gtfs{i}")
-        (B.table(spark, d, "customer").where(f"c_custkey % 2 = {i}").selectExpr("c_custkey AS ` stop_id`", "c_name AS stop_name")
-         .write.mode("overwrite").csv(folders[f"feed{i}"] + "/stops.txt", header=True))
-    out = RD.read_gtfs(spark, folders, "stops", ["stop_id", "stop_name", "wheelchair_boarding"])
-    empty = RD.read_gtfs(spark, folders, "frequencies", ["trip_id"])
-    return out.join(empty.select(F.col("trip_id").alias("stop_id")), "stop_id", "left_anti").select("feed", "stop_id", "stop_name", "wheelchair_boarding")
+    """All six tables of two feeds from CSV, joined to the departures of one day. Service 5 runs on no weekday but is added on the
+    day, service 4 is removed; a seventh table is absent and empty."""
+    st, trips, routes, _ = timetable(spark, d)
+    services = trips.select("feed", "service_id").distinct()
+    week = services.select("*", *[F.when(F.col("service_id") == 5, "0").otherwise("1").alias(day) for day in TR.DAYS], F.lit("19960101").alias("start_date"), F.lit("19961231").alias("end_date"))
+    dates = services.where("service_id IN (4, 5)").select("*", F.lit(ON.replace("-", "")).alias("date"), F.when(F.col("service_id") == 4, "2").otherwise("1").alias("exception_type"))
+    stops = st.select("feed", F.col("stop_id").alias(" stop_id"), F.concat(F.lit("stop "), "stop_id").alias("stop_name")).distinct()      # a blank in the header
+    folders = {f: io(spark, d, f"gtfs-{f}") for f in ("feed0", "feed1")}
+    for name, df in (("stops", stops), ("routes", routes), ("trips", trips), ("stop_times", st), ("calendar", week), ("calendar_dates", dates)):
+        for feed, folder in folders.items():
+            df.where(F.col("feed") == feed).drop("feed").write.mode("overwrite").csv(f"{folder}/{name}.txt", header=True)
+    read = {name: RD.read_gtfs(spark, folders, name, columns) for name, columns in TIMETABLE.items()}
+    day = spark.range(1).select(F.lit(ON).cast("date").alias("day"))
+    date = lambda c: F.to_date(c, "yyyyMMdd").alias(c)
+    active = TR.active_services(read["calendar"].select("feed", "service_id", *[F.col(x).cast("int").alias(x) for x in TR.DAYS], date("start_date"), date("end_date")),
+                                read["calendar_dates"].select("feed", "service_id", date("date"), F.col("exception_type").cast("int").alias("exception_type")), day)
+    dep = TR.departures(read["stop_times"], read["trips"], read["routes"].withColumn("route_type", F.col("route_type").cast("int")), active)
+    gone = RD.read_gtfs(spark, folders, "frequencies", ["trip_id"])
+    dep = dep.join(gone, "trip_id", "left_anti").join(read["stops"], ["feed", "stop_id"])
+    return dep.groupBy("feed", "stop_id", "stop_name").agg(F.count("*").alias("departures"), F.count_distinct("route_id").alias("lines"), F.count_if("low_floor").alias("accessible"))
 
 
 @query("S04_read_delimited_legacy", f"SELECT street, count(*) AS n FROM (SELECT {', '.join(ADDR)} FROM customer) GROUP BY 1")
@@ -331,11 +349,16 @@ def region_overview(spark, d):
     return CA.region_overview(stats, B.grid_cells(spark, d), B.SPECS)
 
 
-@query("E09_indicator_catalog", q(f"""SELECT s.city, p.ikey AS indicator, {half_even('s.coverage', 3)} AS coverage, s.coverage > 0 AS available, p.base_w AS weight, p.norm FROM stats s JOIN spec p USING (j)
- WHERE p.only_city IS NULL OR p.only_city = s.city"""))
+@query("E09_indicator_catalog", q(f"""SELECT 'indicator' AS section, s.city, p.ikey AS indicator, {half_even('s.coverage', 3)} AS coverage, s.coverage > 0 AS available, p.base_w AS weight, p.norm, CAST(NULL AS DOUBLE) AS median, CAST(NULL AS DOUBLE) AS low, CAST(NULL AS DOUBLE) AS high
+ FROM stats s JOIN spec p USING (j) WHERE p.only_city IS NULL OR p.only_city = s.city
+ UNION ALL SELECT 'mustHave', c.city, m.category, CAST(NULL AS DOUBLE), coalesce(st.coverage > 0 AND (m.only_city IS NULL OR m.only_city = c.city), FALSE), CAST(NULL AS DOUBLE), NULL, NULL, NULL, NULL FROM must_have m CROSS JOIN price_col c
+ LEFT JOIN spec p ON p.ikey = m.col LEFT JOIN stats st ON st.city = c.city AND st.j = p.j
+ UNION ALL SELECT 'price', r.city, p.pcol, NULL, TRUE, NULL, NULL, round(median(v), 6), round(min(v), 6), round(max(v), 6) FROM raw_long r JOIN price_col p ON p.city = r.city AND p.pcol = r.ikey WHERE habitable AND v IS NOT NULL GROUP BY 2, 3"""))
 def indicator_catalog(spark, d):
-    stats = filled_long(spark, d).where("habitable").groupBy("city", "indicator").agg(F.avg(F.col("v").isNotNull().cast("double")).alias("coverage"))
-    return CA.indicator_catalog(stats, B.SPECS)
+    """What a city offers: its indicators, the categories a request can demand, and the spread of its prices."""
+    hab = filled_long(spark, d).where("habitable").select("city", "indicator", "v")
+    stats = hab.groupBy("city", "indicator").agg(F.avg(F.col("v").isNotNull().cast("double")).alias("coverage"))
+    return CA.whole_catalog(stats, hab, B.SPECS).select("section", "city", "indicator", "coverage", "available", "weight", "norm", *rnd("median", "low", "high"))
 
 
 @query("E13_static_score", q(f"""SELECT c.city, c.persona, c.cell_id, c.score, CAST(least(greatest({half_even('m.mf')}, 0), 100) AS INTEGER) AS exact, abs(c.score - CAST(least(greatest({half_even('m.mf')}, 0), 100) AS INTEGER)) <= 1 AS within_one FROM (
