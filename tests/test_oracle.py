@@ -13,7 +13,9 @@ from placewise.plans import load  # noqa: E402
 D = "/root/testdata/sf0.001"
 NAMES = ["E01_score_response_hex", "P13_relax_hint", "W01_midrank_percentile", "E05_explain_pick", "A10_stop_stats", "J13_point_in_polygon",
          "J09_radius_join_count", "A13_kring_median_expanding", "G10_disk_mean", "M08_similar_places", "E11_search_rank", "J05_address_geocode_cascade",
-         "S07_read_xml_features", "T02_latest_per_station", "T05_reading_dedup", "F24_decode_request_state"]
+         "S07_read_xml_features", "T02_latest_per_station", "T05_reading_dedup", "F24_decode_request_state", "E02_score_response_group", "E03_place_detail",
+         "E12_search_merge_dedup", "E16_anchor_times", "J14_majority_area_label", "J15_area_apportion", "P14_iqr_trim", "A05_city_medians", "S03_read_gtfs_csv",
+         "E09_indicator_catalog", "M07_calibrate_dref", "M11_pref_pairs"]
 
 
 @pytest.fixture(scope="module")
