@@ -7,7 +7,7 @@ from ..config import BY_KEY, CITIES, CRITERIA, EXPECTED_RANGE, MUST_HAVE, PERSON
 from ..functions import geo, text as T
 from ..functions.norm import half_even as he
 from ..operators import adapters as AD, catalog as CA, cells as C, explain as X, quality as QA, ranking as R, registers as RG, scoring as S, search as SE, transit as TR
-from ..session import scratch_path
+from ..session import scratch_path, stored
 from ..sources import readers as RD, writers as WR
 from . import bindings as B
 from .function_queries import ADDR, FOLD, NUM_SQL, SIZE, STREET_SQL, STREETS
@@ -309,6 +309,17 @@ def search_index(spark, d):
     return SE.postings(SE.entries(labels(spark, d))).groupBy("prefix").agg(F.count("*").alias("n"))
 
 
+TREE = {"tok": "SELECT t, count(*) AS n FROM (SELECT DISTINCT entry_id, unnest(tokens) AS t FROM entry) WHERE t <> '' GROUP BY 1",
+        "pre": "SELECT t, n, k, substr(t, 1, k) AS p FROM (SELECT t, n, unnest(range(1, least(length(t), 12) + 1)) AS k FROM tok)",
+        "deep": "SELECT t, max(k) AS d FROM pre JOIN (SELECT p FROM pre GROUP BY 1 HAVING sum(n) > 50) h USING (p) GROUP BY 1",
+        "lf": "SELECT substr(t, 1, least(coalesce(d, 0) + 1, length(t), 12)) AS leaf, coalesce(d, 0) = length(t) AND coalesce(d, 0) < 12 AS ended, n FROM tok LEFT JOIN deep USING (t)"}
+
+
+@query("E10_search_tree", q("SELECT leaf, ended, CAST(sum(n) AS BIGINT) AS n, CAST(ceil(sum(n) / 50.0) AS INTEGER) AS shards FROM lf GROUP BY 1, 2", **LABELS, **TREE))
+def search_tree(spark, d):
+    return SE.leaves(SE.prefix_tree(SE.entries(labels(spark, d)), 50), 50)
+
+
 def search_queries(spark, d):
     more = spark.createDataFrame([(x,) for x in ("Rakowicka 1", "zizkovo", "ŁOBZ", "customer 00000014", "tisch 5/12", "sloneczne 2")], "q string")
     qs = B.table(spark, d, "part").select(F.concat("p_brand", F.lit(" "), F.substring("p_type", 1, 4)).alias("q")).union(more).distinct()
@@ -317,7 +328,9 @@ def search_queries(spark, d):
 
 @query("E11_search_rank", q("SELECT query_id, rank, entry_id, score FROM found WHERE rank <= 8", **LABELS))
 def search_rank(spark, d):
-    return SE.search(search_queries(spark, d), SE.entries(labels(spark, d)), 8).select("query_id", "rank", "entry_id", "score")
+    index = stored(spark, d, "search-entries", lambda: SE.entries(labels(spark, d)))
+    tree = stored(spark, d, "search-tree", lambda: SE.prefix_tree(index))
+    return SE.search(search_queries(spark, d), index, 8, tree=tree).select("query_id", "rank", "entry_id", "score")
 
 
 # a nation's customers and suppliers are hits of queries of very different size: one query of nation 0, up to 961 of nation 24
