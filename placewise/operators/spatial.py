@@ -12,9 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.geo import ring_offsets
-from ..session import cut
+from ..session import broadcast_if_small, cut
 
-HOT = 50_000   # targets per shard
+HOT = 50_000     # targets per shard
+BIN_EDGES = 64   # edges of one polygon that a bin should meet
+MAX_LEVEL = 10   # halvings of a bin
 
 
 def with_bin(df: DataFrame, size: float, x: str = "x", y: str = "y") -> DataFrame:
@@ -160,27 +162,91 @@ def area(edge_table: DataFrame, keys: Sequence[str]) -> DataFrame:
     return edge_table.groupBy(*keys).agg(F.abs(F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) / 2).alias("area"))
 
 
+def _levels(edge_table: DataFrame, cols: Sequence[str], size: float) -> DataFrame:
+    """(polygon, level) of the polygons that need finer bins: halved ``level`` times until a bin meets about ``BIN_EDGES`` edges,
+    as long as the polygon's box has no more bins than four times its edges."""
+    st = edge_table.groupBy(*cols).agg(F.count("*").alias("n"), F.sum(edge_length()).alias("len"),
+                                       ((F.max("x1") - F.min("x1")) * (F.max("y1") - F.min("y1"))).alias("box"))
+    s = F.greatest(F.lit(BIN_EDGES) * F.col("len") / F.col("n"), F.sqrt(F.col("box") / (F.col("n") * 4)))
+    level = F.least(F.floor(F.log2(F.lit(float(size)) / s)), F.lit(MAX_LEVEL)).cast("int")
+    return st.where(s > 0).select(*cols, level.alias("__lv")).where("__lv > 0")
+
+
+def _row_edges(edge_table: DataFrame, cols: Sequence[str], size: float, levels: DataFrame | None) -> DataFrame:
+    """Every edge once per row of bins that it meets; ``__s`` is the bin size of its polygon (``levels``: those that differ)."""
+    e = edge_table.select(*cols, "x1", "y1", "x2", "y2")
+    e = e.withColumn("__lv", F.lit(0)) if levels is None else e.join(broadcast_if_small(levels), list(cols), "left").withColumn("__lv", F.coalesce("__lv", F.lit(0)))
+    e = e.withColumn("__s", F.lit(float(size)) / F.pow(F.lit(2.0), "__lv"))
+    return e.withColumn("__by", F.explode(F.sequence(F.floor(F.least("y1", "y2") / F.col("__s")), F.floor(F.greatest("y1", "y2") / F.col("__s")))))
+
+
+def _x_at(y: Column) -> Column:
+    """Where an edge crosses the height y, kept between its ends."""
+    x = (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
+    return F.least(F.greatest(x, F.least("x1", "x2")), F.greatest("x1", "x2"))
+
+
+def _last_bin(y: Column) -> Column:
+    """The last bin of the row whose left side lies left of the edge's crossing at height y."""
+    return F.ceil(_x_at(y) / F.col("__s")) - 1
+
+
+def _spans(y: Column) -> Column:
+    return (F.col("y1") > y) != (F.col("y2") > y)
+
+
+def _bin_edges(rows: DataFrame) -> DataFrame:
+    """Row edges once per bin that they pass."""
+    s, flat = F.col("__s"), F.col("y1") == F.col("y2")
+    y0, y1 = F.col("__by") * s, (F.col("__by") + 1) * s
+    end = lambda y: F.when(flat, F.col("x1")).otherwise(_x_at(F.least(F.greatest(y, F.least("y1", "y2")), F.greatest("y1", "y2"))))
+    other = lambda y: F.when(flat, F.col("x2")).otherwise(end(y))
+    a, b = F.least(end(y0), other(y1)), F.greatest(end(y0), other(y1))
+    # a bin too many changes nothing: an edge outside a bin contributes an even count
+    return rows.withColumn("__bx", F.explode(F.sequence(F.floor(a / s - 1e-9), F.floor(b / s + 1e-9))))
+
+
+def _odd_corners(rows: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Bins whose lower left corner lies inside, as (polygon, level, row, bin): crossings of the row's lower side, counted per bin,
+    alternate between entering and leaving; the runs between them are expanded."""
+    line = F.col("__by") * F.col("__s")
+    row = [*cols, "__lv", "__by"]
+    cross = (rows.where(_spans(line)).withColumn("__b", _last_bin(line)).groupBy(*row, "__b").agg(F.count("*").alias("__n")).where("__n % 2 = 1"))
+    w = W.partitionBy(*row).orderBy("__b")
+    runs = cross.select(*row, "__b", F.lag("__b").over(w).alias("__a"), F.row_number().over(w).alias("__i")).where("__i % 2 = 0")
+    return runs.select(*row, F.explode(F.sequence(F.col("__a") + 1, F.col("__b"))).alias("__bx"))
+
+
 def containing(points: DataFrame, edge_table: DataFrame, ids: Sequence[str], poly: Sequence[str], size: float,
-               keys: Sequence[str] = ()) -> DataFrame:
+               keys: Sequence[str] = (), hot: int = HOT) -> DataFrame:
     """(point, polygon) pairs where the point lies inside, by crossing parity.
 
-    Polygons meet points through the bins their boxes cover; the crossing test joins the edges by (polygon,
-    horizontal strip), so neither a huge polygon nor a crowded bin has to fit one task."""
+    A point meets the edges of its own bin only. Whether a bin's lower left corner lies inside is known per (polygon, bin); the
+    edges of the bin say how often that changes between corner and point: an edge counts where it is crossed right of the
+    point, right of the corner, and once for each end above the corner and right of it, up to the point's height. Edges that do
+    not pass the bin add up to even numbers and are left out. Bins without edges answer by their corner alone. Polygons with
+    many edges get finer bins; bins with more than ``hot`` points are cut into shards."""
     keys, ids, poly = list(keys), list(ids), list(poly)
-    s = F.lit(float(size))
-    box = bounds(edge_table, [*keys, *poly])
-    box = box.withColumn("__bx", F.explode(F.sequence(F.floor(F.col("x0") / s), F.floor(F.col("xmax") / s)))) \
-             .withColumn("__by", F.explode(F.sequence(F.floor(F.col("y0") / s), F.floor(F.col("ymax") / s))))
-    p = with_bin(points.select(*dict.fromkeys([*ids, *keys, "x", "y"])), size)
-    inside_box = (F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("xmax")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("ymax"))
-    cand = p.join(box, [*keys, "__bx", "__by"]).where(inside_box).select(*dict.fromkeys([*ids, *keys, *poly, "x", "y", "__by"]))
-    lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
-    e = edge_table.withColumn("__by", F.explode(F.sequence(F.floor(lo / s), F.floor(hi / s))))
-    e = e.select(*keys, *poly, "__by", "x1", "y1", "x2", "y2")
-    spans = (F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))
-    cross_x = (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
-    crossing = cand.join(e, [*keys, *poly, "__by"]).where(spans).where(F.col("x") < cross_x)
-    return (crossing.groupBy(*dict.fromkeys([*ids, *keys, *poly])).agg(F.count("*").alias("__c")).where(F.col("__c") % 2 == 1).drop("__c"))
+    cols = [*keys, *poly]
+    fine = _levels(edge_table, cols, size)
+    used = [r[0] for r in fine.select("__lv").distinct().collect()]     # at most MAX_LEVEL numbers
+    rows = _row_edges(edge_table, cols, size, fine if used else None)
+    spot = ["__lv", "__bx", "__by"]
+    parts = (_bin_edges(rows).select(*cols, *spot, "__s", "x1", "y1", "x2", "y2")
+             .unionByName(_odd_corners(rows, cols).select(*cols, *spot), allowMissingColumns=True))
+    p = points.select(*dict.fromkeys([*ids, *keys, "x", "y"])).withColumns({"__x": F.col("x"), "__y": F.col("y")}).drop(*[c for c in ("x", "y") if c not in [*ids, *keys]])
+    p = p.withColumn("__lv", F.explode(F.array(*[F.lit(v) for v in [0, *used]])))
+    at = F.lit(float(size)) / F.pow(F.lit(2.0), "__lv")
+    p = p.withColumn("__bx", F.floor(F.col("__x") / at)).withColumn("__by", F.floor(F.col("__y") / at))
+    on = [*keys, *spot]
+    parts, p = shard(parts, p, on, ids, hot)
+    px, py, line = F.col("__x"), F.col("__y"), F.col("__by") * F.col("__s")
+    one = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    corner = lambda e: (((F.col(f"y{e}") > py) != (F.col(f"y{e}") > line)) & (F.ceil(F.col(f"x{e}") / F.col("__s")) - 1 >= F.col("__bx")))
+    turns = one(_spans(py) & (_x_at(py) > px)) + one(_spans(line) & (_last_bin(line) >= F.col("__bx"))) + one(corner(1)) + one(corner(2))
+    term = F.when(F.col("x1").isNull(), 1).otherwise(turns)
+    met = p.join(parts, [*on, "__shard"]).select(*dict.fromkeys([*ids, *cols]), term.alias("__c"))
+    return met.groupBy(*dict.fromkeys([*ids, *cols])).agg(F.sum("__c").alias("__c")).where("__c % 2 = 1").drop("__c")
 
 
 def point_in_polygon(points: DataFrame, edge_table: DataFrame, ids: Sequence[str], poly: str, size: float,

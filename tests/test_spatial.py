@@ -130,3 +130,54 @@ def test_majority_label_prefers_the_larger_part(spark):
     whole = 1.5 * 3 ** 0.5 * 100.0 ** 2
     assert (got[1].d, got[1].how) == (4, "area") and got[1].share == pytest.approx(0.5 + (10.0 * 200.0 - 10.0 ** 2 / 3 ** 0.5) / whole)
     assert (got[2].d, got[2].how, got[2].share) == (3, "nearest", None)
+
+
+def star(n, seed, cx, cy, snap=None):
+    """A ring of n points around a centre with changing radius; on a lattice where ``snap`` is given."""
+    rnd = random.Random(seed)
+    ring = [(cx + r * math.cos(2 * math.pi * i / n), cy + r * math.sin(2 * math.pi * i / n)) for i in range(n) for r in [rnd.uniform(500, 2500)]]
+    return [(round(x / snap) * snap, round(y / snap) * snap) for x, y in ring] if snap else ring
+
+
+def inside(x, y, ring):
+    odd = False
+    for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+        if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+            odd = not odd
+    return odd
+
+
+def test_polygons_of_all_shapes_equal_brute_force(spark):
+    # rings on and off the bins' corners, one with holes by overlap, a box aligned with bins; points on corners and sides too
+    rings = {1: star(40, 1, 0, 0), 2: star(30, 2, 900, 300, 250.0), 3: star(60, 3, -700, 100, 500.0), 4: [(0.0, 0.0), (1000.0, 0.0), (1000.0, 1500.0), (0.0, 1500.0)],
+             5: star(2000, 4, 200, -300)}
+    rows = [("c", k, i, *p, *q) for k, r in rings.items() for i, (p, q) in enumerate(zip(r, r[1:] + r[:1]))]
+    e = spark.createDataFrame(rows, "city string, poly long, i int, x1 double, y1 double, x2 double, y2 double")
+    rnd = random.Random(9)
+    pts = [(rnd.uniform(-3000, 3000), rnd.uniform(-3000, 3000)) for _ in range(500)] + [(x * 250.0, y * 250.0) for x in range(-8, 9) for y in range(-8, 9)]
+    p = spark.createDataFrame([("c", i, x, y) for i, (x, y) in enumerate(pts)], "city string, pid long, x double, y double")
+    want = {(i, k) for i, (x, y) in enumerate(pts) for k, r in rings.items() if inside(x, y, r)}
+    for hot in (5, 50_000):
+        got = {(r.pid, r.poly) for r in SP.containing(p, e, ["pid"], ["poly"], 500.0, ["city"], hot=hot).collect()}
+        assert got == want
+
+
+def test_polygon_with_100_000_edges_and_a_third_of_all_points(spark):
+    import numpy as np
+    n, m = 100_000, 3_000
+    a = np.arange(n) * (2 * np.pi / n)
+    r = 8000 + 1500 * np.sin(a * 9) + np.random.default_rng(1).uniform(-40, 40, n)
+    x, y = r * np.cos(a), r * np.sin(a)
+    x2, y2 = np.roll(x, -1), np.roll(y, -1)
+    import pandas as pd
+    e = spark.createDataFrame(pd.DataFrame({"poly": 1, "x1": x, "y1": y, "x2": x2, "y2": y2}))
+    g = np.random.default_rng(2)
+    t = g.uniform(0, 2 * np.pi, m // 3)
+    ring = np.c_[(8000 + 1500 * np.sin(t * 9)) * np.cos(t), (8000 + 1500 * np.sin(t * 9)) * np.sin(t)] + g.uniform(-60, 60, (m // 3, 2))     # at the border
+    pts = np.r_[ring, g.uniform(-10_000, 10_000, (m - m // 3, 2))]
+    p = spark.createDataFrame(pd.DataFrame({"pid": np.arange(m), "x": pts[:, 0], "y": pts[:, 1]}))
+    want = {i for i, (u, v) in enumerate(pts) if ((((y > v) != (y2 > v)) & (u < (x2 - x) * (v - y) / np.where(y2 == y, 1, y2 - y) + x)).sum() % 2)}
+    got = {r.pid for r in SP.containing(p, e, ["pid"], ["poly"], 500.0).collect()}
+    assert got == want
+    parts = SP._bin_edges(SP._row_edges(e, ["poly"], 500.0, SP._levels(e, ["poly"], 500.0))).groupBy("__bx", "__by").agg(F.count("*").alias("n"))
+    assert parts.agg(F.max("n")).first()[0] < 100 * SP.BIN_EDGES      # no point meets more than a sliver of the ring
