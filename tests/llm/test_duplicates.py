@@ -56,7 +56,8 @@ def test_no_documents(spark):
     assert minhash_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_vectors_equal_brute_force(spark):
+def test_vectors_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "QUERIES", 0)       # no vector is compared with all others: the passes alone must find every link
     rng = np.random.default_rng(5)
     x = [rng.normal(size=16) for _ in range(60)]
     for g in range(4):
@@ -83,8 +84,31 @@ def test_no_vectors(spark):
     assert vector_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-def test_copies_between_near_vectors_hide_no_pair(spark):
+def test_five_thousand_vectors_by_passes_alone(spark, monkeypatch):
+    """1,000 planted partners at cosine 0.9 to 0.99 among 5,000 vectors, and a group of 400: none too many, nearly all found."""
+    monkeypatch.setattr(vector_dedup, "QUERIES", 0)
+    rng, dim = np.random.default_rng(21), 32
+    v = rng.normal(size=(3600, dim))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    cos = rng.uniform(0.9, 0.99, 1000)[:, None]
+    side = rng.normal(size=(1000, dim))
+    side -= (side * v[:1000]).sum(1, keepdims=True) * v[:1000]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    group = v[3000] + rng.normal(scale=0.06, size=(400, dim))
+    v = np.concatenate([v, cos * v[:1000] + np.sqrt(1 - cos * cos) * side, group])
+    v = v[rng.permutation(len(v))] * rng.uniform(0.5, 3, (len(v), 1))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.9).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in vector_dedup.near_duplicates(spark.createDataFrame([(i, [float(a) for a in x]) for i, x in enumerate(v)], "vec_id long, embedding array<double>")).collect()}
+    n = np.array([got[i] for i in range(len(v))])
+    assert (n <= links).all()
+    loose = (links > 0) & (links < 10)                                     # the planted partners
+    assert loose.sum() > 1900 and n[loose].sum() >= 0.97 * links[loose].sum() and n[~loose].sum() >= 0.99 * links[~loose].sum()
+
+
+def test_copies_between_near_vectors_hide_no_pair(spark, monkeypatch):
     """One pair at cosine 0.91 and, around its middle, 200 vectors of 30 copies each, nearly all too far for a link."""
+    monkeypatch.setattr(vector_dedup, "QUERIES", 0)
     rng, dim = np.random.default_rng(11), 32
     turn = np.arccos(0.91) / 2
     e = np.eye(dim)
