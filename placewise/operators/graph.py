@@ -90,9 +90,9 @@ def largest_component(nodes: DataFrame, comps: DataFrame, keys: Sequence[str]) -
     return nodes.join(comps.join(big, [*keys, "comp"], "left_semi").select(*keys, "node"), [*keys, "node"], "left_semi")
 
 
-def snap(points: DataFrame, nodes: DataFrame, ids: Sequence[str], keys: Sequence[str], size: float = 500.0) -> DataFrame:
+def snap(points: DataFrame, nodes: DataFrame, ids: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Nearest node of each point and the distance to it."""
-    return nearest(points, nodes, ids, "node", size, keys).select(*ids, "node", F.col("dist").alias("snap"))
+    return nearest(points, nodes, ids, "node", keys).select(*ids, "node", F.col("dist").alias("snap"))
 
 
 def tiles(nodes: DataFrame, keys: Sequence[str], size: float = 2000.0, max_nodes: int = MAX_TILE) -> DataFrame:

@@ -86,7 +86,7 @@ def majority_label(cells: DataFrame, edge_table: DataFrame, ids: Sequence[str],
     best = part.groupBy(*ids).agg(F.min_by(F.struct(poly, "area"), F.struct(-F.round("area", 2), F.col(poly))).alias("b"))
     best = best.select(*ids, f"b.{poly}", (F.col("b.area") / whole).alias("share"), F.lit("area").alias("how"))
     rest = cells.join(best.select(*ids), ids, "left_anti")
-    near = nearest(rest, centres, ids, poly, size, keys).select(*ids, poly)
+    near = nearest(rest, centres, ids, poly, keys).select(*ids, poly)
     return best.unionByName(near.select("*", F.lit(None).cast("double").alias("share"), F.lit("nearest").alias("how")))
 
 

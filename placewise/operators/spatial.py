@@ -12,9 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.geo import ring_offsets
-from ..session import broadcast_if_small, cut
+from ..session import broadcast_if_small, written
 
 HOT = 50_000     # targets per shard
+FULL = 64        # targets of a leaf of the tree that finds nearest targets
+TIERS = 7        # tiers of that tree below its root; each cuts a side in eight
 BIN_EDGES = 64   # edges of one polygon that a bin should meet
 MAX_LEVEL = 10   # halvings of a bin
 
@@ -79,50 +81,66 @@ def sum_within(points: DataFrame, targets: DataFrame, value: str, radius: float,
     return within_radius(points, folded, radius, ids, [F.coalesce(F.sum("t_v"), F.lit(0.0)).alias(out)], keys)
 
 
-def _bin_summary(targets: DataFrame, keys: Sequence[str], size: float) -> DataFrame:
-    return with_bin(targets, size).groupBy(*keys, "__bx", "__by").agg(
-        F.min("x").alias("__x0"), F.max("x").alias("__x1"), F.min("y").alias("__y0"), F.max("y").alias("__y1"))
-
-
-def nearest(points: DataFrame, targets: DataFrame, ids: Sequence[str], target_id: str, size: float,
-            keys: Sequence[str] = (), max_dist: float | None = None, hot: int = HOT) -> DataFrame:
+def target_tree(targets: DataFrame, keys: Sequence[str], square: tuple[float, float, float], full: int = FULL, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """(nodes, targets with their leaf) of a tree over positions: a node with more than ``full`` targets has up to 64 children.
+
+    Nodes are (keys, tier, bx, by) with their number of targets and the box around them. All tiers are counted in one
+    aggregate; a node is kept where its parent is over the bound, so there is one path to every target."""
+    x0, y0, span = square
+    most = 1 << 3 * TIERS
+    fine = lambda c, o: F.least(F.floor((F.col(c) - F.lit(o)) / F.lit(span) * F.lit(most)), F.lit(most - 1)).cast("long")
+    node = [*keys, "__tier", "__bx", "__by"]
+    at = (targets.withColumn("__fx", fine("x", x0)).withColumn("__fy", fine("y", y0)).withColumn("__tier", F.explode(F.sequence(F.lit(0), F.lit(TIERS))))
+          .withColumn("__bx", F.expr(f"shiftright(__fx, 3 * ({TIERS} - __tier))")).withColumn("__by", F.expr(f"shiftright(__fy, 3 * ({TIERS} - __tier))")).drop("__fx", "__fy"))
+    every = at.groupBy(*node).agg(F.count("*").alias("__n"), F.min("x").alias("__x0"), F.max("x").alias("__x1"), F.min("y").alias("__y0"), F.max("y").alias("__y1"))
+    every = every.withColumn("__leaf", (F.col("__n") <= full) | (F.col("__tier") == TIERS)).withColumn("__px", F.shiftright("__bx", 3)).withColumn("__py", F.shiftright("__by", 3))
+    split = every.where("NOT __leaf").select(*keys, (F.col("__tier") + 1).alias("__tier"), F.col("__bx").alias("__px"), F.col("__by").alias("__py"))
+    nodes = written(every.where("__tier = 0").unionByName(every.join(split, [*keys, "__tier", "__px", "__py"], "left_semi")), "target-tree")
+    # nodes that no task should gather are no leaves: their rows are left out before the join
+    crowded = broadcast_if_small(nodes.where((F.col("__n") > hot) & ~F.col("__leaf")).select(*node), 200_000)
+    return nodes, at.join(crowded, node, "left_anti").join(nodes.where("__leaf").select(*node), node)
+
+
+def nearest(points: DataFrame, targets: DataFrame, ids: Sequence[str], target_id: str,
+            keys: Sequence[str] = (), max_dist: float | None = None, full: int = FULL, hot: int = HOT) -> DataFrame:
     """Nearest target of each point (ties within a micrometre: smallest id) with its distance; exact at any distance.
 
-    Step one works on one row per occupied bin: from the bounding boxes of the bins around a point follow an upper
-    bound of the nearest distance and the few bins that can hold it.  Points whose neighbourhood is too empty go to
-    the next round with bins four times as large, until none is left (or ``max_dist`` is exceeded).  Step two joins
-    the (point, bin) candidates with the targets of those bins."""
-    keys, ids = list(keys), list(ids)
+    Points go down the tree of targets tier by tier: the farthest corner of the best box bounds the distance from above, and nodes
+    whose box lies beyond that bound are left. The tree's tiers are small and broadcast behind a check of their size, so points
+    are shuffled once. At the end a point meets the targets of its last leaves, at most ``full`` each; leaves that more than
+    ``hot`` points reach are worked on in shards. Rows without a position take no part."""
+    keys, ids = [*keys, "__all"], list(ids)
+    targets, points = (df.where("x IS NOT NULL AND y IS NOT NULL").withColumn("__all", F.lit(0)) for df in (targets, points))
     tcols = [c for c in targets.columns if c not in (*keys, "x", "y", target_id)]
     folded = targets.groupBy(*keys, "x", "y").agg(F.min(F.struct(target_id, *tcols)).alias("__t")) \
                     .select(*keys, "x", "y", "__t.*")
-    summary = _bin_summary(folded, keys, size)
-    px, py = F.col("x"), F.col("y")
-    zero = F.lit(0.0)
+    ext = folded.agg(F.min("x"), F.min("y"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()
+    nodes, placed = target_tree(folded, keys, (float(ext[0] or 0), float(ext[1] or 0), float(ext[2] or 0) or 1.0), full, hot)
+    tiers = {r[0]: r[1] for r in nodes.groupBy("__tier").count().collect()}          # at most TIERS + 1 rows
+    px, py, zero = F.col("x"), F.col("y"), F.lit(0.0)
     near = F.hypot(F.greatest(F.col("__x0") - px, px - F.col("__x1"), zero), F.greatest(F.col("__y0") - py, py - F.col("__y1"), zero))
-    far = F.hypot(F.greatest(F.abs(px - F.col("__x0")), F.abs(px - F.col("__x1"))),
-                  F.greatest(F.abs(py - F.col("__y0")), F.abs(py - F.col("__y1"))))
-    ext = (targets.select("x", "y").union(points.select("x", "y"))
-           .agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first())
-    extent = max(float(ext[0] or 0), float(ext[1] or 0), size) * 2
-    todo, step, found = points.select(*ids, *[k for k in keys if k not in ids], "x", "y"), float(size), None
-    while True:
-        coarse = summary.withColumn("__cx", F.floor(F.col("__bx") * size / step + 1e-9)) \
-                        .withColumn("__cy", F.floor(F.col("__by") * size / step + 1e-9))
-        p = neighbour_bins(with_bin(todo, step)).withColumnsRenamed({"__bx": "__cx", "__by": "__cy"})
-        j = p.join(coarse, [*keys, "__cx", "__cy"], "left").withColumn("__near", near).withColumn("__far", far)
-        j = j.withColumn("__up", F.min("__far").over(W.partitionBy(*ids)))
-        j = cut(j.select(*todo.columns, "__bx", "__by", "__near", "__up"))
-        hit = j.where((F.col("__up") <= step) & (F.col("__near") <= F.col("__up") + 1e-6)).select(*todo.columns, "__bx", "__by")
-        found = hit if found is None else found.unionByName(hit)
-        todo = j.where(F.col("__up").isNull() | (F.col("__up") > step)).select(*todo.columns).distinct()
-        # a target within max_dist has an upper bound of at most max_dist plus the diagonal of its bin
-        if step > extent or (max_dist is not None and step >= max_dist + 1.5 * size) or todo.isEmpty():
-            break
-        step *= 4
-    t = with_bin(folded, size).withColumnsRenamed({"x": "t_x", "y": "t_y"})
-    on = [*keys, "__bx", "__by"]
-    c, t = shard(found, t, on, ["t_x", "t_y"], hot)
+    far = F.hypot(F.greatest(F.abs(px - F.col("__x0")), F.abs(px - F.col("__x1"))), F.greatest(F.abs(py - F.col("__y0")), F.abs(py - F.col("__y1"))))
+    at = ["__tier", "__bx", "__by"]
+    own = list(dict.fromkeys([*ids, *keys, "x", "y"]))
+    c = points.select(*own)
+    for tier in range(max(tiers, default=0) + 1):
+        n = nodes.where(F.col("__tier") == tier)
+        n = F.broadcast(n) if tiers.get(tier, 0) <= 200_000 else n
+        if tier == 0:
+            c = c.join(n, keys).select(*own, *at, near.alias("__near"), far.alias("__far"))
+        else:
+            # a candidate of the tier above becomes its children; leaves found before have none and stay
+            kids = n.select(*keys, (F.col("__tier") - 1).alias("__tier"), F.col("__px").alias("__bx"), F.col("__py").alias("__by"), F.struct("__tier", "__bx", "__by").alias("__kid"),
+                            "__x0", "__x1", "__y0", "__y1")
+            c = c.join(kids, [*keys, *at], "left").select(*own, *[F.coalesce(F.col("__kid")[x], F.col(x)).alias(x) for x in at],
+                                                          F.coalesce(F.when(F.col("__kid").isNotNull(), near), "__near").alias("__near"), F.coalesce(F.when(F.col("__kid").isNotNull(), far), "__far").alias("__far"))
+            c = c.withColumn("__up", F.min("__far").over(W.partitionBy(*ids))).where(F.col("__near") <= F.col("__up") + 1e-6).drop("__up")
+        if max_dist is not None:
+            c = c.where(F.col("__near") <= max_dist + 1e-6)
+    c = written(c.select(*own, *at), "near-leaves")
+    t = placed.withColumnsRenamed({"x": "t_x", "y": "t_y"})
+    on = [*keys, *at]
+    t, c = shard(t, c, on, ids, hot)
     d = F.sqrt((px - F.col("t_x")) * (px - F.col("t_x")) + (py - F.col("t_y")) * (py - F.col("t_y")))
     best = (c.join(t, [*on, "__shard"]).withColumn("dist", d)
             .groupBy(*ids).agg(F.min(F.struct(F.round("dist", 6).alias("__d"), target_id, *tcols, "dist", "t_x", "t_y")).alias("__b"))
@@ -383,7 +401,7 @@ def resolve_destination(points: DataFrame, dests: DataFrame, ids: Sequence[str],
     own = coarse(dests).groupBy(*keys, "__hq", "__hr").agg(F.min("dest").alias("__own"))
     p = coarse(points).join(own, [*keys, "__hq", "__hr"], "left")
     rest = p.where("__own IS NULL").select(*points.columns)
-    near = nearest(rest, dests.select(*keys, "dest", "x", "y"), ids, "dest", max_dist, keys, max_dist).select(*ids, F.col("dest").alias("__near"))
+    near = nearest(rest, dests.select(*keys, "dest", "x", "y"), ids, "dest", keys, max_dist).select(*ids, F.col("dest").alias("__near"))
     return p.join(near, ids, "left").select(*ids, F.coalesce("__own", "__near").alias("dest"))
 
 
@@ -411,7 +429,7 @@ def intersections(lines: DataFrame, keys: Sequence[str], path: str = "path") ->
     return g.where("ends >= 3").select(*keys, "node", "p.x", "p.y")
 
 
-def nearest_per_category(cells: DataFrame, points: DataFrame, ids: Sequence[str], target_id: str, size: float,
+def nearest_per_category(cells: DataFrame, points: DataFrame, ids: Sequence[str], target_id: str,
                          measured: DataFrame | None = None, max_min: float = 30.0, key: str = "city") -> DataFrame:
     """Nearest point of each category per cell with walking minutes: the measured network value where there is one, else
     the straight line with a detour factor; farther than ``max_min`` is dropped."""
@@ -420,7 +438,7 @@ def nearest_per_category(cells: DataFrame, points: DataFrame, ids: Sequence[str]
     ids = list(ids)
     cats = points.select(key, "category").distinct()
     p = cells.join(cats, key).select(*ids, "category", "x", "y", F.col("lat").alias("__lat"), F.col("lon").alias("__lon"))
-    near = nearest(p, points, [*ids, "category"], target_id, size, [key, "category"])
+    near = nearest(p, points, [*ids, "category"], target_id, [key, "category"])
     near = near.join(p.select(*ids, "category", "__lat", "__lon"), [*ids, "category"])
     km = haversine_km(F.col("__lat"), F.col("__lon"), F.col("lat"), F.col("lon"))
     out = near.withColumn("walk_min", km * DETOUR / WALK_KMH * 60.0)

@@ -188,6 +188,6 @@ def nearest(spark, d, places: DataFrame) -> DataFrame:
     c = B.grid_cells(spark, d).select("city", "cell_id", "x", "y", "lat", "lon").join(F.broadcast(places), ["city", "cell_id"])       # a place per request at most
     pois = B.points(spark, d)
     measured = B.cells(spark, d).select("city", "cell_id", F.lit("supermarket").alias("category"), F.col("`shops.supermarket_walk_min`").alias("measured"))
-    out = SP.nearest_per_category(c, pois.select("city", "category", "poi_id", "x", "y", "lat", "lon"), ["city", "cell_id"], "poi_id", 600.0, measured)
+    out = SP.nearest_per_category(c, pois.select("city", "category", "poi_id", "x", "y", "lat", "lon"), ["city", "cell_id"], "poi_id", measured)
     order = F.row_number().over(W.partitionBy("city", "cell_id").orderBy("category")) - 1
     return out.join(pois.select("city", "poi_id", "name"), ["city", "poi_id"]).withColumn("pos", order)

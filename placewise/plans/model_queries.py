@@ -347,7 +347,7 @@ def nearest_station_live(spark, d):
     ev = B.table(spark, d, "events")
     live = L.decode(LS.readings(ev), LS.registry(ev)).where("component = 'INDX'").select("station").distinct()
     st = B.dests(spark, d).select("city", F.col("dest").alias("station"), "x", "y").join(live, "station")
-    out = nearest(B.points(spark, d).select("city", "poi_id", "x", "y"), st, ["city", "poi_id"], "station", 1000.0, ["city"])
+    out = nearest(B.points(spark, d).select("city", "poi_id", "x", "y"), st, ["city", "poi_id"], "station", ["city"])
     return out.select("city", "poi_id", "station", F.round("dist", 4).alias("dist"))
 
 

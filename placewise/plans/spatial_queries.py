@@ -32,7 +32,7 @@ def d2(a, b):
  row_number() OVER (PARTITION BY c.cell_id ORDER BY round(sqrt({d2('c', 't')}), 6), t.dest) AS rn FROM cells c JOIN dests t ON t.city = c.city) WHERE rn = 1"""))
 def nearest_neighbor(spark, d):
     t = B.dests(spark, d).select("city", "dest", "x", "y")
-    out = SP.nearest(cells(spark, d), t, ["city", "cell_id"], "dest", 600.0, ["city"])
+    out = SP.nearest(cells(spark, d), t, ["city", "cell_id"], "dest", ["city"])
     return out.select("city", "cell_id", "dest", F.round("dist", 6).alias("dist"))
 
 
@@ -325,7 +325,7 @@ def nearest_by_category(spark, d):
     c = B.grid_cells(spark, d).select("city", "cell_id", "x", "y", "lat", "lon")
     p = B.points(spark, d).select("city", "category", "poi_id", "x", "y", "lat", "lon")
     measured = B.cells(spark, d).select("city", "cell_id", F.lit("supermarket").alias("category"), F.col("`shops.supermarket_walk_min`").alias("measured"))
-    out = SP.nearest_per_category(c, p, ["city", "cell_id"], "poi_id", 600.0, measured)
+    out = SP.nearest_per_category(c, p, ["city", "cell_id"], "poi_id", measured)
     return out.select("city", "cell_id", "category", "poi_id", F.round("walk_min", 4).alias("walk_min"))
 
 

@@ -27,7 +27,7 @@ def test_nearest_reaches_far_targets(spark):
     pts, tgt = cloud(80, 3, 40_000.0), cloud(9, 4, 3000.0)
     p = spark.createDataFrame(pts, "city string, pid long, x double, y double")
     t = spark.createDataFrame(tgt, "city string, tid long, x double, y double")
-    got = {r.pid: (r.tid, round(r.dist, 6)) for r in SP.nearest(p, t, ["pid"], "tid", 500.0, ["city"], hot=2).collect()}
+    got = {r.pid: (r.tid, round(r.dist, 6)) for r in SP.nearest(p, t, ["pid"], "tid", ["city"], full=2, hot=3).collect()}
     for a in pts:
         d, tid = min((math.dist(a[2:], b[2:]), b[1]) for b in tgt)
         assert got[a[1]] == (tid, round(d, 6))
@@ -72,11 +72,11 @@ def test_bounded_paths_equal_dijkstra(spark):
     assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
 
-def test_nearest_with_a_limit_below_the_bin_size(spark):
-    """A target 51 m away is found with bins of 500 m and a limit of 100 m."""
+def test_nearest_with_a_limit(spark):
+    """A target 51 m away is found with a limit of 100 m."""
     p = spark.createDataFrame([("c", 1, 10.0, 10.0)], "city string, pid long, x double, y double")
     t = spark.createDataFrame([("c", 5, 61.0, 10.0), ("c", 6, 490.0, 490.0)], "city string, tid long, x double, y double")
-    got = SP.nearest(p, t, ["pid"], "tid", 500.0, ["city"], max_dist=100.0).collect()
+    got = SP.nearest(p, t, ["pid"], "tid", ["city"], max_dist=100.0).collect()
     assert [(r.pid, r.tid, round(r.dist, 6)) for r in got] == [(1, 5, 51.0)]
 
 
@@ -181,3 +181,24 @@ def test_polygon_with_100_000_edges_and_a_third_of_all_points(spark):
     assert got == want
     parts = SP._bin_edges(SP._row_edges(e, ["poly"], 500.0, SP._levels(e, ["poly"], 500.0))).groupBy("__bx", "__by").agg(F.count("*").alias("n"))
     assert parts.agg(F.max("n")).first()[0] < 100 * SP.BIN_EDGES      # no point meets more than a sliver of the ring
+
+
+def test_nearest_where_a_third_of_the_targets_crowd_one_spot(spark):
+    rnd = random.Random(12)
+    crowd = [("c", i, 5000.0 + rnd.random() * 20, 5000.0 + rnd.random() * 20) for i in range(1000)]
+    wide = [("c", 1000 + i, rnd.random() * 40_000, rnd.random() * 40_000) for i in range(1600)] + [("c", 3000 + i, 100.0, 100.0) for i in range(200)]   # one place, many targets
+    pts = cloud(100, 6, 40_000.0) + [("c", 200 + i, 5000.0 + rnd.random() * 20, 5000.0 + rnd.random() * 20) for i in range(100)] + [("c", 400, -90_000.0, 5.0), ("d", 401, 1.0, 1.0), ("c", 402, None, 1.0)]
+    p = spark.createDataFrame(pts, "city string, pid long, x double, y double")
+    t = spark.createDataFrame(crowd + wide, "city string, tid long, x double, y double")
+    want = {}
+    for a in pts:
+        if a[0] == "c" and a[2] is not None:
+            d, tid = min((round(math.dist(a[2:], b[2:]), 6), b[1]) for b in crowd + wide)
+            want[a[1]] = (tid, d)
+    for hot in (20, 50_000):
+        got = {r.pid: (r.tid, round(r.dist, 6)) for r in SP.nearest(p, t, ["pid"], "tid", ["city"], full=16, hot=hot).collect()}
+        assert got == want
+    nodes, placed = SP.target_tree(t.select("city", "tid", "x", "y"), ["city"], (0.0, 0.0, 40_000.0), 16, 20)
+    assert placed.count() == len(crowd + wide)                              # every target has one leaf
+    assert nodes.where("__leaf AND __tier < 7").agg(F.max("__n")).first()[0] <= 16
+    assert SP.nearest(p, t.where("tid < 0"), ["pid"], "tid", ["city"]).count() == 0
