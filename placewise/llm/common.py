@@ -34,6 +34,19 @@ def fold(doc_id: str | Column, n: int) -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary")), F.lit(n))
 
 
+def bounded_per(df: DataFrame, key: str, rows: int, by: Column, least: int = 500, seed: int = 17) -> DataFrame:
+    """As ``bounded``, but about ``least`` rows of every class ``by`` at the least (all rows of a rarer one), so that a class
+    known on a small table stays known on a large one: about ``rows`` + ``least`` times the classes in all."""
+    counts = {r["c"]: r["n"] for r in df.groupBy(by.alias("c")).agg(F.count("*").alias("n")).collect()}      # a row per class
+    n = sum(counts.values())
+    if n <= rows:
+        return df
+    share = F.lit(0)
+    for c, k in counts.items():
+        share = F.when(by.eqNullSafe(F.lit(c)), int(min(1.0, max(rows / n, least / k)) * 1_000_000)).otherwise(share)
+    return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) < share)
+
+
 def bounded(df: DataFrame, key: str, rows: int, seed: int = 17) -> DataFrame:
     """About ``rows`` rows, chosen by a hash of the key; all rows where there are fewer. Only for fitting classifiers and
     indexes: the share is set from the count of all rows, and the rows are the same in every run."""

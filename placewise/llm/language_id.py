@@ -14,7 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded, wider
+from .common import bounded_per, wider
 
 SAMPLE = 8_000        # learning documents, about
 LONGEST = 5           # characters of the longest n-gram
@@ -106,9 +106,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from about ``sample`` documents (doc_id, text, lang) with a language, chosen by a hash of doc_id. Words that
+    """Learn from about ``sample`` documents (doc_id, text, lang) with a language, chosen by a hash of doc_id, of a rare
+    language more than its share. Words that
     occur once teach nothing reliable and are left out. Without rows, every text is ``und``."""
-    some = bounded(docs.where("lang IS NOT NULL").select("doc_id", "text", "lang"), "doc_id", sample)
+    some = bounded_per(docs.where("lang IS NOT NULL").select("doc_id", "text", "lang"), "doc_id", sample, F.col("lang"))
     counts = (some.select("lang", "text").mapInArrow(_count, "lang string, word string, n long")
               .groupBy("lang", "word").agg(F.sum("n").alias("n")).where("n > 1"))
     return Model.learn(sorted((r.lang, r.word, r.n) for r in counts.collect()))        # bounded by the sample

@@ -12,7 +12,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded, saved
+from .common import bounded_per, saved
 
 SAMPLE = 10_000       # labelled URLs the trees are fitted on, about
 FEATURES = ("length", "depth", "digits", "entropy", "params", "labels", "hyphens", "tld_n", "tld_block", "site_n", "site_block")
@@ -74,7 +74,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], sample: int = SAM
     full = full.fillna({"tld_n": 0.0, "tld_block": 0.5, "site_n": 0.0, "site_block": 0.5})
     rule = F.col("r.rule").alias("rule")
     keep = [F.col("id").alias(id_col), "host", "path", rule]
-    learn = saved(bounded(full.where("r IS NOT NULL"), "id", sample).withColumn("block", (F.col("r.verdict") == "block").cast("double")).select("block", *FEATURES), "learn")
+    learn = saved(bounded_per(full.where("r IS NOT NULL"), "id", sample, F.col("r.verdict")).withColumn("block", (F.col("r.verdict") == "block").cast("double")).select("block", *FEATURES), "learn")
     if learn.select("block").distinct().count() < 2:
         return ruled.select(*keep, F.coalesce("r.verdict", F.lit("allow")).alias("verdict"))
     pack = VectorAssembler(inputCols=list(FEATURES), outputCol="features")

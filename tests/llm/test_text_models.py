@@ -5,7 +5,7 @@ import public_tokenizers
 import tiktoken
 from pyspark.sql import functions as F
 
-from placewise.llm import bpe, language_id, toxicity
+from placewise.llm import bpe, common, language_id, toxicity
 from placewise.llm.common import fold
 
 VOCABULARY = bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -73,3 +73,15 @@ def test_language_held_out(spark):
     assert [r.lang_pred for r in out] == ["und", "und", "und", "de", "de", "en"] and all(0 <= r.score <= 1 for r in out)
     nothing = language_id.fit(docs.where("lang IS NULL"))
     assert {r.lang_pred for r in language_id.predict(docs.limit(3), nothing).collect()} == {"und"}
+
+
+def test_rare_languages_stay_in_a_bounded_sample(spark):
+    words = {"aa": "molo kiru vano", "bb": "shtep drokk unvar"}
+    rows = [(i, words["bb" if i % 400 == 0 else "aa"], "bb" if i % 400 == 0 else "aa") for i in range(4000)]       # ten of 4,000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    some = common.bounded_per(docs, "doc_id", 200, F.col("lang"), least=100)
+    n = {r.lang: r["count"] for r in some.groupBy("lang").count().collect()}
+    assert n["bb"] == 10 and 100 < n["aa"] < 300
+    model = language_id.fit(docs, sample=200)
+    got = language_id.predict(spark.createDataFrame([(1, "drokk shtep"), (2, "kiru molo")], "doc_id long, text string"), model).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {1: "bb", 2: "aa"}
